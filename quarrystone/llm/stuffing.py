@@ -143,23 +143,14 @@ def _phrase_chars(lines: list[str], phrases: frozenset[tuple[str, ...]]) -> int:
             continue
         words.append(ws)
         spans.append((s, times, found))
-    # A search phrase stands anywhere: it comes back between ever other neighbours. The repeated words of a sentence
-    # pattern have the same neighbour on one side. Numbers and codes are one neighbour.
-    seen: Counter[tuple[str, ...]] = Counter()
-    left: dict[tuple[str, ...], set[str]] = defaultdict(set)
-    right: dict[tuple[str, ...], set[str]] = defaultdict(set)
+    # Where hardly any pair of words comes back, nothing else does; that spares the count for most pages.
+    pairs: Counter[tuple[str, str]] = Counter()
     for ws in words:
-        plain = ["^", *("0" if any(c.isdigit() for c in w) and w != "h2" else w for w in ws), "$"]
-        for n in (2, 3, 4):
-            for k in range(1, len(plain) - n):
-                gram = tuple(plain[k : k + n])
-                if gram[0] in GRAMMAR or gram[-1] in GRAMMAR or "0" in gram:
-                    continue
-                seen[gram] += 1
-                left[gram].add(plain[k - 1])
-                right[gram].add(plain[k + n])
-    common = {g for g, n in seen.items() if n >= 3 and min(len(left[g]), len(right[g])) >= max(3, min(6, 0.4 * n))}
-    common |= phrases
+        pairs.update(zip(ws, ws[1:], strict=False))
+    again = sum(n for (x, y), n in pairs.items() if n >= 3 and x not in GRAMMAR and y not in GRAMMAR)
+    common = {g for g in phrases if g[:2] in pairs}
+    if again * 8 >= sum(map(len, words)):
+        common |= _loose(words)
     if not common:
         return run_on
     covered = 0
@@ -204,6 +195,28 @@ def listed_phrases(docs: DataFrame, text_col: str = "text", least_pages: int = 3
     return frozenset(tuple(WORD.findall(r.phrase)) for r in counts.filter(F.col("pages") >= least).select("phrase").toLocalIterator())
 
 
+def _loose(words: list[list[str]]) -> set[tuple[str, ...]]:
+    """Phrases of two to four words that stand between ever other neighbours.
+
+    The repeated words of a sentence pattern have the same neighbour on one side; a search phrase stands anywhere. Numbers and codes
+    are one neighbour.
+    """
+    seen: Counter[tuple[str, ...]] = Counter()
+    left: dict[tuple[str, ...], set[str]] = defaultdict(set)
+    right: dict[tuple[str, ...], set[str]] = defaultdict(set)
+    for ws in words:
+        plain = ["^", *("0" if any(c.isdigit() for c in w) and w != "h2" else w for w in ws), "$"]
+        for n in (2, 3, 4):
+            for k in range(1, len(plain) - n):
+                gram = tuple(plain[k : k + n])
+                if gram[0] in GRAMMAR or gram[-1] in GRAMMAR or "0" in gram:
+                    continue
+                seen[gram] += 1
+                left[gram].add(plain[k - 1])
+                right[gram].add(plain[k + n])
+    return {g for g, n in seen.items() if n >= 3 and min(len(left[g]), len(right[g])) >= max(3, min(6, 0.4 * n))}
+
+
 def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: frozenset[tuple[str, ...]] | None = None) -> DataFrame:
     """``(id_col, stuffed double, shapes array<struct<kind, shape, lines, chars>>)`` of every row.
 
