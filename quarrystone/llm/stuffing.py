@@ -36,6 +36,8 @@ AMOUNT = re.compile(r"(?<![\w\-])[+\-±]?\d+(?:[.,:]\d+)*(?:\s*%)?(?![\w\-])")
 STAMP = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d")
 KEYED = re.compile(r"^[^\s:][^:]{0,40}:\s+\S")
 WORD = re.compile(r"[^\W_]+-\d\w*|[^\W_][\w\u0900-\u0963\u0966-\u097f]*")
+#: What a plain line of sentences does not have.
+SPECIAL = re.compile(r"[|;•·*›»>→~#<\[:\t]|https?:|\s[–—/\-]\s")
 #: From so many links or tags on, a page may be a list of them; below, they are a few on a page of its own content.
 FEW = 6
 
@@ -46,6 +48,9 @@ def _bin(n: int) -> str:
 
 def shape(line: str) -> tuple[str, str]:
     """``(kind, shape)`` of a line; kind is sentence, data, link, tag, path, list or short."""
+    if line[-1:] in ".!?。！？।" and line.count(",") < 3 and not SPECIAL.search(line):
+        # Nothing but words, few commas and an end mark: a sentence or several, as most lines are.
+        return "sentence", f"w{_bin(line.count(' ') + 1)} ."
     rest, links = LINK.subn(" ", line)
     words = WORD.findall(rest)
     n = len(words)
