@@ -53,7 +53,7 @@ WORDS = {
 _LANGUAGES = {k: frozenset(v) for k, v in WORDS.items()}
 SIGNS = {"ñ": "es", "¿": "es", "¡": "es", "ß": "de", "ç": "fr", "œ": "fr", "à": "fr", "è": "fr", "ê": "fr", "û": "fr", "î": "fr", "ô": "fr", "ë": "fr", "ä": "de", "ó": "es", "í": "es", "ú": "es", "á": "es"}
 ENDED = re.compile(r"(?:[.!?。！？।…]|:-?\))[\"'”’»)\]」』*_~]*$")
-ABBREVIATED = re.compile(r"(?:^|\s)(?:no|nos|approx|e\.g|i\.e|ca|z\.B|bzw|vgl|cf|fig|incl|resp|max|min)\.$", re.I)
+ABBREVIATED = re.compile(r"\w\s+(?:no|nos|approx|e\.g|i\.e|ca|z\.B|bzw|vgl|cf|fig|incl|resp|max|min)\.$")
 MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)])(?:\s+|$)")
 CODE = r"[A-Z]{1,4}-?\d[\w\-./]*"
 

@@ -91,7 +91,8 @@ def page_lines(pages: DataFrame) -> DataFrame:
     lines = lines.select("*", number.alias("number"), F.when(F.col("edge") & ~number, F.trim(key)).alias("key"))
     # Lines of the page text itself end in a sentence or run on and do not come back; running lines do.
     running = lines.filter("key is not null and key <> ''").groupBy("document_name", "key").agg(F.count_distinct("page_number").alias("pages")).filter(F.col("pages") >= PAGES).select("document_name", "key", F.lit(True).alias("running"))
-    lines = lines.join(running, ["document_name", "key"], "left")
+    # Lines without a key go their own ways instead of meeting in one task of the join.
+    lines = lines.withColumn("key", F.coalesce("key", F.concat(F.lit("\u0000"), F.col("row_id").cast("string")))).join(running, ["document_name", "key"], "left")
     kind = F.when(F.col("number"), "page_number").when(F.col("running"), "running_header").otherwise("body")
     return lines.select("row_id", "document_name", "page_number", "line_no", "line", kind.alias("kind"))
 
@@ -202,7 +203,7 @@ def analyse(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # At the end of the document, a head that is no word tells it.
     torn = F.when(F.col("tail") == "", F.coalesce("head_n", F.lit(0)) < 20).otherwise(torn)
     split = F.when((j == 0) & (h == 0) & (F.col("mark") == "-") & ~code, torn).otherwise(split)
-    breaks = materialise(judged.select("row_id", "line_no", "next_row", "next_line", "head", "tail", "mark", "joined", "hyphened", "joined_best", "hyphened_best", split.alias("split")), "breaks")
+    breaks = materialise(judged.select("row_id", "line_no", "next_row", "next_line", "head", "tail", "tail_raw", "mark", "joined", "hyphened", "joined_best", "hyphened_best", split.alias("split")), "breaks")
 
     # A misread letter of a broken word is on the line of its part.
     whole = breaks.select("*", F.when(F.col("split"), F.col("joined_best")).otherwise(F.col("hyphened_best")).alias("best"), F.when(F.col("split"), F.col("joined")).otherwise(F.col("hyphened")).alias("word")).filter("best is not null")
@@ -236,9 +237,13 @@ def repaired_pages(chunks: DataFrame) -> DataFrame:
     the last paragraph goes on with the first of the next page.
     """
     lines, breaks, misread = analyse(chunks)
-    fixes = misread.select("row_id", "line_no", "word", "best").distinct().groupBy("row_id", "line_no", "word").agg(F.max("best").alias("best")).groupBy("row_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("word", "best"))).alias("fixes"))
-    head = breaks.select("row_id", "line_no", F.when(F.col("split"), F.concat("head", "tail")).otherwise(F.concat("head", F.lit("-"), "tail")).alias("whole"), F.concat("head", "mark").alias("broken"))
-    tail = breaks.filter("next_line is not null").select(F.col("next_row").alias("row_id"), F.col("next_line").alias("line_no"), F.col("tail").alias("gone"))
+    # A broken word stands whole on the line of its head, wherever its misread letter is.
+    word = F.when(F.col("split"), F.col("joined")).otherwise(F.col("hyphened"))
+    right = F.when(F.col("split"), F.col("joined_best")).otherwise(F.col("hyphened_best"))
+    whole_words = breaks.select("row_id", "line_no", word.alias("word"), right.alias("best")).filter("best is not null")
+    fixes = misread.select("row_id", "line_no", "word", "best").unionByName(whole_words).distinct().groupBy("row_id", "line_no", "word").agg(F.max("best").alias("best")).groupBy("row_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("word", "best"))).alias("fixes"))
+    head = breaks.select("row_id", "line_no", F.when(F.col("split"), F.concat("head", "tail_raw")).otherwise(F.concat("head", F.lit("-"), "tail_raw")).alias("whole"), F.concat("head", "mark").alias("broken"))
+    tail = breaks.filter("next_line is not null").select(F.col("next_row").alias("row_id"), F.col("next_line").alias("line_no"), F.col("tail_raw").alias("gone"))
     body = lines.filter("kind = 'body'").join(fixes, ["row_id", "line_no"], "left").join(head, ["row_id", "line_no"], "left").join(tail, ["row_id", "line_no"], "left")
     text = F.when(F.col("whole").isNotNull(), F.concat(F.expr("left(t0, length(t0) - length(broken))"), F.col("whole"))).otherwise(F.col("t0"))
     body = body.withColumn("t0", F.when(F.col("gone").isNotNull(), F.ltrim(F.expr("substring(trim(line), length(gone) + 1)"))).otherwise(F.trim("line"))).withColumn("t1", text)
