@@ -173,3 +173,37 @@ def sections(text: str, headers: list[str], inline: bool = False) -> dict[str, s
         elif now is not None:
             out[now].append(line)
     return {k: "\n".join(v).strip() for k, v in out.items()}
+
+
+def keyvalue_rows(grid: Grid, bold: set[tuple[int, int]]) -> list[tuple[str, str, str | None]]:
+    """``(label, value, subsection)`` of a table of two columns; a bold row of one text opens a subsection, a bold first row is a heading."""
+    out: list[tuple[str, str, str | None]] = []
+    section: str | None = None
+    for i, (label, value) in enumerate(grid):
+        if i == 0 and {(0, 0), (0, 1)} <= bold:
+            continue
+        if label and (not value or value == label) and (i, 0) in bold:
+            section = label
+        elif label:
+            out.append((label, value, section))
+    return out
+
+
+def sectioned_rows(grid: Grid, bold: set[tuple[int, int]], n: int) -> list[tuple[str | None, str, dict[str, str], list[str]]]:
+    """``(section, label, values, options)`` of a table with sections: rows of one bold text open one, further single texts are its options."""
+    names = composite_columns(grid, n)
+    out: list[tuple[str | None, str, dict[str, str], list[str]]] = []
+    section: str | None = None
+    options: list[str] = []
+    for i, row in enumerate(grid[n:], n):
+        said = [c for c in row if c]
+        if not said:
+            continue
+        if (len(said) == 1 or len(set(row)) == 1) and row[0] and (i, 0) in bold:
+            section, options = row[0], []
+        elif len(said) == 1 and section is not None:
+            options.append(said[0])
+            out.append((section, "", {}, list(options[-1:])))
+        else:
+            out.append((section, row[0], {k: v for k, v in zip(names[1:], row[1:], strict=True) if v}, []))
+    return out

@@ -89,3 +89,42 @@ def longest_alias(texts: DataFrame, id_col: str, text_col: str, products: DataFr
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace("alias", "[^a-z0-9]+", " ")), F.lit(" "))
     hit = said.join(names, "token").filter(F.contains(padded, plain)).select("id", "product_id", "alias").distinct()
     return hit.groupBy("id", "product_id").agg(F.max(F.struct(F.length("alias").alias("n"), "alias")).alias("m")).select("id", "product_id", F.col("m.alias").alias("alias"))
+
+
+#: Words of file names that name no product.
+PLAIN_WORDS = set("catalogue catalog series leak detector detectors portable fixed hydrogen sensor sensors peso approved draft multi nano sense of the in".split())
+
+
+def file_tokens(filename: str) -> set[str]:
+    """Tokens of a file name that may name a product: three characters or more and no plain word; after ``Catalogue_`` only what stands there."""
+    import re
+
+    stem = re.sub(r"\.[^.]*$", "", filename)
+    marked = re.split(r"catalogu?e?_", stem, flags=re.I)
+    said = re.sub(r"\([^)]*\)", " ", marked[-1]) if len(marked) > 1 else stem
+    return {t for t in re.findall("[a-z0-9]+", said.lower()) if len(t) >= 3 and t not in PLAIN_WORDS}
+
+
+def clean_code_heading(heading: str) -> str:
+    """A heading without the parts of an ordering code: those with a slash, and letters all doubled."""
+    import re
+
+    return " ".join(t for t in re.split(r"[\s\-]+", heading) if t and "/" not in t and not re.fullmatch(r"(?:([A-Za-z])\1){2,}\*?", t))
+
+
+def assign_names(headings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """``(document_name, product_name)`` of documents by ``headings(document_name, pos, heading)``.
+
+    A document is named by its first heading that no other has at the same place, else by its last one, else by its file. Given names go first. Places and
+    headings are counted by hash, so documents never meet all with all.
+    """
+    said = headings.filter("trim(heading) <> ''")
+    alone = said.groupBy("pos", "heading").agg(F.count_distinct("document_name").alias("documents")).filter("documents = 1").drop("documents")
+    own = said.join(alone, ["pos", "heading"], "left_semi").groupBy("document_name").agg(F.min_by("heading", "pos").alias("own"))
+    last = said.groupBy("document_name").agg(F.max_by("heading", "pos").alias("last"))
+    named = headings.select("document_name").distinct().join(own, "document_name", "left").join(last, "document_name", "left")
+    name = F.coalesce("own", "last", F.regexp_replace("document_name", r"\.[^.]*$", ""))
+    if overrides is None:
+        return named.select("document_name", name.alias("product_name"))
+    given = overrides.select("document_name", F.col("product_name").alias("given"))
+    return named.join(given, "document_name", "left").select("document_name", F.coalesce("given", name).alias("product_name"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.text import STOPWORDS, keywords
 from quarrystone.operators import cells, chunking, guard, naming, registry, stores, vectors
+from quarrystone.plans import pipeline
 from quarrystone.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,6 +418,37 @@ def events_daily(spark, d):
     return table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+_HEADINGS = "SELECT DISTINCT document_name, chunk_index AS pos, section_heading AS heading FROM chunks WHERE document_name IS NOT NULL AND chunk_index IS NOT NULL"
+
+
+@_add(f"WITH h AS ({_HEADINGS}), s AS (SELECT * FROM h WHERE trim(heading) <> ''), c AS (SELECT pos, heading FROM s GROUP BY 1, 2 HAVING count(DISTINCT document_name) = 1), o AS (SELECT document_name, min(pos) AS first FROM s JOIN c USING (pos, heading) GROUP BY 1), w AS (SELECT o.document_name, count(*) AS names FROM o JOIN s ON s.document_name = o.document_name AND s.pos = o.first JOIN c ON c.pos = s.pos AND c.heading = s.heading GROUP BY 1) SELECT h.document_name, coalesce(o.first, -1) AS first_own FROM (SELECT DISTINCT document_name FROM h) h LEFT JOIN o USING (document_name)")
+def heading_owner(spark, d):
+    said = table(spark, d, "chunks", "document_name", "chunk_index", "section_heading").filter("document_name is not null and chunk_index is not null").distinct()
+    s = said.filter("trim(section_heading) <> ''")
+    alone = s.groupBy("chunk_index", "section_heading").agg(F.count_distinct("document_name").alias("n")).filter("n = 1").drop("n")
+    own = s.join(alone, ["chunk_index", "section_heading"], "left_semi").groupBy("document_name").agg(F.min("chunk_index").alias("first"))
+    return said.select("document_name").distinct().join(own, "document_name", "left").select("document_name", F.coalesce("first", F.lit(-1)).alias("first_own"))
+
+
+@_add()
+def product_names(spark, d):
+    return naming.assign_names(table(spark, d, "chunks").select("document_name", F.col("chunk_index").alias("pos"), F.col("section_heading").alias("heading")).filter("document_name is not null"))
+
+
+@_add()
+def retrieve_chunks(spark, d):
+    index = pipeline.build_index(table(spark, d, "chunks"))
+    asked = table(spark, d, "feedback", "id", "question").filter("id % 50 = 0").distinct()  # the stated query set
+    return pipeline.retrieve(index, asked)
+
+
+@_add()
+def answers(spark, d):
+    index = pipeline.build_index(table(spark, d, "chunks"))
+    asked = table(spark, d, "feedback", "id", "question").filter("id % 50 = 0").distinct()  # the stated query set
+    return pipeline.answer(index, asked)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
