@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
         WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE text IS NOT NULL),
         s AS (SELECT row_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 40),
         t AS (SELECT row_id, len(s) AS n, unnest(s) AS x FROM s),
-        p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, a.n AS na, b.n AS nb, count(*) AS both FROM t a JOIN t b ON a.x = b.x AND a.row_id < b.row_id AND a.n * 10 >= b.n * 6 AND b.n * 10 >= a.n * 6 GROUP BY ALL)
-        SELECT row_id_a, row_id_b FROM p WHERE both * 10 >= 6 * (na + nb - both)
+        p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.row_id < b.row_id AND a.n * 10 >= b.n * 6 AND b.n * 10 >= a.n * 6 GROUP BY ALL)
+        SELECT row_id_a, row_id_b FROM p WHERE shared * 10 >= 6 * (na + nb - shared)
     """
     return {"p3_found": p3, "p7_found": "SELECT row_id FROM chunks WHERE length(text) > 1200"}
