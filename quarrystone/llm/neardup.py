@@ -21,8 +21,8 @@ from quarrystone.session import materialise
 
 #: Words of a shingle, words a text must have, and the similarity asked for.
 WIDTH, LEAST_WORDS, SIMILARITY = 3, 40, 0.6
-#: 48 bands of 5 minima: a pair of similarity 0.6 shares a band with probability 0.98, of 0.65 with 0.997, of 0.1 with 0.0005.
-BANDS, ROWS = 48, 5
+#: 56 bands of 5 minima: a pair of similarity 0.6 shares a band with probability 0.99, of 0.65 with 0.999, of 0.1 with 0.0006.
+BANDS, ROWS = 56, 5
 #: One-bit minima kept for the estimate, a multiple of 64.
 BITS = 192
 #: An estimate may lie this many standard deviations under the similarity asked for.
