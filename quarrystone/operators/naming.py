@@ -91,6 +91,14 @@ def longest_alias(texts: DataFrame, id_col: str, text_col: str, products: DataFr
     return hit.groupBy("id", "product_id").agg(F.max(F.struct(F.length("alias").alias("n"), "alias")).alias("m")).select("id", "product_id", F.col("m.alias").alias("alias"))
 
 
+def known_products(rows: DataFrame, products: DataFrame, name: str = "product_name") -> DataFrame:
+    """``(product_name, product_id)`` of every distinct name as written: its product apart from letter case, outer blanks and an ending `` XX*``."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+XX\*?\s*$", "")))
+    said = rows.select(F.col(name).alias("product_name")).filter("product_name is not null").distinct().withColumn("plain", plain(F.col("product_name")))
+    known = products.groupBy(F.lower("product_name").alias("plain")).agg(F.min("product_id").alias("product_id"))
+    return said.join(known, "plain", "left").select("product_name", "product_id")
+
+
 #: Words of file names that name no product.
 PLAIN_WORDS = set("catalogue catalog series leak detector detectors portable fixed hydrogen sensor sensors peso approved draft multi nano sense of the in".split())
 
@@ -120,8 +128,8 @@ def assign_names(headings: DataFrame, overrides: DataFrame | None = None) -> Dat
     """
     said = headings.filter("trim(heading) <> ''")
     alone = said.groupBy("pos", "heading").agg(F.count_distinct("document_name").alias("documents")).filter("documents = 1").drop("documents")
-    own = said.join(alone, ["pos", "heading"], "left_semi").groupBy("document_name").agg(F.min_by("heading", "pos").alias("own"))
-    last = said.groupBy("document_name").agg(F.max_by("heading", "pos").alias("last"))
+    own = said.join(alone, ["pos", "heading"], "left_semi").groupBy("document_name").agg(F.min_by("heading", F.struct("pos", "heading")).alias("own"))
+    last = said.groupBy("document_name").agg(F.max_by("heading", F.struct("pos", "heading")).alias("last"))
     named = headings.select("document_name").distinct().join(own, "document_name", "left").join(last, "document_name", "left")
     name = F.coalesce("own", "last", F.regexp_replace("document_name", r"\.[^.]*$", ""))
     if overrides is None:

@@ -302,7 +302,7 @@ def ambiguous_cross_brand(spark, d):
 
 @_add()
 def fuzzy_brand(spark, d):
-    return naming.fuzzy_brands(stores.once(table(spark, d, "feedback", "id", "question", "loaded_at")), "id", "question", table(spark, d, "products", "product_name"))
+    return naming.fuzzy_brands(table(spark, d, "chunks", "row_id", "text"), "row_id", "text", table(spark, d, "products", "product_name"))
 
 
 @_add("WITH a AS (SELECT DISTINCT product_id, lower(trim(unnest(list_append(coalesce(aliases, []), product_name)))) AS alias FROM products), c AS (SELECT row_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM chunks WHERE text IS NOT NULL), h AS (SELECT row_id AS id, product_id, alias FROM c JOIN a ON contains(t, ' ' || trim(regexp_replace(alias, '[^a-z0-9]+', ' ', 'g')) || ' ') WHERE alias <> ''), m AS (SELECT *, row_number() OVER (PARTITION BY id, product_id ORDER BY length(alias) DESC, alias DESC) AS k FROM h) SELECT id, product_id, alias FROM m WHERE k = 1")
@@ -430,11 +430,16 @@ def heading_owner(spark, d):
     return said.select("document_name").distinct().join(own, "document_name", "left").select("document_name", F.coalesce("first", F.lit(-1)).alias("first_own"))
 
 
-@_add()
+@_add("WITH h AS (SELECT DISTINCT document_name, chunk_index AS pos, section_heading AS heading FROM chunks WHERE document_name IS NOT NULL), s AS (SELECT * FROM h WHERE trim(heading) <> ''), c AS (SELECT pos, heading FROM s GROUP BY 1, 2 HAVING count(DISTINCT document_name) = 1), o AS (SELECT document_name, heading, row_number() OVER (PARTITION BY document_name ORDER BY pos, heading) AS k FROM s JOIN c USING (pos, heading)), l AS (SELECT document_name, heading, row_number() OVER (PARTITION BY document_name ORDER BY pos DESC, heading DESC) AS k FROM s) SELECT d.document_name, coalesce(o.heading, l.heading, regexp_replace(d.document_name, '\\.[^.]*$', '')) AS product_name FROM (SELECT DISTINCT document_name FROM h) d LEFT JOIN o ON o.document_name = d.document_name AND o.k = 1 LEFT JOIN l ON l.document_name = d.document_name AND l.k = 1")
 def product_names(spark, d):
     return naming.assign_names(table(spark, d, "chunks").select("document_name", F.col("chunk_index").alias("pos"), F.col("section_heading").alias("heading")).filter("document_name is not null"))
 
 
+@_add("WITH n AS (SELECT DISTINCT product_name, lower(trim(regexp_replace(product_name, '\\s+XX\\*?\\s*$', ''))) AS plain FROM chunks WHERE product_name IS NOT NULL) SELECT n.product_name, p.product_id FROM n LEFT JOIN (SELECT lower(product_name) AS plain, min(product_id) AS product_id FROM products GROUP BY 1) p USING (plain)")
+def display_names(spark, d):
+    return naming.known_products(table(spark, d, "chunks", "product_name"), table(spark, d, "products", "product_id", "product_name"))
+
+
 @_add()
 def retrieve_chunks(spark, d):
     index = pipeline.build_index(table(spark, d, "chunks"))
