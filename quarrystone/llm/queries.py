@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrystone.llm.mixing import mixture
 from quarrystone.llm.neardup import groups, similar_pairs
 from quarrystone.llm.pairs import broken_pairs
-from quarrystone.llm.scans import repaired_pages, scan_defects
+from quarrystone.llm.scans import repaired_pages, repaired_paragraphs, scan_defects
 from quarrystone.llm.splitting import oversized_ids, split_texts
 from quarrystone.llm.stuffing import shape_report, stuffed_pages
 from quarrystone.llm.tokenizing import encode_ids
@@ -29,6 +29,11 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_pages(table(spark, sf_dir, "chunks", *_CHUNK))
 
 
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of scanned documents, whole over the borders of pages."""
+    return repaired_paragraphs(table(spark, sf_dir, "chunks", *_CHUNK))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of similarity 0.6 or more."""
     return similar_pairs(table(spark, sf_dir, "chunks", "row_id", "text"))
@@ -80,7 +85,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pages, p3_found, p3_groups, p5_found, p7_found, p7_pieces, p8_ids, p9_mixture, p9_shares, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_pages, p1_paragraphs, p3_found, p3_groups, p5_found, p7_found, p7_pieces, p8_ids, p9_mixture, p9_shares, p10_found, p10_shapes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -260,6 +260,37 @@ def repaired_pages(chunks: DataFrame) -> DataFrame:
     return page.select("row_id", "document_name", "page_number", glue["text"].alias("text")).withColumn("runs_on", ~F.col("text").rlike(r"[.!?:][\"')\]]*$"))
 
 
+#: Pages of a document whose running numbers one task makes.
+BLOCK_PAGES = 512
+
+
+def repaired_paragraphs(chunks: DataFrame) -> DataFrame:
+    """``(document_name, first_page, paragraph, text)``: the paragraphs of each document, whole over the borders of pages.
+
+    ``paragraph`` counts from 0 on the page where the paragraph begins. Of pages delivered again the one of the lowest row_id counts. Where a paragraph
+    began is a running maximum over pages: inside blocks of ``BLOCK_PAGES``, then over one row a block, so that no document is
+    gathered in one task.
+    """
+    every = repaired_pages(chunks).groupBy("document_name", "page_number").agg(F.min_by(F.struct("text", "runs_on"), "row_id").alias("p"))
+    pages = materialise(every.select("document_name", "page_number", F.split("p.text", "\n\n").alias("parts"), F.col("p.runs_on").alias("runs_on")), "paragraphs")
+    before = pages.filter("runs_on").select("document_name", (F.col("page_number") + 1).alias("page_number"), F.lit(True).alias("goes_on"))
+    marks = pages.select("document_name", "page_number", F.size("parts").alias("n")).join(before, ["document_name", "page_number"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+    # The page on which the last paragraph of a page begins: this one, unless it only goes on with the one before.
+    own = F.when((F.col("n") > 1) | ~F.col("goes_on"), F.struct("page_number", (F.col("n") - 1).alias("paragraph")))
+    marks = marks.withColumn("block", F.floor(F.col("page_number") / BLOCK_PAGES)).withColumn("own", own)
+    inside = Window.partitionBy("document_name", "block").orderBy("page_number")
+    blocks = marks.groupBy("document_name", "block").agg(F.max("own").alias("top"))
+    over = Window.partitionBy("document_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    carried = blocks.select("document_name", "block", F.max("top").over(over).alias("carried"))
+    at = marks.withColumn("here", F.max("own").over(inside)).join(carried, ["document_name", "block"]).select("document_name", "page_number", "goes_on", F.coalesce("here", "carried").alias("at"))
+    previous = at.select("document_name", (F.col("page_number") + 1).alias("page_number"), F.col("at").alias("previous"))
+    pieces = pages.select("document_name", "page_number", F.posexplode("parts").alias("k", "text")).join(at.select("document_name", "page_number", "goes_on"), ["document_name", "page_number"]).join(previous, ["document_name", "page_number"], "left")
+    key = F.when((F.col("k") == 0) & F.col("goes_on"), F.col("previous")).otherwise(F.struct("page_number", F.col("k").alias("paragraph")))
+    pieces = pieces.select("document_name", key.alias("key"), "page_number", "text").filter("text <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), " ")
+    return pieces.groupBy("document_name", "key").agg(joined.alias("text")).select("document_name", F.col("key.page_number").alias("first_page"), F.col("key.paragraph").alias("paragraph"), "text")
+
+
 def is_page_number(line: str) -> bool:
     """Whether a line is a page number only, for use outside tables."""
     return re.match(PAGE_NUMBER, line) is not None

@@ -1,6 +1,6 @@
 import pytest
 
-from quarrystone.llm.scans import analyse, is_misreading, is_page_number, repaired_pages, scan_defects
+from quarrystone.llm.scans import analyse, is_misreading, is_page_number, repaired_pages, repaired_paragraphs, scan_defects
 
 WORDS = "the sensor of the unit was sealed before each shift and the reading stays below the limit while the cover is open self-test routine runs twice enclosure minutes"
 
@@ -37,6 +37,17 @@ def test_repaired_text(spark):
     assert pages[1].runs_on
 
 
+def test_paragraphs_over_pages(spark):
+    got = {(r.first_page, r.paragraph): r.text for r in repaired_paragraphs(spark.createDataFrame(_chunks(), SCHEMA)).collect()}
+    # No page of the document ends a sentence, so it is one paragraph.
+    assert set(got) == {(1, 0)}
+    assert "stays below the limit while the cover is open the unit was sealed before 105" in got[1, 0]
+    assert got[1, 0].endswith("stays below the limit")
+    ended = [(i, d, n, t.replace("each shift\n\n", "each shift.\n\n") if i == 3 else t, x) for i, d, n, t, x in _chunks() if t]
+    got = {(r.first_page, r.paragraph) for r in repaired_paragraphs(spark.createDataFrame(ended, SCHEMA)).collect()}
+    assert got == {(1, 0), (4, 0)}
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame(_chunks(), SCHEMA)
     assert scan_defects(df.limit(0)).count() == 0
