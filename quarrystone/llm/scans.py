@@ -9,6 +9,7 @@ a break if the joined word, not the one with the mark, is known.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -132,7 +133,9 @@ def corrections(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
     unknown = candidates.select("word").distinct().join(vocabulary, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     steps = sorted({(wrong, _power(right) - _power(wrong)) for right, wrong in CONFUSIONS})
     moves = [(a,) for a in steps] + list(combinations_with_replacement(steps, 2))
-    table = F.array(*[F.struct(F.lit(m[0][0]).alias("x"), F.lit(m[-1][0]).alias("y"), F.lit(sum(d for _, d in m)).cast("bigint").alias("by")) for m in moves])
+    # One constant instead of some thousand expressions.
+    said = json.dumps([{"x": m[0][0], "y": m[-1][0], "by": sum(d for _, d in m)} for m in moves])
+    table = F.from_json(F.lit(said), "array<struct<x:string,y:string,by:bigint>>")
     fitting = F.filter(table, lambda m: F.col("word").contains(m["x"]) & F.col("word").contains(m["y"]))
     tried = unknown.select("word", "n", anagram_hash(F.col("word")).alias("h"), F.explode(F.array_distinct(F.transform(fitting, lambda m: m["by"]))).alias("by")).select("word", "n", (F.col("h") + F.col("by")).alias("hash"))
     frequent = vocabulary.filter("n >= 3 and length(word) <= 40").select(F.col("word").alias("best"), F.col("n").alias("best_n"), anagram_hash(F.col("word")).alias("hash"))
