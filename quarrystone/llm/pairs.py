@@ -52,6 +52,8 @@ WORDS = {
 }
 _LANGUAGES = {k: frozenset(v) for k, v in WORDS.items()}
 SIGNS = {"ñ": "es", "¿": "es", "¡": "es", "ß": "de", "ç": "fr", "œ": "fr", "à": "fr", "è": "fr", "ê": "fr", "û": "fr", "î": "fr", "ô": "fr", "ë": "fr", "ä": "de", "ó": "es", "í": "es", "ú": "es", "á": "es"}
+LETTER, LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
+SCRIPTS = [(n, re.compile(b)) for n, b in (("zh", "[㐀-鿿]"), ("hi", "[ऀ-ॿ]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"), ("ja", "[぀-ヿ]"), ("ko", "[가-힯]"))]
 ENDED = re.compile(r"(?:[.!?。！？।…]|:-?\))[\"'”’»)\]」』*_~]*$")
 ABBREVIATED = re.compile(r"\w\s+(?:no|nos|approx|e\.g|i\.e|ca|z\.B|bzw|vgl|cf|fig|incl|resp|max|min)\.$")
 MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)])(?:\s+|$)")
@@ -60,14 +62,13 @@ CODE = r"[A-Z]{1,4}-?\d[\w\-./]*"
 
 def language(text: str) -> str | None:
     """The language of a text by script, then by short words and letters; None if they don't tell."""
-    letters = re.findall(r"[^\W\d_]", text)
-    if not letters:
-        return None
-    for name, block in (("zh", r"[㐀-鿿]"), ("hi", r"[ऀ-ॿ]"), ("ru", r"[Ѐ-ӿ]"), ("ar", r"[؀-ۿ]"), ("ja", r"[぀-ヿ]"), ("ko", r"[가-힯]")):
-        if len(re.findall(block, text)) > 0.3 * len(letters):
-            return name
+    if not text.isascii():
+        letters = len(LETTER.findall(text))
+        for name, block in SCRIPTS:
+            if len(block.findall(text)) > 0.3 * letters:
+                return name if letters else None
     low = text.lower().replace("’", "'")
-    words = re.findall(r"[^\W\d_]+", low)
+    words = LETTERS.findall(low)
     score = {k: float(sum(w in v for w in words)) for k, v in _LANGUAGES.items()}
     for sign, name in SIGNS.items():
         score[name] += 0.7 * min(2, low.count(sign))
