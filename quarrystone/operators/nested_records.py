@@ -55,10 +55,15 @@ def _array(value: Any) -> list[Any]:
     return value if isinstance(value, list) else [] if value is None else [value]
 
 
+def _whole(text: str) -> str:
+    """The text with halves of surrogate pairs, which JSON may hold and Arrow may not, replaced."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def _text(value: Any) -> str | None:
     """What an element says, None if it is null or blank in all its parts."""
     if isinstance(value, str):
-        return value if value.strip() else None
+        return _whole(value) if value.strip() else None
     if isinstance(value, dict):
         return next((t for v in value.values() if (t := _text(v)) is not None), None)
     if isinstance(value, list):
@@ -99,7 +104,7 @@ def _normal(record: dict[str, Any] | None) -> dict[str, Any] | None:
         "source": [_text(x) for x in _array(record.get("sources"))],
         "comparison_row": _rows(record.get("comparison")),
         "point": [{"text": _text({k: v for k, v in p.items() if k != "questions"} if isinstance(p, dict) else p) or (_text(p) and ""), "question": _questions(_pick(p, "questions"))} for p in _array(record.get("right_to_win"))],
-        "answer": [{"key": k, "text": _text(v)} for k, v in answers.items()] if isinstance(answers, dict) else [],
+        "answer": [{"key": _whole(k), "text": _text(v)} for k, v in answers.items()] if isinstance(answers, dict) else [],
     }
 
 

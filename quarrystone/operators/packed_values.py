@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ SEPARATOR = re.compile(r"[\n\r\t;|,/+&•·]|(?<!\S)(?:and|und|et|y)(?!\S)")
 NUMBER = re.compile(r"(?:^|(?<=\s))\(?\d{1,3}[.)]\s+")
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "‘": "’", "«": "»"}
 BLANK = " \xa0"
+#: So many characters beside a value tell whether it stands alone.
+NEAR = 48
 EDGE = " \t\r\n\f\v\xa0  　"
 
 
@@ -57,34 +60,39 @@ class Splitter:
         spans = []
         for end, size in self.automaton.iter(low) if self.any else ():
             s, e = end + 1 - size, end + 1
-            before, after = low[:s].rstrip(" \"'“„‘«"), low[e:].lstrip(" \"'”“’»")
+            before, after = low[max(0, s - NEAR) : s].rstrip(" \"'“„‘«"), low[e : e + NEAR].lstrip(" \"'”“’»")
             opened = not before or SEPARATOR.match(before[-1]) or re.search(r"(?:^|\s)(?:and|und|et|y|[\-*•·–—]|\(?\d{1,3}[.)])$|\[$", before)
             closed = not after or SEPARATOR.match(after) or after[0] in "]" or re.match(r"\(?\d{1,3}[.)]\s", after)
             if opened and closed:
                 spans.append((s, e))
-        best: dict[int, tuple[int, int, list[tuple[int, int]]]] = {0: (0, 0, [])}
-        last = (0, 0, [])
-        ends: list[int] = [0]
+        # Best cover up to each end, with the cover it continues; covers of later ends are never worse than those before.
+        ends, best, link = [0], [(0, 0)], [(-1, -1)]
         for s, e in sorted(spans, key=lambda x: (x[1], x[0])):
-            at = max(k for k in ends if k <= s)
-            covered, count, chosen = best[at]
-            new = (covered + e - s, count - 1, [*chosen, (s, e)])
-            if new[:2] > last[:2]:
-                last = new
-                if ends[-1] != e:
+            at = bisect_right(ends, s) - 1
+            new = (best[at][0] + e - s, best[at][1] - 1)
+            if new > best[-1]:
+                if ends[-1] == e:
+                    best[-1], link[-1] = new, (at, s)
+                else:
                     ends.append(e)
-                best[e] = last
-        return last[2]
+                    best.append(new)
+                    link.append((at, s))
+        chosen, k = [], len(ends) - 1
+        while k > 0:
+            at, s = link[k]
+            chosen.append((s, ends[k]))
+            k = at
+        return chosen[::-1]
 
     def _quoted(self, text: str) -> list[tuple[int, int]]:
         """Spans of quotes that open where an item may start and close where one may end."""
         spans, at = [], 0
         while at < len(text):
             close = QUOTES.get(text[at])
-            before = text[:at].rstrip(BLANK)
+            before = text[max(0, at - NEAR) : at].rstrip(BLANK)
             if close and (not before or SEPARATOR.match(before[-1]) or re.search(r"(?:\s|^)(?:and|und|et|y|[\-*–—]|\(?\d{1,3}[.)])$", before)):
                 end = text.find(close, at + 1)
-                while end > 0 and (rest := text[end + 1 :].lstrip(BLANK)) and not (SEPARATOR.match(rest) or re.match(r"\(?\d{1,3}[.)]\s", rest)):
+                while end > 0 and (rest := text[end + 1 : end + NEAR].lstrip(BLANK)) and not (SEPARATOR.match(rest) or re.match(r"\(?\d{1,3}[.)]\s", rest)):
                     end = text.find(close, end + 1)
                 if end > 0:
                     spans.append((at, end + 1))
@@ -100,7 +108,7 @@ class Splitter:
             try:
                 values = json.loads(body)
                 return tuple(v for x in values if x is not None and (v := _clean(x if isinstance(x, str) else json.dumps(x))) and not is_placeholder(v))
-            except ValueError:
+            except (ValueError, RecursionError):
                 body = body[1:-1]
         low = body.lower() if len(body.lower()) == len(body) else body
         kept = bytearray(len(body))
@@ -119,7 +127,7 @@ class Splitter:
 
 def _clean(item: str) -> str:
     """The item without outer blanks, numbering, bullets and a pair of quotes."""
-    item = item.strip(EDGE)
+    item = (item if item.isascii() else item.encode("utf-8", "replace").decode()).strip(EDGE)
     while m := re.match(BULLET, item):
         item = item[m.end() :].lstrip(EDGE)
     if len(item) > 1 and QUOTES.get(item[0]) == item[-1]:
