@@ -95,10 +95,16 @@ def _minima(shingles: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.n
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 1500) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 1500, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``size`` rows and, unless a single row has more, ``most`` bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, size)
+            weight = np.cumsum(sum(np.asarray(pc.fill_null(pc.binary_length(c), 0)).astype(np.int64) for c in part.columns if pa.types.is_string(c.type)))
+            rows = max(1, int(np.searchsorted(weight, most, "right")))
+            yield part.slice(0, rows)
+            at += min(rows, part.num_rows)
 
 
 def _signed(x: np.ndarray) -> pa.Array:

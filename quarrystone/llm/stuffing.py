@@ -27,7 +27,7 @@ GRAMMAR = set(
     "au aux avec ce ces dans des du elle est et il ils l la le les lorsque même n ne nous ou par pas pour quand qu que sa se ses si son sous sur un une après d "
     "और का की के को कि जब तब तो पर में से है हैं हो हम लिए जाता दिखाता चाहिए बाद करनी".split()
 )
-LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+", re.I)
+LINK = re.compile(r"<a\b[^<>]{0,2000}>[^<]{0,500}</a>|\[[^\[\]\n]{0,500}\]\([^()\s]{0,2000}\)|(?:https?://|www\.)\S+", re.I)
 TAG = re.compile(r"(?<![\w&])#\w[\w\-]*")
 GLUED = re.compile(r"^#?\w+(?:[-_]\w+)*$")
 SEPARATOR = re.compile(r"\s*(?:[,|;•·*›»>→~]|\s[–—/\-]\s|\t)\s*")
