@@ -9,15 +9,20 @@ whole corpus list one after another. A page is found if list shapes and such phr
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrystone.session import materialise
+
 #: Short words of grammar; a pair with one of them is no search phrase.
 GRAMMAR = set(
     "a an and are as at be been before but by can down e for from g has have if in is it its itself no not of on one only or our out over so than that the then "
@@ -97,10 +102,8 @@ def listed(text: str | None) -> set[str]:
     return {p for p in found if 2 <= len(w := WORD.findall(p)) <= 4 and w[0] not in GRAMMAR and w[-1] not in GRAMMAR and not any(x.isdigit() for x in w)}
 
 
-def page(text: str | None, phrases: frozenset[tuple[str, ...]] = frozenset()) -> tuple[float, list[tuple[str, str, int, int]]]:
-    """The share of stuffed characters of a text and its shapes ``(kind, shape, lines, characters)``; 0 and none for blank text."""
-    if not text or not text.strip():
-        return 0.0, []
+def _lines(text: str) -> tuple[int, int, list[str], dict[tuple[str, str], list[int]]]:
+    """Characters of a text, those of its list shapes, its prose lines, and its shapes with their lines and characters."""
     groups: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
     prose: list[str] = []
     total, number = 0, Counter()
@@ -130,74 +133,140 @@ def page(text: str | None, phrases: frozenset[tuple[str, ...]] = frozenset()) ->
         again = [s for s in short if any(heads[w] >= max(3, len(short) // 12) for w in WORD.findall(s.lower()))]
         if len(again) * 2 > len(short):
             stuffed += sum(len(s) for s in short)
-    stuffed += _phrase_chars(prose, phrases)
+    return total, stuffed, prose, groups
+
+
+def page(text: str | None, phrases: frozenset[tuple[str, ...]] = frozenset()) -> tuple[float, list[tuple[str, str, int, int]]]:
+    """The share of stuffed characters of a text and its shapes ``(kind, shape, lines, characters)``; 0 and none for blank text."""
+    if not text or not text.strip():
+        return 0.0, []
+    total, stuffed, prose, groups = _lines(text)
+    stuffed += _Prose(prose).chars(phrases)
     return min(1.0, stuffed / max(1, total)), [(k, s, n, c) for (k, s), (n, c) in groups.items()]
 
 
-def _phrase_chars(lines: list[str], phrases: frozenset[tuple[str, ...]]) -> int:
-    """Characters of the words of prose lines that belong to phrases which come back on the page."""
-    # A sentence that is repeated as a whole is one sentence: warnings may come again.
-    sentences = Counter(s.strip() for line in lines for s in SENTENCE.findall(line) if s.strip())
-    words, spans = [], []
-    run_on = 0
-    for s, times in list(sentences.items()):
-        found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(s)]
-        ws = [w for w, _, _ in found]
-        if len(ws) >= 25 and 3 <= len(set(ws)) <= 0.35 * len(ws) and not re.search(r"[.!?。！？।]", s):
-            run_on += (len(s) + 1) * times  # words without end, the same ones again and again
-            continue
-        words.append(ws)
-        spans.append((s, times, found))
-    # Where hardly any pair of words comes back, nothing else does; that spares the count for most pages.
-    pairs: Counter[tuple[str, str]] = Counter()
-    for ws in words:
-        pairs.update(zip(ws, ws[1:], strict=False))
-    again = sum(n for (x, y), n in pairs.items() if n >= 3 and x not in GRAMMAR and y not in GRAMMAR)
-    common = {g for g in phrases if g[:2] in pairs}
-    if again * 8 >= sum(map(len, words)):
-        common |= _loose(words)
-    if not common:
-        return run_on
-    covered = 0
-    for (s, times, found), ws in zip(spans, words, strict=True):
-        inside = [False] * len(ws)
-        for n in (2, 3, 4):
-            for k in range(len(ws) - n + 1):
-                if tuple(ws[k : k + n]) in common:
-                    inside[k : k + n] = [True] * n
-        at, size = 0, 0
-        while at < len(ws):
-            if inside[at]:
-                end = at
-                while end + 1 < len(ws) and inside[end + 1]:
-                    end += 1
-                size += found[end][2] - found[at][1] + 1
-                at = end
-            at += 1
-        # A sentence with hardly any word besides phrases is stuffing as a whole.
-        if sum(inside) >= 0.4 * len(ws) and len(ws) >= 3:
-            size = len(s) + 1
-        covered += min(size, len(s) + 1) * times
-    return covered + run_on
-
-
-def listed_phrases(docs: DataFrame, text_col: str = "text", least_pages: int = 3, least_share: float = 0.0005) -> frozenset[tuple[str, ...]]:
-    """Phrases that stand in list shapes on at least ``least_pages`` pages and on a share ``least_share`` of all pages.
-
-    The share bounds what comes to the driver: 1 / least_share times the phrases an average page lists, whatever the size of the corpus.
-    """
-    src = docs.select(text_col)
+class _Prose:
+    """The words of prose lines, and the characters of those that belong to phrases."""
+
+    def __init__(self, lines: list[str]):
+        # A sentence that is repeated as a whole is one sentence: warnings may come again.
+        sentences = Counter(s.strip() for line in lines for s in SENTENCE.findall(line) if s.strip())
+        self.words: list[list[str]] = []
+        self.spans: list[tuple[str, int, list[tuple[str, int, int]]]] = []
+        self.run_on = 0
+        for s, times in list(sentences.items()):
+            found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(s)]
+            ws = [w for w, _, _ in found]
+            if len(ws) >= 25 and 3 <= len(set(ws)) <= 0.35 * len(ws) and not re.search(r"[.!?。！？।]", s):
+                self.run_on += (len(s) + 1) * times  # words without end, the same ones again and again
+                continue
+            self.words.append(ws)
+            self.spans.append((s, times, found))
+        self.pairs: Counter[tuple[str, str]] = Counter()
+        for ws in self.words:
+            self.pairs.update(zip(ws, ws[1:], strict=False))
+        # Where hardly any pair of words comes back, nothing else does; that spares the count for most pages.
+        again = sum(n for (x, y), n in self.pairs.items() if n >= 3 and x not in GRAMMAR and y not in GRAMMAR)
+        self.loose = _loose(self.words) if again * 8 >= sum(map(len, self.words)) else set()
+
+    def candidates(self, known: _Filter) -> set[tuple[str, ...]]:
+        """The phrases of two to four words that a filter lets through."""
+        leads = {p for p in self.pairs if p[0] not in GRAMMAR and known.leads(p)}
+        if not leads:
+            return set()
+        found = set()
+        for ws in self.words:
+            for k, p in enumerate(zip(ws, ws[1:], strict=False)):
+                if p in leads:
+                    found.update(g for n in (2, 3, 4) if len(g := tuple(ws[k : k + n])) == n and known.has(g))
+        return found
+
+    def chars(self, phrases: Iterable[tuple[str, ...]]) -> int:
+        """Characters of the words that belong to phrases which come back on the page or to the given ones."""
+        common = self.loose | {g for g in phrases if g[:2] in self.pairs}
+        if not common:
+            return self.run_on
+        covered = 0
+        for (s, times, found), ws in zip(self.spans, self.words, strict=True):
+            inside = [False] * len(ws)
+            for n in (2, 3, 4):
+                for k in range(len(ws) - n + 1):
+                    if tuple(ws[k : k + n]) in common:
+                        inside[k : k + n] = [True] * n
+            at, size = 0, 0
+            while at < len(ws):
+                if inside[at]:
+                    end = at
+                    while end + 1 < len(ws) and inside[end + 1]:
+                        end += 1
+                    size += found[end][2] - found[at][1] + 1
+                    at = end
+                at += 1
+            # A sentence with hardly any word besides phrases is stuffing as a whole.
+            if sum(inside) >= 0.4 * len(ws) and len(ws) >= 3:
+                size = len(s) + 1
+            covered += min(size, len(s) + 1) * times
+        return covered + self.run_on
+
+
+class _Filter:
+    """A Bloom filter of phrases and of their first two words, of a fixed size: what it keeps out is no phrase, what it lets through is joined."""
+
+    BITS = 1 << 24
+
+    def __init__(self, bits: bytes | bytearray):
+        self.bits = bits
+        self.seen: dict[tuple[str, ...], bool] = {}
+
+    @staticmethod
+    def places(key: str) -> tuple[int, int]:
+        h = xxhash.xxh3_64_intdigest(key)
+        return h % _Filter.BITS, (h >> 32) % _Filter.BITS
+
+    def _test(self, key: str) -> bool:
+        return all(self.bits[k >> 3] >> (k & 7) & 1 for k in self.places(key))
+
+    def leads(self, pair: tuple[str, str]) -> bool:
+        found = self.seen.get(pair)
+        if found is None:
+            if len(self.seen) >= 500_000:
+                self.seen.clear()
+            found = self.seen[pair] = self._test("^" + " ".join(pair))
+        return found
+
+    def has(self, words: tuple[str, ...]) -> bool:
+        return self._test(" ".join(words))
+
+    @classmethod
+    def of(cls, known: DataFrame) -> bytes:
+        """The filter of a table of phrases, made by the executors and put together part by part."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = bytearray(cls.BITS // 8)
+            for batch in batches:
+                for phrase in batch.column(0).to_pylist():
+                    for key in (phrase, "^" + " ".join(phrase.split(" ")[:2])):
+                        for k in cls.places(key):
+                            bits[k >> 3] |= 1 << (k & 7)
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(bits)], pa.binary())], ["bits"])
+
+        whole = np.zeros(cls.BITS // 8, np.uint8)
+        for row in known.select("phrase").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+            whole |= np.frombuffer(bytes(row.bits), np.uint8)
+        return whole.tobytes()
+
+
+def listed_phrases(docs: DataFrame, text_col: str = "text", least_pages: int = 3) -> DataFrame:
+    """``(phrase, pages)``: phrases, as words between spaces, that stand in list shapes on at least ``least_pages`` pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                part = [sorted(listed(t)) for t in batch.column(0).slice(at, 2000).to_pylist()]
+                part = [sorted({" ".join(WORD.findall(p)) for p in listed(t)}) for t in batch.column(0).slice(at, 2000).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], ["phrases"])
 
-    each = src.mapInArrow(run, "phrases array<string>")
-    counts = each.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("pages"))
-    least = max(least_pages, int(src.count() * least_share))
-    return frozenset(tuple(WORD.findall(r.phrase)) for r in counts.filter(F.col("pages") >= least).select("phrase").toLocalIterator())
+    each = docs.select(text_col).mapInArrow(run, "phrases array<string>")
+    return each.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
 
 
 def _loose(words: list[list[str]]) -> set[tuple[str, ...]]:
@@ -222,30 +291,80 @@ def _loose(words: list[list[str]]) -> set[tuple[str, ...]]:
     return {g for g, n in seen.items() if n >= 3 and min(len(left[g]), len(right[g])) >= max(3, min(6, 0.4 * n))}
 
 
-def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: frozenset[tuple[str, ...]] | None = None) -> DataFrame:
-    """``(id_col, stuffed double, shapes array<struct<kind, shape, lines, chars>>)`` of every row.
+def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, shapes array<struct<kind, shape, lines, chars>>)`` of every row.
 
-    Null and blank texts have share 0 and no shapes; repeated rows come out as often as they stand in the
+    Null and blank texts have no shapes; repeated rows come out as often as they stand in the
     table. All lines of a text are in one row, so nothing is shuffled and no text weighs on the others.
-    ``phrases`` defaults to those of ``listed_phrases``, whose number is bounded by its parameters.
     """
-    known = listed_phrases(docs, text_col) if phrases is None else phrases
     src = docs.select(id_col, text_col)
     item = pa.list_(pa.struct([("kind", pa.string()), ("shape", pa.string()), ("lines", pa.int32()), ("chars", pa.int64())]))
-    kind = T.StructType([src.schema[id_col], *T.StructType.fromDDL("stuffed double, shapes array<struct<kind:string,shape:string,lines:int,chars:bigint>>").fields])
+    kind = T.StructType([src.schema[id_col], *T.StructType.fromDDL("shapes array<struct<kind:string,shape:string,lines:int,chars:bigint>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [page(t, known) for t in batch.column(1).to_pylist()]
-            groups = [[dict(zip(("kind", "shape", "lines", "chars"), g, strict=True)) for g in gs] for _, gs in pages]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in pages], pa.float64()), pa.array(groups, item)], [id_col, "stuffed", "shapes"])
+            pages = [_lines(t)[3] if t and t.strip() else {} for t in batch.column(1).to_pylist()]
+            groups = [[{"kind": k, "shape": s, "lines": n, "chars": c} for (k, s), (n, c) in g.items()] for g in pages]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, item)], [id_col, "shapes"])
 
     return src.mapInArrow(run, kind)
 
 
+def _bounds(text: str | None, known: _Filter, least: float | None) -> tuple[float, set[tuple[str, ...]]]:
+    """The share of stuffing without phrases of the corpus, and the phrases that decide; none where the share, or its side of ``least``, is sure."""
+    if not text or not text.strip():
+        return 0.0, set()
+    total, stuffed, lines, _ = _lines(text)
+    share = lambda chars: min(1.0, (stuffed + chars) / max(1, total))
+    if least is not None and share(0) > least:
+        return share(0), set()
+    prose = _Prose(lines)
+    low = share(prose.chars(()))
+    if least is not None and low > least:
+        return low, set()
+    open_ = prose.candidates(known)
+    high = share(prose.chars(open_)) if open_ else low
+    return low, open_ if high > (low if least is None else least) else set()
+
+
+def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
+    """``(id_col, stuffed double)`` of every row; with ``least``, ``stuffed`` is exact only as to whether it is above it.
+
+    The phrases of the corpus stay a distributed table. Most pages are settled without it: a filter of fixed size tells which of their
+    phrases it may hold. Only pages that these can decide are joined with the table, by phrase, and counted with those it holds. Null and
+    blank texts have share 0; repeated rows come out as often as they stand in the table.
+    """
+    known = materialise(listed_phrases(docs, text_col), "stuffing-phrases")
+    bits = _Filter.of(known)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    of_id = src.schema["id"]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = _Filter(bits)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = [_bounds(t, near, least) for t in texts]
+            key = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if c else None for t, (_, c) in zip(texts, found, strict=True)]
+            columns = [pa.array([s for s, _ in found], pa.float64()), pa.array(key, pa.string()), pa.array([t if k else None for t, k in zip(texts, key, strict=True)], pa.string()), pa.array([sorted(map(" ".join, c)) if c else None for _, c in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "stuffed", "key", "text", "phrases"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [page(t, frozenset(tuple(p.split(" ")) for p in ps or ()))[0] for t, ps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["id", "stuffed"])
+
+    fields = T.StructType.fromDDL("stuffed double, key string, text string, phrases array<string>").fields
+    each = materialise(src.mapInArrow(first, T.StructType([of_id, *fields])), "stuffing-pages")
+    undecided = each.filter("key is not null")
+    # Equal texts have equal phrases: they are joined once.
+    held = undecided.select("key", F.explode("phrases").alias("phrase")).distinct().join(known.select("phrase"), "phrase").groupBy("key").agg(F.collect_list("phrase").alias("held"))
+    decided = undecided.join(held, "key", "left").select("id", "text", "held").mapInArrow(second, T.StructType([of_id, fields[0]]))
+    return each.filter("key is null").select("id", "stuffed").unionByName(decided).withColumnRenamed("id", id_col)
+
+
 def stuffed_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The ids of the pages of whose text more than ``least`` is stuffing; a page of several rows comes out for each."""
-    return shapes(docs, id_col, text_col).filter(F.col("stuffed") > least).select(id_col)
+    return shares(docs, id_col, text_col, least).filter(F.col("stuffed") > least).select(id_col)
 
 
 def shape_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from quarrystone.llm.stuffing import page, shape, shape_report, stuffed_pages
+from quarrystone.llm.stuffing import page, shape, shape_report, shares, stuffed_pages
 
 PHRASES = ["gas sensor", "leak tester", "buy sensor online", "h2 monitor"]
 PROSE = "The technician moved the probe from the roof to the hall. Unless the unit is sealed, the reading drifts slowly upward.\nWhen the fan runs at half speed, accuracy is no longer guaranteed in the north wing."
@@ -48,3 +48,14 @@ def test_shapes():
     assert shape("https://a.example/b")[0] == "link"
     assert shape("Home > Offers > Wall")[0] == "path"
     assert page(None) == (0.0, []) and page("\n \n") == (0.0, [])
+
+
+def test_phrases_listed_on_few_of_many_pages(spark):
+    words = ["wasserstoff sensor", "gasmelder preis", "alarma fija", "capteur gaz", "leckage sucher", "sonda larga", "methan melder", "prix balise"]
+    lists = [(k, ", ".join(words)) for k in (1, 2, 3)]
+    page_of = (4, " ".join(f"Today {p} helps." for p in words))
+    plain = [(k, f"The pump of hall {k} was checked before noon.") for k in range(10, 9010)]
+    df = spark.createDataFrame([*lists, page_of, page_of, *plain], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [1, 2, 3, 4, 4]
+    assert {r.doc_id for r in stuffed_pages(df.filter("doc_id <> 3")).collect()} == {1, 2}  # two pages list them: too few
+    assert {r.stuffed for r in shares(df.filter("doc_id <= 4")).collect()} == {1.0}
