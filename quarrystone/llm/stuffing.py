@@ -165,9 +165,7 @@ class _Prose:
         self.pairs: Counter[tuple[str, str]] = Counter()
         for ws in self.words:
             self.pairs.update(zip(ws, ws[1:], strict=False))
-        # Where hardly any pair of words comes back, nothing else does; that spares the count for most pages.
-        again = sum(n for (x, y), n in self.pairs.items() if n >= 3 and x not in GRAMMAR and y not in GRAMMAR)
-        self.loose = _loose(self.words) if again * 8 >= sum(map(len, self.words)) else set()
+        self.loose = _loose(self.words, {p for p, n in self.pairs.items() if n >= 3})
 
     def candidates(self, known: _Filter) -> set[tuple[str, ...]]:
         """The phrases of two to four words that a filter lets through."""
@@ -269,25 +267,36 @@ def listed_phrases(docs: DataFrame, text_col: str = "text", least_pages: int = 3
     return each.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
 
 
-def _loose(words: list[list[str]]) -> set[tuple[str, ...]]:
+def _loose(words: list[list[str]], often: set[tuple[str, str]]) -> set[tuple[str, ...]]:
     """Phrases of two to four words that stand between ever other neighbours.
 
     The repeated words of a sentence pattern have the same neighbour on one side; a search phrase stands anywhere. Numbers and codes
-    are one neighbour.
+    are one neighbour. ``often`` has the pairs of words that stand at least three times: a phrase comes back as often only if
+    all its pairs do, so that only runs of such pairs are counted.
     """
+    number = lambda w: any(c.isdigit() for c in w) and w != "h2"
+    inner = {p for p in often if not number(p[0]) and not number(p[1])}
+    if not any(p[0] not in GRAMMAR for p in inner):
+        return set()
     seen: Counter[tuple[str, ...]] = Counter()
     left: dict[tuple[str, ...], set[str]] = defaultdict(set)
     right: dict[tuple[str, ...], set[str]] = defaultdict(set)
     for ws in words:
-        plain = ["^", *("0" if any(c.isdigit() for c in w) and w != "h2" else w for w in ws), "$"]
-        for n in (2, 3, 4):
-            for k in range(1, len(plain) - n):
-                gram = tuple(plain[k : k + n])
-                if gram[0] in GRAMMAR or gram[-1] in GRAMMAR or "0" in gram:
+        runs = [p in inner for p in zip(ws, ws[1:], strict=False)]
+        for k, first in enumerate(runs):
+            if not first or ws[k] in GRAMMAR:
+                continue
+            before = "^" if not k else "0" if number(ws[k - 1]) else ws[k - 1]
+            for n in (2, 3, 4):
+                end = k + n
+                if end > len(ws) or not runs[end - 2]:
+                    break
+                if ws[end - 1] in GRAMMAR:
                     continue
+                gram = tuple(ws[k:end])
                 seen[gram] += 1
-                left[gram].add(plain[k - 1])
-                right[gram].add(plain[k + n])
+                left[gram].add(before)
+                right[gram].add("$" if end == len(ws) else "0" if number(ws[end]) else ws[end])
     return {g for g, n in seen.items() if n >= 3 and min(len(left[g]), len(right[g])) >= max(3, min(6, 0.4 * n))}
 
 

@@ -59,3 +59,9 @@ def test_phrases_listed_on_few_of_many_pages(spark):
     assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [1, 2, 3, 4, 4]
     assert {r.doc_id for r in stuffed_pages(df.filter("doc_id <> 3")).collect()} == {1, 2}  # two pages list them: too few
     assert {r.stuffed for r in shares(df.filter("doc_id <= 4")).collect()} == {1.0}
+
+
+def test_phrases_with_a_word_of_grammar_inside():
+    frames = ["Nous {} vendons.", "Ici {} arrive.", "Leur {} brille.", "Chez {} gagne.", "Voyez {} demain.", "Prenez {} bientôt.", "Testez {} chaque.", "Aimez {} toujours."]
+    for phrase in ("capteur pas cher", "detector de metano", "prix du capteur", "calibration gas for methane"):
+        assert page("\n".join(f.format(phrase) for f in frames))[0] > 0.5
