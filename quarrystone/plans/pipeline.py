@@ -6,6 +6,7 @@ runs offline and gives the same result each time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.operators import chunking, guard, vectors
+from quarrystone.functions.text import keywords
+from quarrystone.operators import chunking, guard, naming, vectors
 from quarrystone.session import materialise
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -21,12 +23,12 @@ Embedder = Callable[[list[str]], np.ndarray]
 NO_SOURCE = "The approved documents do not answer this."
 BLOCKED = "This statement needs a check by the compliance team."
 DIMENSIONS = 96
+#: Least chunks of each of several products; chunks that keywords add.
+PER_PRODUCT, KEYWORD_EXTRAS = 10, 3
 
 
 def hashed(texts: list[str]) -> np.ndarray:
     """Word counts hashed into ``DIMENSIONS`` signed places, of length one."""
-    import re
-
     import xxhash
 
     out = np.zeros((len(texts), DIMENSIONS))
@@ -58,16 +60,132 @@ def build_index(chunks: DataFrame, embedder: Embedder = hashed) -> DataFrame:
     return materialise(first.join(vec.select(F.col("vec_id").alias("row_id"), "embedding"), "row_id"), "index")
 
 
-def retrieve(index: DataFrame, questions: DataFrame, k: int = 8, embedder: Embedder = hashed, excluded: list[str] | None = None) -> DataFrame:
-    """``(query_id, row_id, sim, rank, confidence)``: the k best chunks of every question; none where the best one is too far."""
+def plan(questions: DataFrame, named: DataFrame, k: int = 8, resolved: bool = False) -> DataFrame:
+    """``(id, part, product_name, n)``: the searches that a question ``(id, question)`` needs; ``named`` has ``(id, product_name)``.
+
+    A question for all products takes the best chunk of every document (``list``), unless its products are ``resolved`` by the caller. One
+    named product takes the k best of it, several take max(10, k / number) of each (``main``); either is supplemented by the k best of
+    all (``more``). Any other question takes the k best of all (``main``).
+    """
+    count = named.groupBy("id").agg(F.count(F.lit(1)).alias("names"))
+    q = questions.select("id", (F.lit(False) if resolved else guard.question_flags(F.col("question"))["list_all"]).alias("list_all")).join(count, "id", "left")
+    lists, other = q.filter("list_all"), q.filter("not list_all")
+    out = lambda rows, part, product, n: rows.select("id", F.lit(part).alias("part"), product.cast("string").alias("product_name"), n.cast("int").alias("n"))
+    each = F.when(F.col("names") == 1, F.lit(k)).otherwise(F.greatest(F.lit(PER_PRODUCT), F.floor(F.lit(k) / F.col("names"))))
+    scoped = out(other.join(named, "id"), "main", F.col("product_name"), each)
+    return scoped.unionByName(out(other.filter("names is null"), "main", F.lit(None), F.lit(k))).unionByName(out(other.filter("names is not null"), "more", F.lit(None), F.lit(k))).unionByName(out(lists, "list", F.lit(None), F.lit(1)))
+
+
+def retrieve(index: DataFrame, questions: DataFrame, k: int = 8, embedder: Embedder = hashed, excluded: list[str] | None = None, named: DataFrame | None = None) -> DataFrame:
+    """``(query_id, row_id, sim, rank, confidence)``: the chunks that answer every question as ``plan`` says; none where the best one is too far.
+
+    To the best chunks of a question for no list come up to three others of its products that contain one of its keywords. Several products
+    take turns, the supplement comes last, lists go by document. ``named`` has ``(id, product_name)``, the products of the questions;
+    by default those of the index of which a question has a telling token. Excluded documents are left out of every search.
+    """
     kept = index.filter(~F.col("document_name").isin(excluded)) if excluded else index
-    base = kept.select(F.col("row_id").alias("vec_id"), "embedding")
+    names = materialise((naming.mentions(questions, "id", "question", index) if named is None else named.select("id", "product_name").distinct()), "named")
     # Ids of questions and chunks are of different tables: negative ones keep a question from hiding a chunk.
-    asked = embed(questions.select((-F.col("id") - 1).alias("id"), "question"), "id", "question", embedder).select("vec_id", "embedding")
-    found = vectors.top_k(base, asked, k)
-    best = F.max("sim").over(Window.partitionBy("query_id"))  # k rows
-    out = found.select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("row_id"), "sim", "rank", vectors.confidence(best).alias("confidence"))
-    return out.filter("confidence <> 'none'")
+    vec = embed(questions.select((-F.col("id") - 1).alias("id"), "question"), "id", "question", embedder).select((-F.col("vec_id") - 1).alias("id"), "embedding")
+    words = questions.select("id", keywords(F.col("question")).alias("words"))
+    asked = materialise(plan(questions, names, k, named is not None).join(vec, "id").join(words, "id").withColumn("search", F.monotonically_increasing_id()), "asked")
+
+    found = materialise(_search(kept, asked.filter("part <> 'list'")), "found")
+    of = asked.select("search", F.col("id").alias("query_id"), "part", F.col("product_name").alias("product"), "n")
+    best = found.join(of, "search")
+    rank = F.row_number().over(Window.partitionBy("search").orderBy(F.col("sim").desc(), "row_id"))  # n of every task
+    main = best.filter("not by_word").withColumn("rank", rank).filter("rank <= n")
+    cols = ["query_id", "row_id", "sim", "product"]
+    first = main.filter("part = 'main'").select(*cols)
+    extra = best.filter("by_word").select(*cols).join(first, ["query_id", "row_id"], "left_anti")
+    extra = extra.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "row_id"))).filter(F.col("k") <= KEYWORD_EXTRAS).select(*cols)
+    scoped = first.unionByName(extra)
+    turn = F.row_number().over(Window.partitionBy("query_id", "product").orderBy(F.col("sim").desc(), "row_id"))
+    more = main.filter("part = 'more'").select(*cols).join(scoped, ["query_id", "row_id"], "left_anti")
+    listed = vectors.top_k(kept.select((F.col("row_id")).alias("vec_id"), "embedding", F.col("document_name").alias("scope")), asked.filter("part = 'list'").select((-F.col("id") - 1).alias("vec_id"), F.lit(None).cast("string").alias("scope"), "embedding"), 1, scope="scope", mode="each")
+    order = lambda rows, part, at, name: rows.select("query_id", "row_id", "sim", F.lit(part).alias("part"), at.cast("int").alias("turn"), name.alias("name"))
+    by_document = listed.select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("row_id"), "sim", "scope")
+    whole = order(scoped, 0, turn, F.col("product")).unionByName(order(more, 1, F.lit(0), F.lit(None).cast("string"))).unionByName(order(by_document, 0, F.lit(0), F.col("scope")))
+    of_query = Window.partitionBy("query_id")  # the chunks of one answer
+    ranked = whole.withColumn("rank", F.row_number().over(of_query.orderBy("part", "turn", "name", F.col("sim").desc(), "row_id")))
+    return ranked.select("query_id", "row_id", "sim", "rank", vectors.confidence(F.max("sim").over(of_query)).alias("confidence")).filter("confidence <> 'none'")
+
+
+def _search(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(search, row_id, sim, by_word)``: per task the n best chunks of every search, and the best of those that contain a keyword.
+
+    A keyword of letters and digits stands inside one run of them, so that each run is compared with the keywords once. Of the
+    chunks with a keyword, so many more are kept as the n best can take away again.
+    """
+    src = index.select("row_id", "product_name", "text", "embedding").filter("embedding is not null")
+    blocks: list[list] = [[]]
+    for row in asked.select("search", "part", "product_name", "n", "embedding", "words").toLocalIterator():
+        if len(blocks[-1]) == vectors.BLOCK:
+            blocks.append([])
+        blocks[-1].append(row.asDict())
+    out = None
+    for block in filter(None, blocks):
+        part = src.mapInArrow(_searcher(block), "search bigint, row_id bigint, sim double, by_word boolean")
+        out = part if out is None else out.unionByName(part)
+    return index.sparkSession.createDataFrame([], "search bigint, row_id bigint, sim double, by_word boolean") if out is None else out
+
+
+def _searcher(block: list[dict]):
+    matrix = np.array([r["embedding"] for r in block], np.float64)
+    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    known = {w: j for j, w in enumerate(sorted({w for r in block if r["part"] == "main" for w in r["words"] or ()}))}
+    wanted = np.zeros((len(block), len(known)), np.float32)
+    for i, r in enumerate(block):
+        if r["part"] == "main":
+            wanted[i, [known[w] for w in r["words"] or ()]] = 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list[int]] = {}
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        least = np.full((len(block), 2), -np.inf)
+
+        def inside(token: str) -> list[int]:
+            found = memo.get(token)
+            if found is None:
+                if len(memo) >= 200_000:
+                    memo.clear()
+                found = memo[token] = [j for w, j in known.items() if w in token]
+            return found
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                row = batch.column(0).to_numpy(zero_copy_only=False)
+                product = np.array(batch.column(1).to_pylist(), object)
+                has = np.zeros((batch.num_rows, len(known)), np.float32)
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    for token in set(re.findall("[a-z0-9]+", text.lower())):
+                        if js := inside(token):
+                            has[i, js] = 1
+                v = np.array(batch.column(3).to_pylist(), np.float64)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                places = {p: np.flatnonzero(product == p) for p in {r["product_name"] for r in block} - {None}}
+                everywhere = np.arange(len(row))
+                sims = np.round(unit @ v.T, 5) + 0.0
+                hit = wanted @ has.T > 0
+                for i, r in enumerate(block):
+                    own = everywhere if r["product_name"] is None else places[r["product_name"]]
+                    for by_word, n in ((0, r["n"]), (1, r["n"] + KEYWORD_EXTRAS)):
+                        some = own[(sims[i, own] >= least[i, by_word]) & (hit[i, own] if by_word else True)]
+                        if not len(some):
+                            continue
+                        ids, s = row[some], sims[i, some]
+                        if (i, by_word) in best:
+                            ids, s = np.concatenate([best[i, by_word][0], ids]), np.concatenate([best[i, by_word][1], s])
+                        order = np.lexsort((ids, -s))[:n]
+                        best[i, by_word] = ids[order], s[order]
+                        if len(order) == n:
+                            least[i, by_word] = s[order[-1]]
+        if best:
+            out = [(np.full(len(ids), block[i]["search"]), ids, s, np.full(len(ids), by_word == 1)) for (i, by_word), (ids, s) in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["search", "row_id", "sim", "by_word"])
+
+    return run
 
 
 def answer(index: DataFrame, questions: DataFrame, k: int = 8, embedder: Embedder = hashed) -> DataFrame:
@@ -76,10 +194,13 @@ def answer(index: DataFrame, questions: DataFrame, k: int = 8, embedder: Embedde
     texts = index.select("row_id", "text", "document_name")
     joined = found.join(texts, "row_id")
     context = joined.groupBy("query_id").agg(
-        F.first("confidence").alias("confidence"), F.min_by(F.struct("document_name", "text"), F.struct("rank")).alias("top"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n").alias("sources"),  # k texts
+        F.first("confidence").alias("confidence"), F.min_by(F.struct("document_name", "text"), F.struct("rank")).alias("first"),
+        F.min_by(F.struct("document_name", "text"), F.struct(-F.col("sim"), F.col("rank"))).alias("nearest"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n").alias("sources"),  # the texts of one answer
     )
-    q = questions.join(context, F.col("id") == F.col("query_id"), "left")
+    # A list goes by document, so that its first source is not its best.
+    top = F.when(guard.question_flags(F.col("question"))["list_all"], F.col("nearest")).otherwise(F.col("first"))
+    q = questions.join(context, F.col("id") == F.col("query_id"), "left").withColumn("top", top)
     reply = F.when(F.col("top").isNull(), F.lit(NO_SOURCE)).otherwise(F.regexp_extract("top.text", r"^(.*?[.!?])(?:\s|$)", 1))
     reply = F.when(reply == "", F.col("top.text")).otherwise(reply)
     drafted = q.select("id", "question", guard.intent(F.col("question")).alias("intent"), F.coalesce("confidence", F.lit("none")).alias("confidence"), F.col("top.document_name").alias("source"), reply.alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"))

@@ -55,3 +55,23 @@ def test_answers(spark):
     assert got[1].source == "a.md" and got[1].answer == "The wall unit settles in ten seconds."
     assert got[2].confidence == "none" and got[2].answer == pipeline.NO_SOURCE and got[3].answer == pipeline.NO_SOURCE
     assert pipeline.retrieve(index, asked, excluded=["a.md"]).filter(F.col("row_id") == 1).count() == 0
+
+
+def test_retrieval_by_plan(spark):
+    rows = [(k, f"Ovanta wall note {k} on setting.", "o.md", "Ovanta Wall") for k in range(1, 15)]
+    rows += [(k, f"Talvex duct note {k} on setting.", "t.md", "Talvex Duct") for k in range(21, 35)]
+    rows += [(40, "Ovanta guide of setting by industry.", "guide.md", None), (41, "Lengthy unlike words everywhere besides silicones appear within this remark again.", "o.md", "Ovanta Wall")]
+    index = pipeline.build_index(spark.createDataFrame(rows, "row_id bigint, text string, document_name string, product_name string"))
+    asked = spark.createDataFrame([(1, "ovanta wall note on setting and silicone"), (2, "ovanta wall and talvex duct note on setting"), (3, "list all products with note on setting")], "id bigint, question string")
+    got = {}
+    for r in sorted(pipeline.retrieve(index, asked).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.row_id)
+    own = {r[0] for r in rows if r[3] == "Ovanta Wall"}
+    assert len(set(got[1]) & own) == 11 and set(got[1][:11]) <= own  # eight and three by keyword, then those of all
+    assert len(got[2]) >= 23 and {r < 20 or r == 41 for r in got[2][0:20:2]} == {True} and {20 < r < 35 for r in got[2][1:20:2]} == {True}
+    assert [{r[0]: r[2] for r in rows}[x] for x in got[3]] == ["guide.md", "o.md", "t.md"]
+    named = spark.createDataFrame([(3, "Talvex Duct")], "id bigint, product_name string")
+    first = [r for r in pipeline.retrieve(index, asked.filter("id = 3"), named=named).collect() if r["rank"] <= 8]
+    assert len(first) == 8 and all(20 < r.row_id < 35 for r in first)
+    keyword = spark.createDataFrame([(4, "silicone ovanta wall note setting")], "id bigint, question string")
+    assert 41 in {r.row_id for r in pipeline.retrieve(index.filter("row_id in (1, 2, 3, 41)"), keyword, k=2).collect()}
