@@ -146,9 +146,8 @@ def _monotone(bins: list[tuple[int, int]]) -> list[float]:
 def requirement_concentrations(requirements: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The concentrations of requirements and the assignments of missing units.
 
-    The first table is ``(record_key, field_name, low_ppb, high_ppb)``: ranges with a unit of their own, and those that the
-    classifier got from a unit stated in the remark (where it could not learn that from too few rows, the stated unit
-    stands); a tolerance has itself in both columns, a share of full scale needs the one range of its row. Ranges without any unit are only in
+    The first table is ``(record_key, field_name, low_ppb, high_ppb)``: ranges with a unit of their own, and those with
+    a unit stated in the remark, which always stands: the classifier converts such a range only where it agrees; a tolerance has itself in both columns, a share of full scale needs the one range of its row. Ranges without any unit are only in
     the second table. Null, blank and wordy fields give no row; repeated rows come out each.
     """
     parsed = materialise(parse_amounts(requirements, "id", "sensing_range", "accuracy", "additional_requirements", ["target_gas", "product_family"]), "units")
