@@ -1,7 +1,7 @@
 """Flat child tables of deeply nested records, linked to record and parent by position.
 
-The JSON texts of an Arrow batch become one nested Arrow column per record form. From there on nothing is
-walked record by record: a child table is the flat values of a list array, its parents come from the list's
+Python decodes every record and walks its elements to bring them into one form; the records of an Arrow batch
+then become one nested Arrow column per record form. From there on Arrow kernels do the rest: a child table is the flat values of a list array, its parents come from the list's
 offsets by the parent-index kernel, positions are the distance from the offset, and keys travel down by take.
 """
 
