@@ -30,9 +30,13 @@ def keywords(c: Column) -> Column:
     return F.filter(tokens(c), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
 
 
+#: No letter, digit or underscore may stand before or behind a term.
+_OPEN, _SHUT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
 def inflected(term: str) -> str:
     """A pattern for a term as a whole word, with an optional plural ending."""
-    return rf"\b{re.escape(term)}(?:es|s)?\b"
+    return _OPEN + re.escape(term) + "(?:e?s)?" + _SHUT
 
 
 def any_term(terms: list[str]) -> str:
@@ -46,7 +50,7 @@ def contains_any(c: Column, terms: list[str]) -> Column:
 
 def unnegated(term: str) -> str:
     """As ``inflected``, but not behind ``non-``."""
-    return rf"(?<!non-)(?<!non )\b{re.escape(term)}(?:es|s)?\b"
+    return "(?<!non[- ])" + inflected(term)
 
 
 def whole(term: str) -> str:

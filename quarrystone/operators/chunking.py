@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +10,11 @@ from pyspark.sql import functions as F
 
 #: Words of a chunk, of the overlap, looked ahead for a sentence's end, and of the shortest chunk.
 SIZE, OVERLAP, AHEAD, LEAST = 50, 10, 10, 10
-_END = re.compile(r"[.;]['\")\]]?$")
+
+
+def ends_sentence(word: str) -> bool:
+    """Whether a word closes a sentence: with a full stop or semicolon, inside one closing mark at most."""
+    return word[-1:] in (".", ";") or (word[-1:] in ("'", '"', ")", "]") and word[-2:-1] in (".", ";"))
 
 
 def windows(words: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -20,7 +23,7 @@ def windows(words: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[
     while start < len(words):
         end = min(start + size, len(words))
         if end < len(words):
-            end = next((k + 1 for k in range(end, min(end + AHEAD, len(words))) if _END.search(words[k])), end)
+            end = next((k + 1 for k in range(end, min(end + AHEAD, len(words))) if ends_sentence(words[k])), end)
         if spans and end - start < LEAST:
             spans[-1] = (spans[-1][0], end)
         else:

@@ -99,8 +99,8 @@ def known_products(rows: DataFrame, products: DataFrame, name: str = "product_na
     return said.join(known, "plain", "left").select("product_name", "product_id")
 
 
-#: Words of file names that name no product.
-PLAIN_WORDS = set("catalogue catalog series leak detector detectors portable fixed hydrogen sensor sensors peso approved draft multi nano sense of the in".split())
+#: Words of file names that tell of the document or the kind of device, not of the product.
+PLAIN_WORDS = frozenset("brochure catalog catalogue datasheet draft final manual product range series sheet version detector detectors device fixed gas hydrogen portable sensor sensors unit and for of the with".split())
 
 
 def file_tokens(filename: str) -> set[str]:

@@ -29,8 +29,8 @@ SEPARATOR = re.compile(r"[\n\r\t;|,/+&•·]|(?<!\S)(?:and|und|et|y)(?!\S)")
 NUMBER = re.compile(r"(?:^|(?<=\s))\(?\d{1,3}[.)]\s+")
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "‘": "’", "«": "»"}
 BLANK = " \xa0"
-#: So many characters beside a value tell whether it stands alone.
-NEAR = 48
+#: Characters of the longest mark that may stand beside a value, such as ``(123)`` after a blank, and some more.
+MARK = 8
 EDGE = " \t\r\n\f\v\xa0  　"
 
 
@@ -38,6 +38,24 @@ def is_placeholder(text: str) -> bool:
     return text.strip(EDGE + "\"'").lower() in PLACEHOLDERS or not text.strip(EDGE + "\"'.,;|/+&-*•")
 
 
+#: Quotes that may open, and those behind which, blanks aside, the text ends or parts.
+_OPENING = re.compile("[" + "".join(QUOTES) + "]")
+_CLOSING = re.compile(rf"[{''.join(dict.fromkeys(QUOTES.values()))}](?=[{BLANK}]*+(?:$|\Z|[\n\r\t;|,/+&•·]|(?:and|und|et|y)(?!\S)|\(?\d{{1,3}}[.)]\s))")
+
+
+def _left(text: str, at: int, skip: str) -> int:
+    """The place behind the nearest character left of ``at`` that is none of ``skip``."""
+    while at and text[at - 1] in skip:
+        at -= 1
+    return at
+
+
+def _right(text: str, at: int, skip: str) -> int:
+    while at < len(text) and text[at] in skip:
+        at += 1
+    return at
+
+
 class Splitter:
     """Splits one text after another by a list of known values; case does not matter."""
 
@@ -60,7 +78,8 @@ class Splitter:
         spans = []
         for end, size in self.automaton.iter(low) if self.any else ():
             s, e = end + 1 - size, end + 1
-            before, after = low[max(0, s - NEAR) : s].rstrip(" \"'“„‘«"), low[e : e + NEAR].lstrip(" \"'”“’»")
+            b, a = _left(low, s, " \"'“„‘«"), _right(low, e, " \"'”“’»")
+            before, after = low[max(0, b - MARK) : b], low[a : a + MARK]
             opened = not before or SEPARATOR.match(before[-1]) or re.search(r"(?:^|\s)(?:and|und|et|y|[\-*•·–—]|\(?\d{1,3}[.)])$|\[$", before)
             closed = not after or SEPARATOR.match(after) or after[0] in "]" or re.match(r"\(?\d{1,3}[.)]\s", after)
             if opened and closed:
@@ -85,19 +104,25 @@ class Splitter:
         return chosen[::-1]
 
     def _quoted(self, text: str) -> list[tuple[int, int]]:
-        """Spans of quotes that open where an item may start and close where one may end."""
+        """Spans of quotes that open where an item may start and close where one may end.
+
+        The places where each quote may close are found in one pass, so that many quotes cost no more than their number.
+        """
+        closing: dict[str, list[int]] = {}
+        for m in _CLOSING.finditer(text):
+            closing.setdefault(m[0], []).append(m.start())
         spans, at = [], 0
-        while at < len(text):
-            close = QUOTES.get(text[at])
-            before = text[max(0, at - NEAR) : at].rstrip(BLANK)
-            if close and (not before or SEPARATOR.match(before[-1]) or re.search(r"(?:\s|^)(?:and|und|et|y|[\-*–—]|\(?\d{1,3}[.)])$", before)):
-                end = text.find(close, at + 1)
-                while end > 0 and (rest := text[end + 1 : end + NEAR].lstrip(BLANK)) and not (SEPARATOR.match(rest) or re.match(r"\(?\d{1,3}[.)]\s", rest)):
-                    end = text.find(close, end + 1)
-                if end > 0:
-                    spans.append((at, end + 1))
-                    at = end
-            at += 1
+        for m in _OPENING.finditer(text) if closing else ():
+            if m.start() < at:
+                continue
+            b = _left(text, m.start(), BLANK)
+            before = text[max(0, b - MARK) : b]
+            if not before or SEPARATOR.match(before[-1]) or re.search(r"(?:\s|^)(?:and|und|et|y|[\-*–—]|\(?\d{1,3}[.)])$", before):
+                ends = closing.get(QUOTES[m[0]], [])
+                k = bisect_right(ends, m.start())
+                if k < len(ends):
+                    spans.append((m.start(), ends[k] + 1))
+                    at = ends[k] + 1
         return spans
 
     def _split(self, text: str) -> tuple[str, ...]:

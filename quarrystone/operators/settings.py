@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quarrystone.operators.stores import upsert
 
 #: Types of documents and those that questions do not search.
-TYPES = ["Product Catalogue", "Technical Guide", "Use Case Guide", "Sales Record", "Strategy Note", "Methodology", "Approved Claims"]
-NOT_SEARCHED = ["Sales Record", "Strategy Note"]
+TYPES = ["Product Catalogue", "Use Case Guide", "Technical Guide", "Historical Sales Record", "Competitive & Internal Strategy", "Golden Frameworks & Sales Tactics", "Other"]
+NOT_SEARCHED = ["Competitive & Internal Strategy", "Golden Frameworks & Sales Tactics"]
 
 
 def claims(text: Column) -> Column:
     """``struct<header, bullets>`` of a claims file: the lines before the first ``- ``, and the bulleted lines."""
     said = F.split(text, "\n")
-    bullets = F.filter(F.transform(F.filter(said, lambda x: x.startswith("- ")), lambda x: F.trim(F.substring(x, 3, 100_000))), lambda x: x != "")
+    bullets = F.filter(F.transform(F.filter(said, lambda x: x.startswith("- ")), lambda x: F.trim(F.substring(x, F.lit(3), F.length(x)))), lambda x: x != "")
     head = F.regexp_extract(F.concat(F.lit("\n"), text), r"(?s)^(.*?)(?:\n- .*)?$", 1)
     return F.struct(F.trim(F.ltrim(head, F.lit("\n"))).alias("header"), bullets.alias("bullets"))
 

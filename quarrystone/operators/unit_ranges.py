@@ -1,8 +1,9 @@
 """Concentrations of mixed units and wordings as parts per billion, with a classifier for missing units.
 
 Amounts are read in one Arrow stage. Ranges written without a unit go to a forest of decision trees that knows the
-magnitude, the notation, the gas, the source of the row and what the neighbouring remark says. Its scores are calibrated on
-labelled rows it was not fitted on; confident assignments are converted, the others go to review.
+magnitude, the notation, the gas, the source of the row and the tolerance beside it, and is fitted on ranges that have a unit of their
+own. Its scores are calibrated on others of these: they give the units a range may have and how sure the likeliest is.
+Where a remark states a unit, it is held against those the forest allows; ranges that are not settled so go to review.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.functions.concentration import PPB, in_ppb, ranges, stated_unit, tolerance
+from quarrystone.functions.concentration import PPB, Range, in_ppb, ranges, stated_unit, tolerance_with_unit
 from quarrystone.session import materialise
 
 UNITS = list(PPB)
@@ -25,6 +26,8 @@ TRAINING_ROWS = 10_000
 CALIBRATION_ROWS = 5_000
 #: From this calibrated confidence on, an assignment is converted.
 CONFIDENT = 0.95
+#: Share of the calibration rows whose true unit the forest must allow: it sets the lowest score of a unit that is allowed.
+COVERAGE = 0.999
 _AMOUNT = T.DecimalType(30, 9)
 _PARSED = T.StructType(
     [
@@ -36,6 +39,8 @@ _PARSED = T.StructType(
         T.StructField("stated", T.StringType()),
         T.StructField("tolerance_ppb", T.LongType()),
         T.StructField("share", _AMOUNT),
+        T.StructField("tolerance_unit", T.StringType()),
+        T.StructField("too_large", T.BooleanType()),
     ]
 )
 
@@ -44,32 +49,39 @@ def _decimal(x: Fraction) -> Decimal:
     return (Decimal(x.numerator) / Decimal(x.denominator)).quantize(Decimal("1.000000000"))
 
 
-def _fits(x: Fraction) -> bool:
-    return abs(x) < 10**15
+def _fits(r: Range) -> bool:
+    """Whether a range is a 64-bit number of parts per billion in its unit, or in any if it has none."""
+    return max(abs(r.low), abs(r.high)) * PPB[r.unit or "vol"] < 2**63 - 1
 
 
 def parse_amounts(rows: DataFrame, key: str, range_col: str, accuracy_col: str | None = None, remark_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``key``, the columns ``keep`` and what the texts say: see the fields of the schema. Nulls say nothing."""
+    """``key``, the columns ``keep`` and what the texts say: see the fields of the schema. Nulls say nothing.
+
+    ``too_large`` says that an amount does not fit a 64-bit number of parts per billion; such amounts are in no other field.
+    """
     keep = keep or []
     null = F.lit(None).cast("string")
     src = rows.select(key, *keep, F.col(range_col).alias("_range"), (F.col(accuracy_col) if accuracy_col else null).alias("_accuracy"), (F.col(remark_col) if remark_col else null).alias("_remark"))
     head = [src.schema[c] for c in [key, *keep]]
     struct = lambda a, b, t: pa.list_(pa.struct([(a, t), (b, t)]))
-    kinds = [struct("low_ppb", "high_ppb", pa.int64()), struct("low", "high", pa.decimal128(30, 9)), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.decimal128(30, 9)]
+    kinds = [struct("low_ppb", "high_ppb", pa.int64()), struct("low", "high", pa.decimal128(30, 9)), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.decimal128(30, 9), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             n = len(head)
             for text, accuracy, remark in zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True):
-                found = [r for r in ranges(text) if _fits(r.high) and _fits(r.low)]
+                said = ranges(text)
+                found = [r for r in said if _fits(r)]
                 known = list(dict.fromkeys(in_ppb(r) for r in found if r.unit))
                 bare = list(dict.fromkeys((_decimal(r.low), _decimal(r.high)) for r in found if not r.unit))
-                tol, share = tolerance(accuracy)
+                tol, share, tol_unit = tolerance_with_unit(accuracy)
+                large = len(found) < len(said) or (tol or 0) >= 2**63 or (share or 0) >= 1000
+                tol, share = None if tol is None or tol >= 2**63 else tol, None if share is None or share >= 1000 else share
                 first = found[0] if found else None
                 row = (
                     [{"low_ppb": a, "high_ppb": b} for a, b in known], [{"low": a, "high": b} for a, b in bare], first.unit if first else None,
-                    float(first.low) if first else None, float(first.high) if first else None, stated_unit(remark) if bare or not known else None, tol, None if share is None else _decimal(share),
+                    float(first.low) if first else None, float(first.high) if first else None, stated_unit(remark) if bare or not known else None, tol, None if share is None else _decimal(share), tol_unit, large,
                 )
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
@@ -79,7 +91,7 @@ def parse_amounts(rows: DataFrame, key: str, range_col: str, accuracy_col: str |
 
 
 def _features() -> dict[str, Column]:
-    """What the classifier sees of a row: magnitude, notation, category, source and the neighbouring remark."""
+    """What the classifier sees of a row: magnitude, notation, category, source and the neighbouring tolerance. What a remark states is not among it."""
     high, low = F.col("first_high"), F.col("first_low")
     gas = F.lower(F.coalesce(F.col("target_gas"), F.lit("")))
     return {
@@ -91,16 +103,20 @@ def _features() -> dict[str, Column]:
         "hydrogen": gas.rlike("hydrogen|h2").cast("double"),
         "gases": F.size(F.split(gas, "[,;/|]")).cast("double"),
         "family": F.pmod(F.xxhash64(F.lower(F.coalesce(F.col("product_family"), F.lit("")))), F.lit(16)).cast("double"),
-        **{f"says_{u}": (F.coalesce(F.col("stated"), F.lit("")) == u).cast("double") for u in UNITS},
+        "tolerance_magnitude": F.coalesce(F.log10(F.greatest(F.col("tolerance_ppb").cast("double"), F.lit(1e-6))), F.lit(-9.0)),
+        **{f"tolerance_{u}": (F.coalesce(F.col("tolerance_unit"), F.lit("")) == u).cast("double") for u in UNITS},
     }
 
 
-def predict_units(parsed: DataFrame, seed: int = 7, confident: float = CONFIDENT) -> DataFrame | None:
-    """``(id, stated, predicted, confidence, route)`` of the rows whose ranges have no unit; route is converted or review.
+def predict_units(parsed: DataFrame, seed: int = 7, confident: float = CONFIDENT, coverage: float = COVERAGE) -> DataFrame:
+    """``(id, stated, predicted, plausible, confidence, route)`` of the rows whose ranges have no unit; route is converted or review.
 
-    Labels are the units written in the field or, for ranges without one, in the remark. At most ``TRAINING_ROWS`` labelled rows fit
-    the forest and ``CALIBRATION_ROWS`` others give the share of right assignments per bin of its score, made monotone. With
-    labels of fewer than two units nothing can be learned and the result is None.
+    Labels are the units written beside ranges; rows whose unit a remark states are held out. At most ``TRAINING_ROWS`` labelled rows fit the
+    forest, ``CALIBRATION_ROWS`` others give the share of right assignments per bin of its score, made monotone, and the
+    score that the true unit reaches in a share ``coverage`` of them: ``plausible`` has the units of such a score, the likeliest first. ``predicted`` is the
+    likeliest; where a remark states a unit, it is that unit if the forest allows it, and null else. Converted are predictions a
+    remark agrees with and those of a calibrated confidence of ``confident`` or more where none speaks. Amounts too large for any unit are
+    in review without a prediction. Without labels of two units nothing can be learned: every unit is allowed, at confidence 0.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -109,27 +125,37 @@ def predict_units(parsed: DataFrame, seed: int = 7, confident: float = CONFIDENT
     features = _features()
     seen = parsed.filter(F.col("first_high").isNotNull()).withColumns(features)
     rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(seen)
-    label = F.coalesce(F.col("unit"), F.col("stated"))
     order = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1000))
-    labelled = rows.filter(label.isNotNull() & (F.size("bare") + F.size("known") == 1)).withColumn("label", F.array_position(F.array(*map(F.lit, UNITS)), label).cast("double") - 1)
-    # Rows of either kind of label in the same number, so that the few with a remark are learned from.
-    small = labelled.select("id", "features", "label", F.col("stated").isNotNull().alias("by_remark"), order.alias("part"), F.xxhash64(F.lit(seed + 1), "id").alias("rank"))
-    pick = lambda df, n: df.filter("by_remark").orderBy("rank", "id").limit(n // 2).unionByName(df.filter("not by_remark").orderBy("rank", "id").limit(n // 2))
+    labelled = rows.filter(F.col("unit").isNotNull() & (F.size("known") == 1)).withColumn("label", F.array_position(F.array(*map(F.lit, UNITS)), F.col("unit")).cast("double") - 1)
+    small = labelled.select("id", "features", "label", order.alias("part"), F.xxhash64(F.lit(seed + 1), "id").alias("rank"))
+    pick = lambda df, n: df.orderBy("rank", "id").limit(n)
     train = materialise(pick(small.filter("part < 700"), TRAINING_ROWS), "units-train")
     held = materialise(pick(small.filter("part >= 700"), CALIBRATION_ROWS), "units-held")
+    null = F.lit(None).cast("string")
+    large = parsed.filter("too_large").select("id", "stated", null.alias("predicted"), F.lit("").alias("plausible"), F.lit(0.0).alias("confidence"), F.lit("review").alias("route"))
     if train.select("label").distinct().count() < 2:
-        return None
-    model = RandomForestClassifier(numTrees=24, maxDepth=7, seed=seed, featureSubsetStrategy="all", subsamplingRate=0.7, minInstancesPerNode=3).fit(train)
-    score = F.array_max(vector_to_array("probability"))
-    bins = {r.bin: (r.right, r.n) for r in model.transform(held).groupBy(F.least(F.lit(19), F.floor(score * 20)).cast("int").alias("bin")).agg(F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("right"), F.count(F.lit(1)).alias("n")).collect()}
+        untold = seen.filter("unit is null and size(bare) > 0")
+        return untold.select("id", "stated", F.col("stated").alias("predicted"), F.lit(",".join(UNITS)).alias("plausible"), F.lit(0.0).alias("confidence"), F.when(F.col("stated").isNotNull(), "converted").otherwise("review").alias("route")).unionByName(large)
+    model = RandomForestClassifier(numTrees=24, maxDepth=7, seed=seed, subsamplingRate=0.7, minInstancesPerNode=3).fit(train)
+    scores = vector_to_array("probability")
+    own = F.coalesce(F.get(scores, F.col("label").cast("int")), F.lit(0.0))
+    top = F.array_max(scores)
+    judged = materialise(model.transform(held).select(top.alias("top"), own.alias("own"), (F.col("prediction") == F.col("label")).cast("int").alias("right")), "units-judged")
+    least = judged.agg(F.percentile("own", 1 - coverage).alias("q")).first().q
+    bin_of = lambda c: F.least(F.lit(19), F.floor(c * 20)).cast("int")
+    bins = {r.bin: (r.right, r.n) for r in judged.groupBy(bin_of(F.col("top")).alias("bin")).agg(F.sum("right").alias("right"), F.count(F.lit(1)).alias("n")).collect()}
     table = _monotone([bins.get(b, (0, 0)) for b in range(20)])
-    calibrated = F.element_at(F.array(*map(F.lit, table)), F.least(F.lit(19), F.floor(score * 20)).cast("int") + 1)
-    open_rows = model.transform(rows.filter("unit is null and size(bare) > 0"))
-    predicted = F.element_at(F.array(*map(F.lit, UNITS)), F.col("prediction").cast("int") + 1)
-    out = open_rows.select("id", "stated", predicted.alias("predicted"), F.round(calibrated, 4).alias("confidence"))
-    # The model alone decides; where a remark states another unit, a person must look.
-    sure = (F.col("confidence") >= confident) & (F.col("stated").isNull() | (F.col("stated") == F.col("predicted")))
-    return out.withColumn("route", F.when(sure, "converted").otherwise("review"))
+    calibrated = F.element_at(F.array(*map(F.lit, table)), bin_of(F.col("top")) + 1)
+    lowest = F.lit(float(least) if least is not None else 0.0)
+    ranked = F.array_sort(F.transform(F.array(*[F.struct((-F.coalesce(F.get("scores", F.lit(k)), F.lit(0.0))).alias("s"), F.lit(u).alias("u")) for k, u in enumerate(UNITS)]), lambda x: x))
+    open_rows = model.transform(rows.filter("unit is null and size(bare) > 0")).select("id", "stated", scores.alias("scores")).withColumn("top", F.array_max("scores")).withColumn("ranked", ranked)
+    allowed = F.transform(F.filter("ranked", lambda x: -x["s"] >= F.least(lowest, F.col("top"))), lambda x: x["u"])
+    out = open_rows.select("id", "stated", allowed.alias("plausible"), F.round(calibrated, 4).alias("confidence"), F.col("ranked")[0]["u"].alias("likeliest"))
+    agrees = F.array_contains("plausible", F.col("stated"))
+    out = out.withColumn("predicted", F.when(F.col("stated").isNull(), F.col("likeliest")).when(agrees, F.col("stated")))
+    sure = F.when(F.col("stated").isNull(), F.col("confidence") >= confident).otherwise(agrees)
+    out = out.withColumn("route", F.when(sure, "converted").otherwise("review")).select("id", "stated", "predicted", F.array_join("plausible", ",").alias("plausible"), "confidence", "route")
+    return out.unionByName(large)
 
 
 def _monotone(bins: list[tuple[int, int]]) -> list[float]:
@@ -143,31 +169,27 @@ def _monotone(bins: list[tuple[int, int]]) -> list[float]:
     return [(r + 0.5) / (n + 1) if n else 0.0 for r, n, k in blocks for _ in range(int(k))]
 
 
-def requirement_concentrations(requirements: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def requirement_concentrations(requirements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The concentrations of requirements and the assignments of missing units.
 
-    The first table is ``(record_key, field_name, low_ppb, high_ppb)``: ranges with a unit of their own, and those with
-    a unit stated in the remark, which always stands: the classifier converts such a range only where it agrees; a tolerance has itself in both columns, a share of full scale needs the one range of its row. Ranges without any unit are only in
-    the second table. Null, blank and wordy fields give no row; repeated rows come out each.
+    The first table is ``(record_key, field_name, low_ppb, high_ppb)``: ranges with a unit of their own, and those to which the
+    forest assigned the unit that the remark states; a tolerance has itself in both columns, a share of full scale needs the one range of its row. Ranges
+    without any unit and those whose stated unit the forest does not allow are only in the second table, for review. Null, blank and wordy fields give no row; repeated rows come out each.
     """
     parsed = materialise(parse_amounts(requirements, "id", "sensing_range", "accuracy", "additional_requirements", ["target_gas", "product_family"]), "units")
-    units = predict_units(parsed)
-    if units is not None:
-        units = materialise(units, "units-assigned")
-        by_row = units.filter("stated is not null").groupBy("id").agg(F.max(F.when(F.col("route") == "converted", F.col("predicted")).otherwise(F.col("stated"))).alias("assigned"))
-        parsed = parsed.join(by_row, "id", "left")
-    else:
-        parsed = parsed.withColumn("assigned", F.col("stated"))
+    units = materialise(predict_units(parsed), "units-assigned")
+    by_row = units.filter("stated is not null and route = 'converted'").groupBy("id").agg(F.max("predicted").alias("assigned"))
+    parsed = parsed.join(by_row, "id", "left")
     scale = F.create_map(*[x for u in UNITS for x in (F.lit(u), F.lit(PPB[u]).cast("decimal(12,0)"))])[F.col("assigned")]
     from_remark = F.when(
         F.col("assigned").isNotNull(),
-        F.transform("bare", lambda r: F.struct(F.bround(r["low"] * scale, 0).cast("bigint").alias("low_ppb"), F.bround(r["high"] * scale, 0).cast("bigint").alias("high_ppb"))),
+        F.transform("bare", lambda r: F.struct(F.bround(r["low"] * scale, 0).try_cast("bigint").alias("low_ppb"), F.bround(r["high"] * scale, 0).try_cast("bigint").alias("high_ppb"))),
     )
     whole = parsed.withColumn("all_ranges", F.when(F.size("known") > 0, F.col("known")).otherwise(F.array_distinct(F.coalesce(from_remark, F.array().cast(_PARSED["known"].dataType)))))
     key = F.col("id").cast("string").alias("record_key")
     sensing = whole.select(key, F.lit("sensing_range").alias("field_name"), F.explode("all_ranges").alias("r")).select("record_key", "field_name", "r.low_ppb", "r.high_ppb")
     only = F.when(F.size("all_ranges") == 1, F.col("all_ranges")[0]["high_ppb"])
-    amount = F.coalesce(F.col("tolerance_ppb"), F.bround(only.cast("decimal(20,0)") * F.col("share").cast("decimal(17,9)"), 0).cast("bigint"))
+    amount = F.coalesce(F.col("tolerance_ppb"), F.bround(only.cast("decimal(20,0)") * F.col("share").cast("decimal(17,9)"), 0).try_cast("bigint"))
     accuracy = whole.select(key, F.lit("accuracy").alias("field_name"), amount.alias("low_ppb"), amount.alias("high_ppb")).filter("low_ppb is not null")
     return sensing.unionByName(accuracy), units
 

@@ -35,8 +35,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units assigned to ranges that have none: predicted, calibrated confidence and route."""
-    _, units = requirement_concentrations(table(spark, sf_dir, "requirements"))
-    return units if units is not None else spark.createDataFrame([], "id bigint, stated string, predicted string, confidence double, route string")
+    return requirement_concentrations(table(spark, sf_dir, "requirements"))[1]
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,16 @@ def test_table(spark):
     assert got[2:4] == [(2, "two", 1, "SIL 2")] * 2
     assert len(got) == 6 and len(got[5][3]) == 20000
     assert split_packed(df.limit(0), "id", ["one", "two"], {}).count() == 0
+
+
+def test_blanks_and_quotes_of_any_number():
+    s = Splitter(["RS485, Modbus RTU"])
+    for n in (1, 10, 60, 5000):
+        assert s.split("RS485, Modbus RTU" + " " * n + "gateway") == ("RS485", "Modbus RTU" + " " * n + "gateway")
+        assert s.split("RS485, Modbus RTU" + " " * n + "; gateway") == ("RS485, Modbus RTU", "gateway")
+    import time
+
+    began = time.perf_counter()
+    s.split('"a' * 50_000)
+    s.split('" ' * 50_000 + "x")
+    assert time.perf_counter() - began < 5

@@ -38,7 +38,7 @@ def test_claims(spark):
 
 
 def test_types_and_fields(spark):
-    types = spark.createDataFrame([("a", "Sales Record")], "document_name string, doc_type string")
+    types = spark.createDataFrame([("a", "Competitive & Internal Strategy")], "document_name string, doc_type string")
     types = settings.set_type(types, "b", "Product Catalogue")
     with pytest.raises(ValueError):
         settings.set_type(types, "b", "Novel")
@@ -64,3 +64,44 @@ def test_texts(spark):
     rows = spark.createDataFrame([(1, 1, "d", "l", "t"), (1, 2, "d", "l", " t "), (1, 3, "e", "l", "u")], "query_id int, rank int, document_name string, label string, text string")
     assert [(r.document_name, r.pos) for r in settings.sources_once(rows).orderBy("pos").collect()] == [("d", 1), ("e", 2)]
     assert settings.context(rows.filter("rank = 3")).first().context == "[3] e:\nu"
+
+
+def test_long_bullet(spark):
+    from quarrystone.operators.settings import claims
+
+    row = spark.createDataFrame([("head\n- " + "x" * 150_000,)], "t string").select(claims(F.col("t")).alias("c")).first().c
+    assert row.header == "head" and len(row.bullets[0]) == 150_000
+
+
+def test_shared_folder_is_asked_for(spark):
+    from quarrystone.session import shared_folder
+
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(spark_master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(spark_master="local-cluster[3,2,1024]"))
+    assert shared_folder(Session(spark_master="yarn", **{"spark_checkpoint_dir": "hdfs://x/y/"})) == "hdfs://x/y"
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    from quarrystone.session import materialise, release
+
+    df = materialise(spark.range(3), "release")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    release(df)
+    assert not os.path.exists(path)
+    release(spark.range(1))
