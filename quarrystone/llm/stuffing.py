@@ -1,10 +1,10 @@
 """Pages made of search phrases, links, paths, product names or tags instead of sentences or data.
 
-Every line is reduced to a shape: classes of word count, capitals, separators, links, amounts and end marks.
-The shapes fall into sentence shapes, data shapes (amounts, `name: value`) and list shapes; the characters of a
-page are added up by shape. Phrases worked into sentences have sentence shapes: inside those count, character by
-character, the phrases that come back between ever other neighbours on the page, and those that the pages of the
-whole corpus list one after another. A page is found if list shapes and such phrases hold more than half of its text.
+Every line is reduced to a shape: classes of word count, capitals, separators, links, tags, amounts and end marks.
+The lines of a page are grouped by shape, and a page is found if its few most frequent shapes that are neither of sentences nor of data
+hold more than half of its text. Phrases worked into sentences have a shape of their own: there every word that belongs to a phrase is a slot,
+and the text in slots leaves the sentence's shape for that of phrases. Phrases are those that come back between ever other neighbours on the page,
+and those that the pages of the whole corpus list one after another.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,10 @@ GRAMMAR = set(
     "au aux avec ce ces dans des du elle est et il ils l la le les lorsque même n ne nous ou par pas pour quand qu que sa se ses si son sous sur un une après d "
     "और का की के को कि जब तब तो पर में से है हैं हो हम लिए जाता दिखाता चाहिए बाद करनी".split()
 )
-LINK = re.compile(r"<a\b[^<>]{0,2000}>[^<]{0,500}</a>|\[[^\[\]\n]{0,500}\]\([^()\s]{0,2000}\)|(?:https?://|www\.)\S+", re.I)
+LINK = re.compile(r"\[[^\[\]\n]*+\]\([^()\s]*+\)|(?:https?://|www\.)\S+", re.I)
+ANCHOR = re.compile(r"<a\b[^<>]*+>", re.I)
+ANCHORED = re.compile(r"</a\s*>", re.I)
 TAG = re.compile(r"(?<![\w&])#\w[\w\-]*")
-GLUED = re.compile(r"^#?\w+(?:[-_]\w+)*$")
 SEPARATOR = re.compile(r"\s*(?:[,|;•·*›»>→~]|\s[–—/\-]\s|\t)\s*")
 SENTENCE = re.compile(r"[^.!?。！？।…]*[.!?。！？।…]+[\"')\]”»]*(?=\s|$|[^\x00-\u024f])|[^.!?。！？।…]+|\S")
 AMOUNT = re.compile(r"(?<![\w\-])[+\-±]?\d+(?:[.,:]\d+)*(?:\s*%)?(?![\w\-])")
@@ -42,40 +43,67 @@ STAMP = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d")
 KEYED = re.compile(r"^[^\s:][^:]{0,40}:\s+\S")
 WORD = re.compile(r"[^\W_]+-\d\w*|[^\W_][\w\u0900-\u0963\u0966-\u097f]*")
 #: What a plain line of sentences does not have.
-SPECIAL = re.compile(r"[|;•·*›»>→~#<\[:\t]|https?:|\s[–—/\-]\s")
-#: From so many links or tags on, a page may be a list of them; below, they are a few on a page of its own content.
+SPECIAL = re.compile(r"[|;•·*›»>→~#<\[:\t\u2190-\u21ff\u2500-\u27bf\u2b00-\u2bff]|https?:|www\.|\s[–—/\-]\s|\d{4}-\d\d-\d\d", re.I)
+#: Signs that adorn offers and part them.
+ADORNED = re.compile(r"\s*[\u2190-\u21ff\u2500-\u27bf\u2b00-\u2bff]+\ufe0f?\s*")
+ENDED = re.compile(r"[.!?。！？।…][\"')\]”»]*\s*$")
+ARROW, PARTED, INNER = re.compile(r"\s[>›»]\s"), re.compile(r"\s[>›»|/]\s"), re.compile(r"[.!?][\"')]*\s+\S")
+#: Fewer links or tags than these, unless they outnumber the sentences of the page two to one, are a few on a page of its own content. So many short
+#: lines may be a list.
 FEW = 6
+#: Shapes that may together dominate a page.
+FEW_SHAPES = 3
+#: Kinds of shapes that are neither sentences, data nor headings. A few links or tags, and short lines that do not repeat each other's words, are none.
+STUFFING = frozenset(("link", "tag", "path", "list", "offer", "phrase", "listing"))
 
 
 def _bin(n: int) -> str:
     return str(n) if n < 2 else "2-4" if n < 5 else "5-9" if n < 10 else "10+"
 
 
+def _unlinked(line: str) -> tuple[str, int]:
+    """The line without its links, and how many they are. Anchors are told from their ends, so that each part is read once."""
+    links = 0
+    if "<" in line:
+        parts = ANCHORED.split(line)
+        for k, part in enumerate(parts[:-1]):
+            if m := ANCHOR.search(part):
+                parts[k] = part[: m.start()]
+                links += 1
+        line = " ".join(parts)
+    rest, more = LINK.subn(" ", line)
+    return rest, links + more
+
+
 def shape(line: str) -> tuple[str, str]:
-    """``(kind, shape)`` of a line; kind is sentence, data, link, tag, path, list or short."""
+    """``(kind, shape)`` of a line; kind is sentence, data, link, tag, path, list, offer or short."""
     if line[-1:] in ".!?。！？।" and line.count(",") < 3 and not SPECIAL.search(line):
         # Nothing but words, few commas and an end mark: a sentence or several, as most lines are.
         return "sentence", f"w{_bin(line.count(' ') + 1)} ."
-    rest, links = LINK.subn(" ", line)
+    linked = "<" in line or "[" in line or "://" in line or "www." in line or "WWW." in line or "Www." in line
+    rest, links = _unlinked(line) if linked else (line, 0)
     words = WORD.findall(rest)
     n = len(words)
-    ended = bool(re.search(r"[.!?。！？।…][\"')\]”»]*\s*$", rest))
-    tags = len(TAG.findall(line))
-    segments = [s for s in SEPARATOR.split(rest.strip()) if s.strip()]
+    ended = bool(ENDED.search(rest))
+    tags = len(TAG.findall(line)) if "#" in line else 0
+    segments = len([s for s in SEPARATOR.split(rest.strip()) if s.strip()])
+    adorned = 0 if rest.isascii() else len([s for s in ADORNED.split(rest) if s.strip()])
     amounts = len(AMOUNT.findall(rest))
-    capital = sum(w[0].isupper() for w in words)
-    look = f"w{_bin(n)} c{_bin(capital)} s{_bin(len(segments))} l{_bin(links)} t{_bin(tags)} n{_bin(amounts)}{' .' if ended else ''}"
+    capital = sum(map(str.isupper, [w[0] for w in words]))
+    look = f"w{_bin(n)} c{'0' if not capital else 'all' if capital == n else 'some'} s{_bin(max(segments, adorned))} l{_bin(links)} t{_bin(tags)} n{'0' if not amounts else '+'}{' .' if ended else ''}"
     if links and n <= 5 * links and not ended:
         kind = "link"
     elif tags >= 2 and n <= 5 * tags:
         kind = "tag"
-    elif amounts and (STAMP.search(rest) or not ended) and amounts * 12 >= n:
+    elif adorned >= 3 and n <= 5.5 * adorned and not INNER.search(rest):
+        kind = "offer"
+    elif amounts and (not ended or STAMP.search(rest)) and amounts * 12 >= n:
         kind = "data"
-    elif KEYED.match(rest) and len(segments) < 4:
+    elif segments < 4 and KEYED.match(rest):
         kind = "sentence" if n > 8 else "data"
-    elif len(segments) >= 4 and n <= 5.5 * len(segments) and not re.search(r"[.!?][\"')]*\s+\S", rest):
-        kind = "path" if re.search(r"\s[>›»]\s", rest) else "list"
-    elif len(segments) == 3 and n <= 12 and not ended and re.search(r"\s[>›»|/]\s", rest):
+    elif segments >= 4 and n <= 5.5 * segments and not INNER.search(rest):
+        kind = "path" if ARROW.search(rest) else "list"
+    elif segments == 3 and n <= 12 and not ended and PARTED.search(rest):
         kind = "path"
     elif not ended and 0 < n <= 6:
         kind = "short"
@@ -91,8 +119,8 @@ def listed(text: str | None) -> set[str]:
     for line in (text or "").split("\n"):
         line = line.strip()
         kind = shape(line)[0] if line else ""
-        if kind in ("list", "path", "tag"):
-            found.update(s.strip().lower() for s in SEPARATOR.split(re.sub(r"[#_]", " ", line)))
+        if kind in ("list", "path", "tag", "offer"):
+            found.update(s.strip().lower() for s in (ADORNED if kind == "offer" else SEPARATOR).split(re.sub(r"[#_]", " ", line)))
         elif kind == "link":
             found.update(re.sub(r"<[^>]*>|\]\(.*?\)|https?://\S+|[\[\]:>–-]", " ", line).strip().lower().splitlines())
         elif kind == "short":
@@ -102,47 +130,75 @@ def listed(text: str | None) -> set[str]:
     return {p for p in found if 2 <= len(w := WORD.findall(p)) <= 4 and w[0] not in GRAMMAR and w[-1] not in GRAMMAR and not any(x.isdigit() for x in w)}
 
 
-def _lines(text: str) -> tuple[int, int, list[str], dict[tuple[str, str], list[int]]]:
-    """Characters of a text, those of its list shapes, its prose lines, and its shapes with their lines and characters."""
-    groups: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+Groups = dict[tuple[str, str], list[int]]
+
+
+def _lines(text: str) -> tuple[int, list[str], Groups]:
+    """Characters of a text, its prose lines, and its shapes with their lines and characters, prose among them by the shapes of its lines."""
+    groups: Groups = defaultdict(lambda: [0, 0])
     prose: list[str] = []
     total, number = 0, Counter()
-    short: list[str] = []
+    short: list[tuple[str, str]] = []
+    few: list[tuple[str, str]] = []
     for line in text.split("\n"):
         line = line.strip()
         if not line:
             continue
-        size = len(re.sub(r"\s+", " ", line))
+        size = len(line) if "  " not in line and "\t" not in line else len(re.sub(r"\s+", " ", line))
         total += size
         kind, look = shape(line)
         found = groups[kind, look]
         found[0] += 1
         found[1] += size
-        number[kind] += max(1, len(LINK.findall(line)) if kind == "link" else len(TAG.findall(line)) if kind == "tag" else 1)
         if kind == "sentence":
             prose.append(line)
+            number[kind] += 1 + len(INNER.findall(line))
         elif kind == "short":
-            short.append(line)
-    stuffed = 0
-    for (kind, _), (_, size) in groups.items():
-        if kind == "link" and number["link"] >= FEW or kind == "tag" and number["tag"] >= 3 or kind in ("path", "list"):
-            stuffed += size
+            short.append((line, look))
+        elif kind == "link":
+            number[kind] += max(1, _unlinked(line)[1])
+        elif kind == "tag":
+            number[kind] += max(1, len(TAG.findall(line)))
+    for kind, least in (("link", FEW), ("tag", FEW // 2)):
+        if 0 < number[kind] < least and number[kind] <= 2 * number["sentence"]:
+            few += [key for key in groups if key[0] == kind]
+    for key in few:
+        groups["few " + key[0] + "s", key[1]] = groups.pop(key)
     # Short lines without an end mark: headings are few; a list of phrases repeats its words from line to line.
     if len(short) >= FEW:
-        heads = Counter(w for s in short for w in set(WORD.findall(s.lower())))
-        again = [s for s in short if any(heads[w] >= max(3, len(short) // 12) for w in WORD.findall(s.lower()))]
+        heads = Counter(w for s, _ in short for w in set(WORD.findall(s.lower())))
+        again = [s for s, _ in short if any(heads[w] >= max(3, len(short) // 12) for w in WORD.findall(s.lower()))]
         if len(again) * 2 > len(short):
-            stuffed += sum(len(s) for s in short)
-    return total, stuffed, prose, groups
+            for look in {look for _, look in short}:
+                groups["listing", look] = groups.pop(("short", look))
+    return total, prose, groups
+
+
+def dominance(total: int, groups: Groups, phrases: int = 0, few: int = FEW_SHAPES) -> float:
+    """The share of a page's text that its ``few`` most frequent shapes of stuffing hold; ``phrases`` are the characters of the shape of phrases."""
+    sizes = [c for (kind, _), (_, c) in groups.items() if kind in STUFFING]
+    if phrases:
+        sizes.append(phrases)
+    return min(1.0, sum(sorted(sizes, reverse=True)[:few]) / max(1, total))
 
 
 def page(text: str | None, phrases: frozenset[tuple[str, ...]] = frozenset()) -> tuple[float, list[tuple[str, str, int, int]]]:
-    """The share of stuffed characters of a text and its shapes ``(kind, shape, lines, characters)``; 0 and none for blank text."""
+    """The share of stuffing of a text and its shapes ``(kind, shape, lines, characters)``; 0 and none for blank text."""
     if not text or not text.strip():
         return 0.0, []
-    total, stuffed, prose, groups = _lines(text)
-    stuffed += _Prose(prose).chars(phrases)
-    return min(1.0, stuffed / max(1, total)), [(k, s, n, c) for (k, s), (n, c) in groups.items()]
+    total, prose, groups = _lines(text)
+    in_slots = _Prose(prose).chars(phrases)
+    found = [(k, s, n, c) for (k, s), (n, c) in groups.items()]
+    if in_slots:
+        # The text in slots leaves the shapes of sentences, the largest first.
+        left, out = in_slots, []
+        for k, s, n, c in sorted(found, key=lambda g: (g[0] != "sentence", -g[3])):
+            take = min(left, c) if k == "sentence" else 0
+            left -= take
+            if c > take:
+                out.append((k, s, n, c - take))
+        found = [*out, ("phrase", "slots", 0, in_slots)]
+    return dominance(total, groups, in_slots), found
 
 
 class _Prose:
@@ -152,16 +208,15 @@ class _Prose:
         # A sentence that is repeated as a whole is one sentence: warnings may come again.
         sentences = Counter(s.strip() for line in lines for s in SENTENCE.findall(line) if s.strip())
         self.words: list[list[str]] = []
-        self.spans: list[tuple[str, int, list[tuple[str, int, int]]]] = []
+        self.sentences: list[tuple[str, int]] = []
         self.run_on = 0
-        for s, times in list(sentences.items()):
-            found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(s)]
-            ws = [w for w, _, _ in found]
+        for s, times in sentences.items():
+            ws = WORD.findall(s.lower())
             if len(ws) >= 25 and 3 <= len(set(ws)) <= 0.35 * len(ws) and not re.search(r"[.!?。！？।]", s):
                 self.run_on += (len(s) + 1) * times  # words without end, the same ones again and again
                 continue
             self.words.append(ws)
-            self.spans.append((s, times, found))
+            self.sentences.append((s, times))
         self.pairs: Counter[tuple[str, str]] = Counter()
         for ws in self.words:
             self.pairs.update(zip(ws, ws[1:], strict=False))
@@ -169,7 +224,7 @@ class _Prose:
 
     def candidates(self, known: _Filter) -> set[tuple[str, ...]]:
         """The phrases of two to four words that a filter lets through."""
-        leads = {p for p in self.pairs if p[0] not in GRAMMAR and known.leads(p)}
+        leads = {p for p in known.leads(self.pairs.keys()) if p[0] not in GRAMMAR}
         if not leads:
             return set()
         found = set()
@@ -185,7 +240,13 @@ class _Prose:
         if not common:
             return self.run_on
         covered = 0
-        for (s, times, found), ws in zip(self.spans, self.words, strict=True):
+        leads = {g[:2] for g in common}
+        for (s, times), ws in zip(self.sentences, self.words, strict=True):
+            if leads.isdisjoint(zip(ws, ws[1:], strict=False)):
+                continue
+            found = [m.span() for m in WORD.finditer(s)]
+            if len(found) != len(ws):  # a letter that is more than one in lower case
+                found = [m.span() for m in WORD.finditer(s.lower())]
             inside = [False] * len(ws)
             for n in (2, 3, 4):
                 for k in range(len(ws) - n + 1):
@@ -197,7 +258,7 @@ class _Prose:
                     end = at
                     while end + 1 < len(ws) and inside[end + 1]:
                         end += 1
-                    size += found[end][2] - found[at][1] + 1
+                    size += found[end][1] - found[at][0] + 1
                     at = end
                 at += 1
             # A sentence with hardly any word besides phrases is stuffing as a whole.
@@ -214,7 +275,8 @@ class _Filter:
 
     def __init__(self, bits: bytes | bytearray):
         self.bits = bits
-        self.seen: dict[tuple[str, ...], bool] = {}
+        self.yes: set[tuple[str, ...]] = set()
+        self.no: set[tuple[str, ...]] = set()
 
     @staticmethod
     def places(key: str) -> tuple[int, int]:
@@ -224,13 +286,14 @@ class _Filter:
     def _test(self, key: str) -> bool:
         return all(self.bits[k >> 3] >> (k & 7) & 1 for k in self.places(key))
 
-    def leads(self, pair: tuple[str, str]) -> bool:
-        found = self.seen.get(pair)
-        if found is None:
-            if len(self.seen) >= 500_000:
-                self.seen.clear()
-            found = self.seen[pair] = self._test("^" + " ".join(pair))
-        return found
+    def leads(self, pairs: Set[tuple[str, str]]) -> set[tuple[str, str]]:
+        """The pairs of words that a phrase may begin with."""
+        if len(self.yes) + len(self.no) >= 500_000:
+            self.yes.clear()
+            self.no.clear()
+        for pair in pairs - self.no - self.yes:
+            (self.yes if self._test("^" + " ".join(pair)) else self.no).add(pair)
+        return pairs & self.yes
 
     def has(self, words: tuple[str, ...]) -> bool:
         return self._test(" ".join(words))
@@ -274,7 +337,7 @@ def _loose(words: list[list[str]], often: set[tuple[str, str]]) -> set[tuple[str
     are one neighbour. ``often`` has the pairs of words that stand at least three times: a phrase comes back as often only if
     all its pairs do, so that only runs of such pairs are counted.
     """
-    number = lambda w: any(c.isdigit() for c in w) and w != "h2"
+    number = lambda w: not w.isalpha() and w != "h2" and any(map(str.isdigit, w))
     inner = {p for p in often if not number(p[0]) and not number(p[1])}
     if not any(p[0] not in GRAMMAR for p in inner):
         return set()
@@ -312,7 +375,7 @@ def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [_lines(t)[3] if t and t.strip() else {} for t in batch.column(1).to_pylist()]
+            pages = [_lines(t)[2] if t and t.strip() else {} for t in batch.column(1).to_pylist()]
             groups = [[{"kind": k, "shape": s, "lines": n, "chars": c} for (k, s), (n, c) in g.items()] for g in pages]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, item)], [id_col, "shapes"])
 
@@ -323,8 +386,8 @@ def _bounds(text: str | None, known: _Filter, least: float | None) -> tuple[floa
     """The share of stuffing without phrases of the corpus, and the phrases that decide; none where the share, or its side of ``least``, is sure."""
     if not text or not text.strip():
         return 0.0, set()
-    total, stuffed, lines, _ = _lines(text)
-    share = lambda chars: min(1.0, (stuffed + chars) / max(1, total))
+    total, lines, groups = _lines(text)
+    share = lambda chars: dominance(total, groups, chars)
     if least is not None and share(0) > least:
         return share(0), set()
     prose = _Prose(lines)

@@ -65,3 +65,49 @@ def test_phrases_with_a_word_of_grammar_inside():
     frames = ["Nous {} vendons.", "Ici {} arrive.", "Leur {} brille.", "Chez {} gagne.", "Voyez {} demain.", "Prenez {} bientôt.", "Testez {} chaque.", "Aimez {} toujours."]
     for phrase in ("capteur pas cher", "detector de metano", "prix du capteur", "calibration gas for methane"):
         assert page("\n".join(f.format(phrase) for f in frames))[0] > 0.5
+
+
+def test_offers_between_stars():
+    offers = "\n".join(f"{p.upper()} ★ {p} ★ {k * 7 + 90},- ★ {'NEW' if k % 2 else 'free shipping'}" for k, p in enumerate(PHRASES * 4))
+    assert shape(offers.split("\n")[0])[0] == "offer" and page(offers)[0] == 1.0
+    assert page("\n".join(f"Probe {k} ★ {k}.5 ppm" for k in range(20)))[0] == 0.0
+
+
+def test_few_links_have_no_cliff():
+    lines = [f"https://site{k}.example/p/{k}" for k in range(12)]
+    assert [page("\n".join(lines[:n]))[0] for n in (2, 5, 6, 12)] == [1.0] * 4
+    assert page(PROSE + "\n" + "\n".join(lines[:5]))[0] == 0.0  # a few beside sentences
+
+
+def test_links_with_markup_inside():
+    assert shape('<a href="/x"><b>cheap sensor</b></a>')[0] == "link"
+    assert shape('<a href="/x"><img src="y.png"></a> <a href="/z">x</a>')[0] == "link"
+    assert shape("www.leak.example/a www.leak.example/b.")[0] != "sentence" or shape("www.leak.example/a")[0] == "link"
+    import time
+
+    began = time.perf_counter()
+    shape("<a " * 30_000)
+    shape("<a>" * 30_000)
+    shape("[" * 60_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_dominating_shapes_decide(spark, monkeypatch):
+    """A page is found by its few most frequent shapes of stuffing; many different shapes of small shares do not dominate."""
+    from quarrystone.llm import stuffing
+
+    groups = {("list", f"shape {k}"): [1, 100] for k in range(10)}
+    assert stuffing.dominance(1000, groups) == stuffing.FEW_SHAPES * 100 / 1000
+    assert stuffing.dominance(1000, {("list", "a"): [5, 300], ("link", "b"): [5, 300], ("sentence", "c"): [1, 400]}) == 0.6
+    df = spark.createDataFrame(list(STUFFED.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(stuffing, "STUFFING", frozenset())
+    assert {k for k, t in STUFFED.items() if stuffing.page(t)[0] > 0.5} <= {2, 10, 11}  # what is in slots
+    monkeypatch.setattr(stuffing, "dominance", lambda *a, **k: 0.0)
+    assert all(stuffing.page(t)[0] == 0.0 for t in STUFFED.values()) and df.count() == len(STUFFED)
+
+
+def test_verdict_is_the_same_in_a_larger_corpus(spark):
+    own = [*STUFFED.items(), *[(k, t) for k, t in FINE.items() if t]]
+    more = [(1000 + k, f"{PROSE} Note {k} of hall {k % 17}.") for k in range(10 * len(own))]
+    alone, among = (sorted(r.doc_id for r in stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) for rows in (own, own + more))
+    assert alone == among == list(STUFFED)
