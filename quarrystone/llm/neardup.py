@@ -3,8 +3,8 @@
 A text is the set of its triples of consecutive words. Texts of the same words are one class, of which only the
 representative goes on. Minima of many hash functions over the triples are taken; groups of them make
 band keys, and texts that share a key are candidates. Of other minima only the lowest bit is kept and packed; the bits in which
-two signatures agree, corrected for chance agreement, estimate the similarity, and what is clearly too far apart goes. An exact count on the few pairs left
-decides.
+two signatures agree, corrected for chance agreement, estimate the similarity, and what is clearly too far apart never leaves the join of the
+keys. An exact count on the few pairs left decides.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.session import materialise
+from quarrystone.session import materialise, release
 
 #: Words of a shingle, words a text must have, and the similarity asked for.
 WIDTH, LEAST_WORDS, SIMILARITY = 3, 40, 0.6
@@ -29,6 +29,8 @@ BITS = 192
 SLACK = 4.0
 #: Classes of exact copies up to this size are written out as pairs; of larger ones each copy is paired with the representative.
 EXPAND = 64
+#: Keys of one task of their shuffle, about 5 MB of it, and texts of a bucket in one block.
+KEYS_A_TASK, BLOCK = 500_000, 512
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -185,54 +187,78 @@ def _exact(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def _block_pairs(buckets: DataFrame, block: int) -> DataFrame:
+    """Rows ``(key, id, n, ...)`` of buckets of n texts with ``i``, ``j`` and ``own``: every two rows of a bucket meet under one pair (i, j).
+
+    A bucket of more than ``block`` texts is parted into blocks by the hash of the id, and each row goes to every pair of blocks its own
+    is in: no task holds more than two blocks of a bucket, and no pair is lost.
+    """
+    m = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    own = F.when(m > 1, F.pmod(F.xxhash64("id"), m)).otherwise(F.lit(0)).cast("int")
+    spread = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
+    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n")
+
+
+def candidates(keys: DataFrame, signs: DataFrame, rows: int, similarity: float, rows_a_task: int = KEYS_A_TASK, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``, smaller first: the texts that share a key of ``(id, key)`` and whose signatures ``(id, s0, ...)`` are near enough.
+
+    The keys, ``rows`` of them, are shuffled once, into tasks of one size whatever their number. Where they lie they are counted, and most of them, those
+    of one text, go no further. The texts of the others take their signature along, so that the bits are compared inside the join and only near pairs come out of it.
+    """
+    words = [c for c in signs.columns if c != "id"]
+    spread = keys.repartition(max(1, -(-rows // rows_a_task)), "key")
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = _block_pairs(spread.join(shared.hint("shuffle_hash"), "key").join(signs, "id"), block)
+    met = met.repartition("key", "i", "j")
+    side = lambda name: met.select("key", "i", "j", F.col("id").alias(name), F.col("own").alias(f"own_{name}"), *(F.col(w).alias(f"{name}_{w}") for w in words))
+    agree = F.lit(64 * len(words))
+    for w in words:
+        agree = agree - F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")))
+    # Agreement is p = J + (1 - J) / 2; so much of it must be there that the estimate 2 p - 1 isn't clearly below.
+    p = (1 + similarity) / 2
+    least = 64 * len(words) * p - SLACK * (64 * len(words) * p * (1 - p)) ** 0.5
+    near = side("a").join(side("b"), ["key", "i", "j"]).filter(F.col("a") < F.col("b")).filter((F.col("i") == F.col("j")) | (F.col("own_a") != F.col("own_b"))).filter(agree >= least)
+    return near.select("a", "b").distinct()
+
+
 def class_pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", width: int = WIDTH, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``(id, class_id, copies)`` of every text of enough words, and ``(a, b, similarity)`` of the similar classes.
 
-    ``class_id`` is the lowest id of the texts with the same words. No bucket is cut and no pair dropped: a bucket
-    of a band is joined with itself under adaptive skew splitting, and since copies are one class, it holds different texts only.
+    ``class_id`` is the lowest id of the texts with the same words. No bucket is cut and no pair dropped: large buckets
+    are joined block by block, and since copies are one class, they hold different texts only.
     """
     classes = materialise(text_classes(rows, id_col, text_col, least_words), "classes")
     heads = classes.groupBy("key1", "key2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     texts = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    # Texts are shuffled by id once; this and the look at candidates read the same shuffle.
     first = texts.join(heads.select(F.col("class_id").alias("id")), "id", "left_semi")
     keys = band_keys(first, width).select("id", F.explode("keys").alias("key"))
-    other = keys.select(F.col("id").alias("b"), "key")
-    candidates = keys.select(F.col("id").alias("a"), "key").join(other, "key").filter("a < b").select("a", "b").distinct()
-    bits = signatures(first, width)
-    words = [c for c in bits.columns if c != "id"]
-    rename = lambda side: bits.select(F.col("id").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words))
-    near = candidates.join(rename("a"), "a").join(rename("b"), "b")
-    agree = F.lit(64 * len(words))
-    for w in words:
-        agree = agree - F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")))
-    # Agreement is p = J + (1 - J) / 2; so much of it must be there that the estimate 2 p - 1 isn't clearly below.
-    p = (1 + similarity) / 2
-    least = 64 * len(words) * p - SLACK * (64 * len(words) * p * (1 - p)) ** 0.5
-    near = materialise(near.filter(agree >= least).select("a", "b"), "near")
+    near = materialise(candidates(keys, signatures(first, width), classes.count() * BANDS, similarity), "near")
     looked = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     pairs = materialise(_exact(looked.select("a", "b", "text_a", "text_b"), width, similarity).dropDuplicates(["a", "b"]), "pairs")
     members = classes.join(heads, ["key1", "key2"]).select("id", "class_id", "copies")
     return members, pairs
 
 
-def similar_pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", similarity: float = SIMILARITY, expand: int = EXPAND) -> DataFrame:
+def similar_pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", similarity: float = SIMILARITY, expand: int | None = EXPAND) -> DataFrame:
     """``(row_id_a, row_id_b)``, smaller first: the rows whose texts reach the similarity, copies included.
 
-    Texts of fewer than ``LEAST_WORDS`` words and null texts are in no pair, rows repeated under one id pair with others once. Classes of more
-    than ``expand`` copies stand for themselves by their representative: their copies are paired with it, and other
-    classes with it alone, so that no link between texts is lost and no group is squared.
+    Texts of fewer than ``LEAST_WORDS`` words and null texts are in no pair, rows repeated under one id pair with others once.
+
+    Classes of up to ``expand`` exact copies are written out: each copy with each other and with those of similar classes. A class of more
+    stands for itself by its representative, its lowest id: each of its other copies is paired with that one alone, and other classes with the representative
+    alone, so that no link between different texts is lost and no group of copies is squared; ``groups`` has the class of every row.
+    With ``expand=None`` every class is written out, however large.
     """
     members, pairs = class_pairs(rows, id_col, text_col, similarity=similarity)
     members = materialise(members, "members")
-    small = members.filter(F.col("copies") <= expand)
+    whole = F.lit(True) if expand is None else F.col("copies") <= expand
     # The representative of a large class is its only row that meets other classes.
-    speaking = members.filter((F.col("copies") <= expand) | (F.col("id") == F.col("class_id"))).select("id", "class_id")
+    speaking = members.filter(whole | (F.col("id") == F.col("class_id"))).select("id", "class_id")
     a, b = (speaking.select(F.col("id").alias(f"row_{s}"), F.col("class_id").alias(s)) for s in "ab")
     across = pairs.select("a", "b").join(a, "a").join(b, "b").select("row_a", "row_b")
-    copied = small.filter("copies > 1")
+    copied = members.filter(whole & (F.col("copies") > 1))
     inside = copied.select(F.col("id").alias("row_a"), "class_id").join(copied.select(F.col("id").alias("row_b"), "class_id"), "class_id").filter("row_a < row_b").select("row_a", "row_b")
-    large = members.filter((F.col("copies") > expand) & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias("row_a"), F.col("id").alias("row_b"))
+    large = members.filter(~whole & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias("row_a"), F.col("id").alias("row_b"))
     out = across.unionByName(inside).unionByName(large)
     return out.select(F.least("row_a", "row_b").alias("row_id_a"), F.greatest("row_a", "row_b").alias("row_id_b")).filter("row_id_a < row_id_b")
 
@@ -247,14 +273,18 @@ def groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", simi
     members, pairs = class_pairs(rows, id_col, text_col, similarity=similarity)
     edges = materialise(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = materialise(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "label")
+    held = [label]
     while True:
         seen = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(seen, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         new = materialise(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), "old"), "label")
+        label = new.select("node", "label")
+        # The table of the round before is read no more: only two are ever there.
+        release(held.pop())
+        held.append(new)
         if new.filter("label <> old").isEmpty():
             break
-        label = new.select("node", "label")
     links = edges.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     named = members.join(label.select(F.col("node").alias("class_id"), F.col("label").alias("group_id")), "class_id", "left").join(links.withColumnRenamed("a", "class_id"), "class_id", "left")
     return named.select(F.col("id").alias("row_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm.mixing import mixture
-from quarrystone.llm.neardup import groups, similar_pairs
+from quarrystone.llm.neardup import EXPAND, groups, similar_pairs
 from quarrystone.llm.pairs import broken_pairs
 from quarrystone.llm.scans import repaired_pages, repaired_paragraphs, scan_defects
 from quarrystone.llm.splitting import oversized_ids, split_texts
@@ -89,12 +89,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    # Whole tables: triples of words joined on equality, those of one text only left out.
-    p3 = """
+    # Whole tables: triples of words joined on equality. Copies are one class; one of more than EXPAND stands for itself by its lowest id.
+    p3 = f"""
         WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE text IS NOT NULL),
-        s AS (SELECT row_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 40),
-        t AS (SELECT row_id, len(s) AS n, unnest(s) AS x FROM s),
-        p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.row_id < b.row_id AND a.n * 10 >= b.n * 6 AND b.n * 10 >= a.n * 6 GROUP BY ALL)
-        SELECT row_id_a, row_id_b FROM p WHERE shared * 10 >= 6 * (na + nb - shared)
+        k AS (SELECT row_id, w FROM w WHERE len(w) >= 40),
+        c AS (SELECT w, min(row_id) AS class_id, count(*) AS copies FROM k GROUP BY w),
+        m AS (SELECT k.row_id, c.class_id, c.copies FROM k JOIN c ON k.w = c.w),
+        s AS (SELECT class_id AS id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM c),
+        t AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.id < b.id AND a.n * 10 >= b.n * 6 AND b.n * 10 >= a.n * 6 GROUP BY ALL),
+        near AS (SELECT a, b FROM p WHERE shared * 10 >= 6 * (na + nb - shared)),
+        speaking AS (SELECT row_id, class_id FROM m WHERE copies <= {EXPAND} OR row_id = class_id),
+        pairs AS (
+            SELECT x.row_id AS u, y.row_id AS v FROM near JOIN speaking x ON x.class_id = near.a JOIN speaking y ON y.class_id = near.b
+            UNION ALL SELECT x.row_id, y.row_id FROM m x JOIN m y ON x.class_id = y.class_id AND x.row_id < y.row_id WHERE x.copies <= {EXPAND}
+            UNION ALL SELECT class_id, row_id FROM m WHERE copies > {EXPAND} AND row_id <> class_id)
+        SELECT least(u, v) AS row_id_a, greatest(u, v) AS row_id_b FROM pairs
     """
     return {"p3_found": p3, "p7_found": "SELECT row_id FROM chunks WHERE length(text) > 1200"}

@@ -59,3 +59,67 @@ def test_groups(spark):
 
 def test_empty(spark):
     assert similar_pairs(spark.createDataFrame([], "row_id bigint, text string")).count() == 0
+
+
+def test_every_copy_can_be_written_out(spark):
+    text = " ".join(f"a{k}" for k in range(50))
+    rows = [(k, text) for k in range(100)] + [(200, text.replace("a7 ", "zz "))]
+    got = {tuple(r) for r in similar_pairs(spark.createDataFrame(rows, "row_id bigint, text string"), expand=None).collect()}
+    assert got == _exact(rows) and len(got) == 100 * 101 // 2
+
+
+def test_sql_of_a_large_class(spark):
+    """The SQL states the same form as the operator, also where a class has more copies than are written out."""
+    import duckdb
+    import pandas as pd
+
+    from quarrystone.llm.queries import oracle_sql
+
+    text = " ".join(f"a{k}" for k in range(50))
+    rows = [(1000 - k, text) for k in range(100)] + [(5, text.replace("a7 ", "zz ")), (2000, text.replace("a9 ", "yy "))] + [(3000 + k, text.replace("a30 ", "xx ")) for k in range(3)]
+    chunks = pd.DataFrame(rows, columns=["row_id", "text"])  # noqa: F841
+    want = {tuple(map(int, r)) for r in duckdb.sql(oracle_sql()["p3_found"]).fetchall()}
+    assert {tuple(r) for r in similar_pairs(spark.createDataFrame(rows, "row_id bigint, text string")).collect()} == want
+    assert (901, 1000) in want and (999, 1000) not in want and (5, 901) in want
+
+
+def test_hot_buckets_lose_no_pair(spark):
+    """All texts share a key: they meet block by block, each two of them once, whatever the size of a block."""
+    from pyspark.sql import functions as F
+
+    from quarrystone.llm.neardup import candidates
+
+    ids = spark.range(1, 61)
+    keys = ids.select("id", F.lit(7).cast("bigint").alias("key")).unionByName(ids.select("id", (F.col("id") + 100).alias("key")))
+    signs = ids.select("id", *[F.lit(0).cast("bigint").alias(f"s{k}") for k in range(3)])
+    for block in (1, 7, 59, 60, 1000):
+        got = [tuple(r) for r in candidates(keys, signs, 120, 0.6, rows_a_task=50, block=block).collect()]
+        assert len(got) == len(set(got)) == 60 * 59 // 2
+    far = ids.select("id", *[F.when(F.col("id") == 1, F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias(f"s{k}") for k in range(3)])
+    assert all(1 not in r for r in candidates(keys, far, 120, 0.6, block=8).collect())
+
+
+def test_rounds_of_groups_keep_no_tables(spark, monkeypatch):
+    """A long chain of texts takes many rounds; the tables of past rounds are gone."""
+    from quarrystone.llm import neardup
+
+    live, most = set(), [0]
+    write, drop = neardup.materialise, neardup.release
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "label":
+            live.add(id(out))
+            most[0] = max(most[0], len(live))
+        return out
+
+    def gone(df):
+        live.discard(id(df))
+        drop(df)
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    monkeypatch.setattr(neardup, "release", gone)
+    words = [f"x{k}" for k in range(60 + 8 * 24)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 60])) for k in range(24)]
+    got = {r.group_id for r in neardup.groups(spark.createDataFrame(rows, "row_id bigint, text string")).collect()}
+    assert got == {0} and most[0] == 2
