@@ -37,11 +37,16 @@ ANCHOR = re.compile(r"<a\b[^<>]*+>", re.I)
 ANCHORED = re.compile(r"</a\s*>", re.I)
 TAG = re.compile(r"(?<![\w&])#\w[\w\-]*")
 SEPARATOR = re.compile(r"\s*(?:[,|;•·*›»>→~]|\s[–—/\-]\s|\t)\s*")
-SENTENCE = re.compile(r"[^.!?。！？।…]*[.!?。！？।…]+[\"')\]”»]*(?=\s|$|[^\x00-\u024f])|[^.!?。！？।…]+|\S")
+SENTENCE = re.compile(r"[^.!?。！？।…\n]*+[.!?。！？।…]++[\"')\]”»]*+(?=\s|$|[^\x00-\u024f])|[^.!?。！？।…\n]++|[^\s]")
 AMOUNT = re.compile(r"(?<![\w\-])[+\-±]?\d+(?:[.,:]\d+)*(?:\s*%)?(?![\w\-])")
 STAMP = re.compile(r"\d{4}-\d\d-\d\d|\d\d:\d\d")
 KEYED = re.compile(r"^[^\s:][^:]{0,40}:\s+\S")
 WORD = re.compile(r"[^\W_]+-\d\w*|[^\W_][\w\u0900-\u0963\u0966-\u097f]*")
+#: What stands between sentences among the words.
+PAUSE = "\0"
+SPOKEN = re.compile(WORD.pattern + "|" + PAUSE)
+MARKS = ".!?。！？।"
+MARKED = re.compile(f"[{MARKS}]")
 #: What a plain line of sentences does not have.
 SPECIAL = re.compile(r"[|;•·*›»>→~#<\[:\t\u2190-\u21ff\u2500-\u27bf\u2b00-\u2bff]|https?:|www\.|\s[–—/\-]\s|\d{4}-\d\d-\d\d", re.I)
 #: Signs that adorn offers and part them.
@@ -112,34 +117,34 @@ def shape(line: str) -> tuple[str, str]:
     return kind, look
 
 
-def listed(text: str | None) -> set[str]:
-    """The phrases of two to four words, without numbers, that stand in list shapes of a text."""
+def _phrases(lines: Iterable[tuple[str, str]]) -> set[str]:
+    """The phrases of two to four words, without numbers, that stand in lines ``(kind, line)`` of list shapes."""
     found: set[str] = set()
     short: list[str] = []
-    for line in (text or "").split("\n"):
-        line = line.strip()
-        kind = shape(line)[0] if line else ""
+    for kind, line in lines:
         if kind in ("list", "path", "tag", "offer"):
             found.update(s.strip().lower() for s in (ADORNED if kind == "offer" else SEPARATOR).split(re.sub(r"[#_]", " ", line)))
         elif kind == "link":
-            found.update(re.sub(r"<[^>]*>|\]\(.*?\)|https?://\S+|[\[\]:>–-]", " ", line).strip().lower().splitlines())
+            found.update(re.sub(r"<[^<>]*+>|\]\([^()]*+\)|https?://\S+|[\[\]:>–-]", " ", line).strip().lower().splitlines())
         elif kind == "short":
             short.append(line.lower())
     if len(short) >= FEW:
         found.update(short)
-    return {p for p in found if 2 <= len(w := WORD.findall(p)) <= 4 and w[0] not in GRAMMAR and w[-1] not in GRAMMAR and not any(x.isdigit() for x in w)}
+    each = (WORD.findall(p) for p in found)
+    return {" ".join(w) for w in each if 2 <= len(w) <= 4 and w[0] not in GRAMMAR and w[-1] not in GRAMMAR and not any(not x.isalpha() and any(map(str.isdigit, x)) for x in w)}
 
 
 Groups = dict[tuple[str, str], list[int]]
 
 
-def _lines(text: str) -> tuple[int, list[str], Groups]:
-    """Characters of a text, its prose lines, and its shapes with their lines and characters, prose among them by the shapes of its lines."""
+def _lines(text: str) -> tuple[int, list[str], Groups, list[tuple[str, str]]]:
+    """Characters of a text, its prose lines, its shapes with their lines and characters, and its lines ``(kind, line)`` of neither sentences nor data."""
     groups: Groups = defaultdict(lambda: [0, 0])
     prose: list[str] = []
     total, number = 0, Counter()
     short: list[tuple[str, str]] = []
     few: list[tuple[str, str]] = []
+    listing: list[tuple[str, str]] = []
     for line in text.split("\n"):
         line = line.strip()
         if not line:
@@ -153,7 +158,11 @@ def _lines(text: str) -> tuple[int, list[str], Groups]:
         if kind == "sentence":
             prose.append(line)
             number[kind] += 1 + len(INNER.findall(line))
-        elif kind == "short":
+            continue
+        if kind == "data":
+            continue
+        listing.append((kind, line))
+        if kind == "short":
             short.append((line, look))
         elif kind == "link":
             number[kind] += max(1, _unlinked(line)[1])
@@ -171,22 +180,28 @@ def _lines(text: str) -> tuple[int, list[str], Groups]:
         if len(again) * 2 > len(short):
             for look in {look for _, look in short}:
                 groups["listing", look] = groups.pop(("short", look))
-    return total, prose, groups
+    return total, prose, groups, listing
 
 
 def dominance(total: int, groups: Groups, phrases: int = 0, few: int = FEW_SHAPES) -> float:
     """The share of a page's text that its ``few`` most frequent shapes of stuffing hold; ``phrases`` are the characters of the shape of phrases."""
-    sizes = [c for (kind, _), (_, c) in groups.items() if kind in STUFFING]
-    if phrases:
-        sizes.append(phrases)
-    return min(1.0, sum(sorted(sizes, reverse=True)[:few]) / max(1, total))
+    return _share(total, _sizes(groups), phrases, few)
+
+
+def _sizes(groups: Groups) -> list[int]:
+    """The characters of each shape of stuffing, the largest first."""
+    return sorted((c for (kind, _), (_, c) in groups.items() if kind in STUFFING), reverse=True)
+
+
+def _share(total: int, sizes: list[int], phrases: int, few: int = FEW_SHAPES) -> float:
+    return min(1.0, sum(sorted([*sizes, phrases], reverse=True)[:few]) / max(1, total))
 
 
 def page(text: str | None, phrases: frozenset[tuple[str, ...]] = frozenset()) -> tuple[float, list[tuple[str, str, int, int]]]:
     """The share of stuffing of a text and its shapes ``(kind, shape, lines, characters)``; 0 and none for blank text."""
     if not text or not text.strip():
         return 0.0, []
-    total, prose, groups = _lines(text)
+    total, prose, groups, _ = _lines(text)
     in_slots = _Prose(prose).chars(phrases)
     found = [(k, s, n, c) for (k, s), (n, c) in groups.items()]
     if in_slots:
@@ -206,20 +221,20 @@ class _Prose:
 
     def __init__(self, lines: list[str]):
         # A sentence that is repeated as a whole is one sentence: warnings may come again.
-        sentences = Counter(s.strip() for line in lines for s in SENTENCE.findall(line) if s.strip())
-        self.words: list[list[str]] = []
-        self.sentences: list[tuple[str, int]] = []
         self.run_on = 0
-        for s, times in sentences.items():
-            ws = WORD.findall(s.lower())
-            if len(ws) >= 25 and 3 <= len(set(ws)) <= 0.35 * len(ws) and not re.search(r"[.!?。！？।]", s):
-                self.run_on += (len(s) + 1) * times  # words without end, the same ones again and again
+        self.sentences: list[tuple[str, int]] = []
+        for s, times in Counter(map(str.strip, SENTENCE.findall("\n".join(lines).replace(PAUSE, " ")))).items():
+            if not s:
                 continue
-            self.words.append(ws)
+            if len(s) >= 50 and s[-1] not in MARKS and not MARKED.search(s):
+                ws = WORD.findall(s.lower())
+                if len(ws) >= 25 and 3 <= len(set(ws)) <= 0.35 * len(ws):
+                    self.run_on += (len(s) + 1) * times  # words without end, the same ones again and again
+                    continue
             self.sentences.append((s, times))
-        self.pairs: Counter[tuple[str, str]] = Counter()
-        for ws in self.words:
-            self.pairs.update(zip(ws, ws[1:], strict=False))
+        #: All words, with a pause between sentences.
+        self.words: list[str] = SPOKEN.findall(PAUSE.join([s for s, _ in self.sentences]).lower())
+        self.pairs: Counter[tuple[str, str]] = Counter(zip(self.words, self.words[1:], strict=False))
         self.loose = _loose(self.words, {p for p, n in self.pairs.items() if n >= 3})
 
     def candidates(self, known: _Filter) -> set[tuple[str, ...]]:
@@ -227,11 +242,10 @@ class _Prose:
         leads = {p for p in known.leads(self.pairs.keys()) if p[0] not in GRAMMAR}
         if not leads:
             return set()
-        found = set()
-        for ws in self.words:
-            for k, p in enumerate(zip(ws, ws[1:], strict=False)):
-                if p in leads:
-                    found.update(g for n in (2, 3, 4) if len(g := tuple(ws[k : k + n])) == n and known.has(g))
+        found, ws = set(), self.words
+        for k, p in enumerate(zip(ws, ws[1:], strict=False)):
+            if p in leads:
+                found.update(g for n in (2, 3, 4) if len(g := tuple(ws[k : k + n])) == n and PAUSE not in g and known.has(g))
         return found
 
     def chars(self, phrases: Iterable[tuple[str, ...]]) -> int:
@@ -241,26 +255,31 @@ class _Prose:
             return self.run_on
         covered = 0
         leads = {g[:2] for g in common}
-        for (s, times), ws in zip(self.sentences, self.words, strict=True):
+        at = 0
+        for s, times in self.sentences:
+            try:
+                end = self.words.index(PAUSE, at)
+            except ValueError:
+                end = len(self.words)
+            ws = self.words[at:end]
+            at = end + 1
             if leads.isdisjoint(zip(ws, ws[1:], strict=False)):
                 continue
-            found = [m.span() for m in WORD.finditer(s)]
-            if len(found) != len(ws):  # a letter that is more than one in lower case
-                found = [m.span() for m in WORD.finditer(s.lower())]
+            found = [m.span() for m in WORD.finditer(s.lower())]
             inside = [False] * len(ws)
             for n in (2, 3, 4):
                 for k in range(len(ws) - n + 1):
                     if tuple(ws[k : k + n]) in common:
                         inside[k : k + n] = [True] * n
-            at, size = 0, 0
-            while at < len(ws):
-                if inside[at]:
-                    end = at
-                    while end + 1 < len(ws) and inside[end + 1]:
-                        end += 1
-                    size += found[end][1] - found[at][0] + 1
-                    at = end
-                at += 1
+            k, size = 0, 0
+            while k < len(ws):
+                if inside[k]:
+                    last = k
+                    while last + 1 < len(ws) and inside[last + 1]:
+                        last += 1
+                    size += found[last][1] - found[k][0] + 1
+                    k = last
+                k += 1
             # A sentence with hardly any word besides phrases is stuffing as a whole.
             if sum(inside) >= 0.4 * len(ws) and len(ws) >= 3:
                 size = len(s) + 1
@@ -317,49 +336,37 @@ class _Filter:
         return whole.tobytes()
 
 
-def listed_phrases(docs: DataFrame, text_col: str = "text", least_pages: int = 3) -> DataFrame:
-    """``(phrase, pages)``: phrases, as words between spaces, that stand in list shapes on at least ``least_pages`` pages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = [sorted({" ".join(WORD.findall(p)) for p in listed(t)}) for t in batch.column(0).slice(at, 2000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], ["phrases"])
-
-    each = docs.select(text_col).mapInArrow(run, "phrases array<string>")
-    return each.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
-
-
-def _loose(words: list[list[str]], often: set[tuple[str, str]]) -> set[tuple[str, ...]]:
+def _loose(words: list[str], often: set[tuple[str, str]]) -> set[tuple[str, ...]]:
     """Phrases of two to four words that stand between ever other neighbours.
 
     The repeated words of a sentence pattern have the same neighbour on one side; a search phrase stands anywhere. Numbers and codes
-    are one neighbour. ``often`` has the pairs of words that stand at least three times: a phrase comes back as often only if
+    are one neighbour, and so is the border of a sentence. ``often`` has the pairs of words that stand at least three times: a phrase comes back as often only if
     all its pairs do, so that only runs of such pairs are counted.
     """
     number = lambda w: not w.isalpha() and w != "h2" and any(map(str.isdigit, w))
-    inner = {p for p in often if not number(p[0]) and not number(p[1])}
-    if not any(p[0] not in GRAMMAR for p in inner):
+    inner = {p for p in often if PAUSE not in p and not number(p[0]) and not number(p[1])}
+    starts = {p for p in inner if p[0] not in GRAMMAR}
+    if not starts:
         return set()
     seen: Counter[tuple[str, ...]] = Counter()
     left: dict[tuple[str, ...], set[str]] = defaultdict(set)
     right: dict[tuple[str, ...], set[str]] = defaultdict(set)
-    for ws in words:
-        runs = [p in inner for p in zip(ws, ws[1:], strict=False)]
-        for k, first in enumerate(runs):
-            if not first or ws[k] in GRAMMAR:
+    pairs = list(zip(words, words[1:], strict=False))
+    words = [PAUSE, *words, PAUSE]
+    for k in [k for k, p in enumerate(pairs) if p in starts]:
+        before = words[k]
+        before = "0" if number(before) else before
+        for n in (2, 3, 4):
+            end = k + n
+            if end - 2 >= len(pairs) or pairs[end - 2] not in inner:
+                break
+            if words[end] in GRAMMAR:
                 continue
-            before = "^" if not k else "0" if number(ws[k - 1]) else ws[k - 1]
-            for n in (2, 3, 4):
-                end = k + n
-                if end > len(ws) or not runs[end - 2]:
-                    break
-                if ws[end - 1] in GRAMMAR:
-                    continue
-                gram = tuple(ws[k:end])
-                seen[gram] += 1
-                left[gram].add(before)
-                right[gram].add("$" if end == len(ws) else "0" if number(ws[end]) else ws[end])
+            gram = tuple(words[k + 1 : end + 1])
+            seen[gram] += 1
+            left[gram].add(before)
+            after = words[end + 1]
+            right[gram].add("0" if number(after) else after)
     return {g for g, n in seen.items() if n >= 3 and min(len(left[g]), len(right[g])) >= max(3, min(6, 0.4 * n))}
 
 
@@ -382,55 +389,74 @@ def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return src.mapInArrow(run, kind)
 
 
-def _bounds(text: str | None, known: _Filter, least: float | None) -> tuple[float, set[tuple[str, ...]]]:
+def _bounds(total: int, sizes: list[int], prose: str, known: _Filter, least: float | None) -> tuple[float, set[tuple[str, ...]]]:
     """The share of stuffing without phrases of the corpus, and the phrases that decide; none where the share, or its side of ``least``, is sure."""
-    if not text or not text.strip():
-        return 0.0, set()
-    total, lines, groups = _lines(text)
-    share = lambda chars: dominance(total, groups, chars)
-    if least is not None and share(0) > least:
+    share = lambda chars: _share(total, sizes, chars)
+    if not prose or least is not None and share(0) > least:
         return share(0), set()
-    prose = _Prose(lines)
-    low = share(prose.chars(()))
+    words = _Prose(prose.split("\n"))
+    low = share(words.chars(()))
     if least is not None and low > least:
         return low, set()
-    open_ = prose.candidates(known)
-    high = share(prose.chars(open_)) if open_ else low
+    open_ = words.candidates(known)
+    high = share(words.chars(open_)) if open_ else low
     return low, open_ if high > (low if least is None else least) else set()
 
 
+def page_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, total, sizes, prose, phrases)`` of every row: its characters, those of its shapes of stuffing, its lines of sentences and the phrases it lists."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = ["id", "total", "sizes", "prose", "phrases"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                found = [(t, _sizes(g), "\n".join(p), sorted(_phrases(ls))) for t, p, g, ls in map(_lines, part.column(1).fill_null("").to_pylist())]
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], names)
+
+    return src.mapInArrow(run, T.StructType([src.schema["id"], *T.StructType.fromDDL("total bigint, sizes array<bigint>, prose string, phrases array<string>").fields]))
+
+
+def listed_phrases(lines: DataFrame, least_pages: int = 3) -> DataFrame:
+    """``(phrase, pages)``: phrases, as words between spaces, that at least ``least_pages`` pages of ``page_lines`` list."""
+    return lines.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
+
+
 def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """``(id_col, stuffed double)`` of every row; with ``least``, ``stuffed`` is exact only as to whether it is above it.
 
-    The phrases of the corpus stay a distributed table. Most pages are settled without it: a filter of fixed size tells which of their
-    phrases it may hold. Only pages that these can decide are joined with the table, by phrase, and counted with those it holds. Null and
+    The lines of a page are looked at once. The phrases of the corpus stay a distributed table. Most pages are settled without it: a filter of fixed
+    size tells which of their phrases it may hold. Only pages that these can decide are joined with the table, by phrase, and counted with those it holds. Null and
     blank texts have share 0; repeated rows come out as often as they stand in the table.
     """
-    known = materialise(listed_phrases(docs, text_col), "stuffing-phrases")
+    lines = materialise(page_lines(docs, id_col, text_col), "stuffing-lines")
+    known = materialise(listed_phrases(lines), "stuffing-phrases")
     bits = _Filter.of(known)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    of_id = src.schema["id"]
+    of_id = lines.schema["id"]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = _Filter(bits)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [_bounds(t, near, least) for t in texts]
-            key = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if c else None for t, (_, c) in zip(texts, found, strict=True)]
-            columns = [pa.array([s for s, _ in found], pa.float64()), pa.array(key, pa.string()), pa.array([t if k else None for t, k in zip(texts, key, strict=True)], pa.string()), pa.array([sorted(map(" ".join, c)) if c else None for _, c in found], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "stuffed", "key", "text", "phrases"])
+            prose = batch.column(3).to_pylist()
+            found = [_bounds(t, s, p, near, least) for t, s, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), prose, strict=True)]
+            key = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if c else None for t, (_, c) in zip(prose, found, strict=True)]
+            columns = [pa.array([s for s, _ in found], pa.float64()), pa.array(key, pa.string()), pa.array([t if k else None for t, k in zip(prose, key, strict=True)], pa.string()), pa.array([sorted(map(" ".join, c)) if c else None for _, c in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page(t, frozenset(tuple(p.split(" ")) for p in ps or ()))[0] for t, ps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [_share(t, s, _Prose(p.split("\n")).chars(frozenset(tuple(h.split(" ")) for h in hs or ()))) for t, s, p, hs in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["id", "stuffed"])
 
-    fields = T.StructType.fromDDL("stuffed double, key string, text string, phrases array<string>").fields
-    each = materialise(src.mapInArrow(first, T.StructType([of_id, *fields])), "stuffing-pages")
+    fields = T.StructType.fromDDL("total bigint, sizes array<bigint>, stuffed double, key string, prose string, phrases array<string>").fields
+    names = ["id", *(f.name for f in fields)]
+    each = materialise(lines.select("id", "total", "sizes", "prose").mapInArrow(first, T.StructType([of_id, *fields])), "stuffing-pages")
     undecided = each.filter("key is not null")
     # Equal texts have equal phrases: they are joined once.
     held = undecided.select("key", F.explode("phrases").alias("phrase")).distinct().join(known.select("phrase"), "phrase").groupBy("key").agg(F.collect_list("phrase").alias("held"))
-    decided = undecided.join(held, "key", "left").select("id", "text", "held").mapInArrow(second, T.StructType([of_id, fields[0]]))
+    decided = undecided.join(held, "key", "left").select("id", "total", "sizes", "prose", "held").mapInArrow(second, T.StructType([of_id, fields[2]]))
     return each.filter("key is null").select("id", "stuffed").unionByName(decided).withColumnRenamed("id", id_col)
 
 
