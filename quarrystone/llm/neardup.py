@@ -206,8 +206,9 @@ def candidates(keys: DataFrame, signs: DataFrame, rows: int, similarity: float,
     of one text, go no further. The texts of the others take their signature along, so that the bits are compared inside the join and only near pairs come out of it.
     """
     words = [c for c in signs.columns if c != "id"]
-    spread = keys.repartition(max(1, -(-rows // rows_a_task)), "key")
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    spread = keys.filter("id is not null and key is not null").repartition(max(1, -(-rows // rows_a_task)), "key")
+    # The count looks at the ids too, and both leave out nulls, so that it reads the same shuffle as the join.
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "n")
     met = _block_pairs(spread.join(shared.hint("shuffle_hash"), "key").join(signs, "id"), block)
     met = met.repartition("key", "i", "j")
     side = lambda name: met.select("key", "i", "j", F.col("id").alias(name), F.col("own").alias(f"own_{name}"), *(F.col(w).alias(f"{name}_{w}") for w in words))
