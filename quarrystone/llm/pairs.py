@@ -1,4 +1,9 @@
-"""Defects of prompt and response pairs by ordered rules; every rule that applies is emitted."""
+"""Defects of prompt and response pairs by ordered rules; every rule that applies is emitted.
+
+The rules, in order: emptiness, unclosed delimiters and abrupt endings, phrases that decline in several languages, copied questions and
+copied prefixes of them, and a script or language unlike the question's. Nothing but an empty answer ends the list; a copy has
+no words of its own, so that the rules on what an answer says find nothing in it.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +27,9 @@ EMPTY = frozenset("null none nil n/a na n.a. nan undefined empty tbd todo keine
 _HELP = r"(?:help|assist|answer|respond|reply|discuss|comment|advise|talk|say|share|speak|go\s+into|go\s+there|give|giving|provide|support\s+(?:you|this|that)|engage|offer)"
 REFUSALS = [
     rf"\bI(?:'m|\s+am)?\s+(?:sorry,?\s+(?:but\s+)?)?(?:I\s+)?(?:really\s+|simply\s+)?(?:can(?:'t|not|\s+not)|could(?:n't|\s+not)|won't|will\s+not|would\s+rather\s+not|do(?:n't|\s+not)|am\s+not\s+(?:able|allowed|permitted)\s+to|unable\s+to|not\s+(?:able|allowed|permitted)\s+to)\s+{_HELP}\b",
-    rf"\b(?:can(?:'t|not)|won't|will\s+not|unable\s+to|not\s+(?:able|allowed|permitted)\s+to)\s+{_HELP}\b[^.]{{0,25}}\b(?:question|request|topic|that|this|here)\b",
+    # Without a subject only where the sentence begins or an excuse leads: a device that cannot provide something is an answer.
+    rf"(?:^|[.!?:;\n]\s*|\b(?:sorry|afraid|regret|apologi[sz]e|unfortunately),?\s+(?:but\s+)?)(?:we\s+)?(?:can(?:'t|not)|won't|will\s+not|unable\s+to|not\s+(?:able|allowed|permitted)\s+to)\s+{_HELP}\b[^.]{{0,25}}\b(?:question|request|topic|that|this|here)\b",
+    rf"\b(?:I(?:'m|\s+am)|we(?:'re|\s+are))\s+not\s+(?:going\s+to|willing\s+to|prepared\s+to|in\s+a\s+position\s+to|comfortable\s+with)\s+(?:{_HELP}|get(?:ting)?\s+into|answering|discussing|touch)\b",
     r"\b(?:must|have\s+to|need\s+to|prefer\s+to)\s+(?:respectfully\s+)?(?:decline|refuse)\b",
     r"\bI\s+(?:decline|refuse)\s+to\b",
     rf"\bI(?:'d|\s+would|\s+do)?\s+(?:rather|prefer)\s+not\b",
@@ -36,6 +43,12 @@ REFUSALS = [
     r"\bno\s+puedo\s+(?:ayudar|responder|contestar|opinar|hablar|dar|comentar)|\bprefiero\s+no\s+(?:contestar|responder|opinar|hablar)|\bno\s+(?:me\s+)?(?:está|es)\s+permitid\w+\s+(?:responder|contestar|hablar)|\bme\s+niego\b|\bno\s+(?:quiero|voy\s+a|deseo)\s+(?:contestar|responder)",
     r"\bne\s+(?:peux|puis|veux|souhaite)\s+pas\s+(?:vous\s+)?(?:répondre|aider|commenter|donner|en\s+parler|fournir)|\bsujet\s+m'est\s+interdit|\bpréfère\s+ne\s+pas\b|\brefuse\s+de\s+répondre|\bpas\s+autorisée?\s+à\s+(?:répondre|parler)",
     r"\bkann\s+ich\s+(?:\w+\s+){0,3}(?:keine?n?\s+(?:auskunft|antwort|hilfe|rat)|nicht\s+(?:helfen|beantworten|antworten))|\bmöchte\s+ich\s+(?:\w+\s+){0,2}nicht\s+(?:beantworten|antworten|sprechen|kommentieren)|\bich\s+(?:kann|darf|möchte|werde)\s+(?:\w+\s+){0,4}nicht\s+(?:helfen|beantworten|antworten|sprechen)|\bdarf\s+ich\s+(?:\w+\s+){0,3}(?:nicht|keine)\b",
+    r"\bnon\s+(?:posso|possiamo|voglio|intendo)\s+(?:rispondere|aiutar\w*|commentare|parlarne|discutere|fornire\s+(?:assistenza|consigli))|\bpreferisco\s+non\b|\bmi\s+rifiuto\b|\bnon\s+mi\s+è\s+(?:permesso|consentito)\b",
+    r"\bnão\s+(?:posso|podemos|quero|vou|irei|consigo)\s+(?:responder|ajudar|comentar|falar|discutir|fornecer\s+(?:ajuda|conselhos))|\bprefiro\s+não\b|\brecuso-me\b|\bme\s+recuso\b|\bnão\s+me\s+é\s+permitido\b|\bnão\s+(?:estou|tenho)\s+(?:autorizad\w+|permissão)\b",
+    r"\b(?:kan|mag|wil|zal)\s+ik\s+(?:\w+\s+){0,3}niet\b[^.]{0,20}(?:helpen|beantwoorden|antwoorden|bespreken)|\bik\s+(?:kan|mag|wil|zal)\s+(?:\w+\s+){0,4}(?:niet|geen)\b[^.]{0,25}(?:helpen|beantwoorden|antwoorden|antwoord|bespreken|ingaan|commentaar)|\bik\s+weiger\b",
+    r"\bnie\s+(?:mogę|możemy|chcę|będę)\s+(?:\w+\s+){0,2}(?:odpowiedzieć|odpowiadać|pomóc|komentować|rozmawiać|udzielić)|\bodmawiam\b|\bwolę\s+nie\b|\bnie\s+wolno\s+mi\b",
+    r"\bjag\s+(?:kan|får|vill|kommer)\s+(?:\w+\s+){0,2}inte\s+(?:att\s+)?(?:\w+\s+)?(?:svara|hjälpa|kommentera|diskutera)|\bjeg\s+(?:kan|må|får|vil)\s+(?:\w+\s+){0,2}ikke\s+(?:\w+\s+)?(?:svare|hjelpe|hjælpe|kommentere|diskutere|besvare)",
+    r"не\s+(?:могу|можем|буду)\s+(?:\w+\s+){0,2}(?:ответить|отвечать|помочь|комментировать|обсуждать)|отказываюсь|回答できません|お答えできません|답변(?:할|드릴)\s*수\s*없",
     r"无法(?:回答|提供|协助|帮助|讨论)|不能(?:回答|讨论|帮助)|拒绝回答|不便(?:回答|透露)|抱歉，?我",
     r"(?:उत्तर|जवाब|मदद|सहायता|टिप्पणी)\s*(?:नहीं|देने\s*में\s*असमर्थ)|नहीं\s*(?:दे|कर)\s*सकत",
 ]
@@ -43,21 +56,53 @@ REFUSAL = re.compile("|".join(REFUSALS), re.I)
 #: What such phrases may speak of without declining.
 NO_REFUSAL = re.compile(r"\b(?:not\s+able\s+to\s+see|can(?:'t|not)\s+(?:recommend|be)|not\s+(?:in|part\s+of|covered\s+by)\s+the\s+approved)\b", re.I)
 
-#: Short words that tell a language.
+#: Frequent words of grammar by language; a word of several languages tells as much less of each.
 WORDS = {
-    "en": "the of in is are and for a an to what how which with when does do be it has at on by then that was if not near unless between can you me my i your this please why who tell there while from will as there's".split(),
-    "de": "der die das den dem ein eine einen einem einer ist sind und für wie wir welcher welche welches muss im mit zu zum zur nicht sich auf bei vor nach wenn obwohl bleibt ich was wird haben bitte sobald darf diese dazu kann unter zwischen man wo warum brauchen oft eignet passt wieviel viele".split(),
-    "es": "el los las una un y qué cuánto cuántos cada cuando con del por su al para hay lo está debe aunque mientras pide sala código no esa ese hemos pasados sirve hace falta cuanto como donde puede revisa ocurre recomendamos revisarse unidades equipos".split(),
-    "fr": "le les des est et un une pour quel quelle dans il faut du au aux avec sur ne pas qu que ce cette nous je lorsque même si reste combien sous entre avant après quand fois doit être notre pendant fréquence appareils passe se convient".split(),
+    "en": "the of and to in is that it for on with as are this be at or from by an not which have was were if when will can should has its there their they you your we our but than then before after between into over until while each any all do does how what why who where no",
+    "de": "der die das und ist nicht mit für auf ein eine einen einem einer den dem des zu zum zur von vom im in bei nach vor über unter zwischen wenn dass als auch wie was wer wo warum wird werden wurde sind hat haben kann können muss müssen soll sollte nur noch oder aber durch ohne bis aus an am es sich wir ich sie ihr ihre man bitte welche welcher welches diese dieser dieses obwohl sobald bleibt",
+    "es": "el la los las un una unos unas de del al que y en es son por para con sin sobre entre cuando como qué cuál cuánto cuántos cada se su sus no lo le les está están hay ser debe deben puede pueden más muy antes después durante mientras aunque hasta desde este esta estos estas ha han hemos nuestro nuestra todo todos toda todas también donde tras bajo debajo",
+    "fr": "le la les un une des du de au aux et est sont que qui dans pour par sur sous avec sans entre quand lorsque comme quel quelle quels quelles combien ce cet cette ces il elle ils elles on nous vous je ne pas plus se sa son ses leur leurs être doit doivent peut peuvent faut avant après pendant jusqu même si notre votre nos vos tout tous toute toutes aussi très où donc car",
+    "pt": "o a os as um uma uns umas de do da dos das em no na nos nas ao à que e é são por para com sem sobre entre quando como qual quanto cada se seu sua seus suas não está estão há ser deve devem pode podem mais muito antes depois durante enquanto embora até desde este esta isto você foi",
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle al allo alla ai alle da dal dalla nel nella in con su sul sulla per tra fra che e è sono non si come quando quale quanto ogni anche più prima dopo durante mentre se deve devono può possono essere questo questa questi viene",
+    "nl": "de het een en van in op te voor met is zijn niet dat die deze dit aan bij uit naar over onder tussen door tot als wanneer hoe wat welke waar waarom wordt worden moet moeten kan kunnen ook nog maar of om er je u wij we zij ik heeft hebben na",
+    "pl": "i w z na do od po za przez dla nie jest są się że to ten ta te jak kiedy który która które czy co gdzie dlaczego można należy musi może przed między podczas jeśli gdy oraz lub ale jego jej ich o ze we",
+    "sv": "och att det som en ett är för på med av till den inte om i från när hur vad vilken vilket var varför kan ska måste bör har under mellan efter före vid eller men också sig de vi du man",
+    "da": "og at det som en et er for på med af til den ikke om i fra når hvordan hvad hvilken hvor hvorfor kan skal må bør har under mellem efter før ved eller men også sig de vi du man",
+    "no": "og å det som en et er for på med av til den ikke om i fra når hvordan hva hvilken hvor hvorfor kan skal må bør har under mellom etter før ved eller men også seg de vi du man",
+    "fi": "ja on ei se että kun jos tai mutta myös kuin niin ovat voi pitää täytyy ennen jälkeen välillä aikana mikä mitä miten missä miksi joka jotka tämä nämä sen sitä ole",
+    "cs": "a v na se je že s z do pro o jako když nebo ale jsou není který která které co jak kde proč může musí před po mezi při také byl být ze si",
+    "ro": "și în la de cu pe pentru din este sunt nu se că un o al ale care când cum ce unde poate trebuie înainte după între sau dar mai prin",
+    "tr": "ve bir bu için ile de da ne nasıl nerede neden olan olarak gibi kadar sonra önce veya ama değil mi mı var yok her daha",
+    "hu": "a az és nem hogy egy is van vannak ha vagy de mint amikor hogyan mi mit hol miért kell lehet előtt után között alatt ez ezek meg csak",
 }
-_LANGUAGES = {k: frozenset(v) for k, v in WORDS.items()}
-SIGNS = {"ñ": "es", "¿": "es", "¡": "es", "ß": "de", "ç": "fr", "œ": "fr", "à": "fr", "è": "fr", "ê": "fr", "û": "fr", "î": "fr", "ô": "fr", "ë": "fr", "ä": "de", "ó": "es", "í": "es", "ú": "es", "á": "es"}
+#: Letters that few languages have.
+SIGNS = {
+    "ñ": "es", "¿": "es", "¡": "es", "á": "es pt cs hu", "í": "es pt cs hu", "ó": "es pt pl cs hu", "ú": "es pt cs hu", "ß": "de", "ä": "de sv fi", "ö": "de sv fi tr hu", "ü": "de tr hu", "ç": "fr pt tr", "œ": "fr", "à": "fr it pt",
+    "è": "fr it", "ê": "fr pt", "û": "fr", "î": "fr ro", "ô": "fr pt", "ë": "fr nl", "ã": "pt", "õ": "pt", "ò": "it", "ù": "it fr", "ì": "it", "ł": "pl", "ż": "pl", "ś": "pl", "ć": "pl", "ę": "pl", "ą": "pl", "å": "sv da no", "ø": "da no", "æ": "da no",
+    "ř": "cs", "ě": "cs", "ů": "cs", "ž": "cs", "š": "cs", "č": "cs", "ă": "ro", "ș": "ro", "ț": "ro", "â": "ro fr pt", "ğ": "tr", "ş": "tr", "ı": "tr", "ő": "hu", "ű": "hu",
+}
+
+
+def _weights() -> dict[str, list[tuple[str, float]]]:
+    of: dict[str, list[str]] = {}
+    for name, words in WORDS.items():
+        for w in words.split():
+            of.setdefault(w, []).append(name)
+    # Single letters stand in units and names as often as in sentences.
+    return {w: [(name, 1 / len(names)) for name in names] for w, names in of.items() if len(w) > 1}
+
+
+_TELLS = _weights()
+_SIGNED = {sign: [(name, 0.7 / len(names.split())) for name in names.split()] for sign, names in SIGNS.items()}
 LETTER, LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
-SCRIPTS = [(n, re.compile(b)) for n, b in (("zh", "[㐀-鿿]"), ("hi", "[ऀ-ॿ]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"), ("ja", "[぀-ヿ]"), ("ko", "[가-힯]"))]
+SCRIPTS = [(n, re.compile(b)) for n, b in (("ja", "[぀-ヿ]"), ("zh", "[㐀-鿿]"), ("hi", "[ऀ-ॿ]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"), ("ko", "[가-힯]"), ("el", "[Ͱ-Ͽ]"), ("he", "[֐-׿]"), ("th", "[฀-๿]"))]
+#: What French and Italian leave out before a vowel.
+ELISION, ELIDED = re.compile(r"\b(?:l|d|qu|n|m|s|j|c)'[a-zéèêh]|-t-(?:il|elle)"), re.compile(r"\b(?:dell|nell|all|sull|dall|un|quell)'[a-zèh]")
 ENDED = re.compile(r"(?:[.!?。！？।…]|:-?\))[\"'”’»)\]」』*_~]*$")
 ABBREVIATED = re.compile(r"\w\s+(?:no|nos|approx|e\.g|i\.e|ca|z\.B|bzw|vgl|cf|fig|incl|resp|max|min)\.$")
 MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)])(?:\s+|$)")
 CODE = r"[A-Z]{1,4}-?\d[\w\-./]*"
+CODES = re.compile(rf"\b{CODE}\b|\d+")
 
 
 def language(text: str) -> str | None:
@@ -68,13 +113,23 @@ def language(text: str) -> str | None:
             if len(block.findall(text)) > 0.3 * letters:
                 return name if letters else None
     low = text.lower().replace("’", "'")
-    words = LETTERS.findall(low)
-    score = {k: float(sum(w in v for w in words)) for k, v in _LANGUAGES.items()}
-    for sign, name in SIGNS.items():
-        score[name] += 0.7 * min(2, low.count(sign))
-    score["fr"] += 0.8 * len(re.findall(r"\b(?:l|d|qu|n|m|s|j)'[a-zéèêh]", low)) + 1.5 * len(re.findall(r"-t-(?:il|elle)", low))
-    best = sorted(score, key=lambda k: -score[k])
-    return best[0] if score[best[0]] >= 1.0 and score[best[0]] > 1.25 * score[best[1]] else None
+    score: dict[str, float] = {}
+    for w in _TELLS.keys() & set(words := LETTERS.findall(low)):
+        times = words.count(w)
+        for name, weight in _TELLS[w]:
+            score[name] = score.get(name, 0.0) + weight * times
+    if not low.isascii():
+        for sign in _SIGNED.keys() & set(low):
+            times = min(2, low.count(sign))
+            for name, weight in _SIGNED[sign]:
+                score[name] = score.get(name, 0.0) + weight * times
+    if "'" in low:
+        score["fr"] = score.get("fr", 0.0) + 0.8 * len(ELISION.findall(low))
+        score["it"] = score.get("it", 0.0) + 0.8 * len(ELIDED.findall(low))
+    best, *rest = sorted(score.values(), reverse=True)[:2] or (0.0,)
+    if best < 1.0 or rest and best <= 1.25 * rest[0]:
+        return None
+    return max(score, key=score.__getitem__)
 
 
 def _plain(text: str) -> str:
@@ -90,11 +145,13 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """Whether an answer is the question, once or more often, with nothing but quoting around it."""
+    """Whether an answer is the question, once or more often or its first part, with nothing but quoting around it."""
     q = _plain(question or "")
     if not q:
         return False
     a = _plain(answer)
+    if is_prefix(q, a):
+        return True
     for lead in ("", "question", "answer", "youasked", "youaskedme", "q", "a", "yourquestion", "yourquestionwas"):
         rest = a.removeprefix(lead)
         if rest and len(rest) % len(q) == 0 and rest == q * (len(rest) // len(q)):
@@ -102,6 +159,11 @@ def is_copy(question: str | None, answer: str) -> bool:
     return False
 
 
+def is_prefix(q: str, a: str) -> bool:
+    """Whether a plain answer is a copied prefix of a plain question: shorter, but most of it."""
+    return 12 <= len(a) < len(q) <= 2 * len(a) and q.startswith(a)
+
+
 def is_value(text: str) -> bool:
     """A code, an amount or a few of them: whole without an end mark."""
     t = text.strip()
@@ -154,22 +216,23 @@ def defects(question: str | None, answer: str | None) -> list[str]:
     """All defects of a pair in the order of the rules."""
     if is_empty(answer):
         return ["empty"]
-    copied = is_copy(question, answer)
     found = []
-    if not copied and is_truncated(answer):
+    copied = is_copy(question, answer)
+    # What a copy says is the question's: of it only the question broken off tells something of the answer.
+    if is_truncated(answer) if not copied else is_prefix(_plain(question), _plain(answer)):
         found.append("truncated")
-    if not copied:
-        # What the question says, repeated before the answer, is not the answer's.
-        said = answer.replace(question.strip(), " ") if question and question.strip() else answer
-        said = said.replace("’", "'")
-        if REFUSAL.search(NO_REFUSAL.sub(" ", said)):
-            found.append("refusal")
-        body = re.sub(rf"\b{CODE}\b|\d+", " ", said)
-        asked, answered = _language(question or ""), language(body)
-        if answered and asked and answered != asked and len(re.findall(r"[^\W\d_]", body)) >= 8:
-            found.append("language")
+    # What the question says, repeated before the answer, is not the answer's.
+    said = "" if copied else answer.replace(question.strip(), " ") if question and question.strip() else answer
+    said = said.replace("’", "'")
+    if REFUSAL.search(NO_REFUSAL.sub(" ", said)):
+        found.append("refusal")
     if copied:
         found.append("copy")
+    body = CODES.sub(" ", said)
+    if len(LETTER.findall(body)) >= 8:
+        asked, answered = _language(question or ""), language(body)
+        if answered and asked and answered != asked:
+            found.append("language")
     return found
 
 
