@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from quarrystone.llm.tokenizing import count_tokens
 from quarrystone.session import materialise
 
-#: Buckets of keys of one source. A bucket is summed in one task: 1 / BUCKETS of a source, about.
+#: Buckets of keys of one source. A bucket is summed in one task: 1 / BUCKETS of a source's tokens, about, whatever the weights of its documents.
 BUCKETS = 2048
+#: Weights are told apart in so many steps when the keys of a source are spread over the buckets.
+STEPS = 40
 
 
 def source_name(column: str) -> Column:
@@ -38,6 +40,21 @@ def _unit(seed: int, *columns: str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def in_buckets(counted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``(doc_id, source, n_tokens, key, bucket)``: rows of ``(doc_id, source, n_tokens, weight, key)`` with a bucket that rises with the key.
+
+    The key of a document of weight w is below k with the probability 1 - exp(-w k). Added up over the weights of a source, by their tokens,
+    that is the share of the source below k, so that all its buckets are of about one size.
+    """
+    step = F.round(F.col("weight") * STEPS).cast("int")
+    mass = counted.groupBy("source", step.alias("step")).agg(F.sum("n_tokens").alias("tokens"))
+    # One row a source, of at most STEPS entries.
+    curves = mass.groupBy("source").agg(F.sum("tokens").cast("double").alias("all"), F.collect_list(F.struct((F.col("step") / STEPS).alias("w"), F.col("tokens").cast("double").alias("t"))).alias("curve"))
+    above = F.aggregate("curve", F.lit(0.0), lambda acc, x: acc + x["t"] * F.exp(-x["w"] * F.col("key"))) / F.col("all")
+    bucket = F.least(F.lit(buckets - 1), F.floor((1 - above) * buckets)).cast("int")
+    return counted.join(curves, "source").select("doc_id", "source", "n_tokens", "key", bucket.alias("bucket"))
+
+
 def mixture(
     documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, vocabulary: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +79,7 @@ def mixture(
     known = docs.join(goals.select("source"), "source", "left_semi").withColumn("weight", quality_weight("text"))
     counted = count_tokens(known, ["doc_id", "source", "weight"], vocabulary=vocabulary).filter("n_tokens > 0")
     key = -F.log(_unit(seed, "doc_id", "n_tokens")) / F.col("weight")
-    counted = counted.select("doc_id", "source", "n_tokens", key.alias("key")).withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key") * 0.8)) * BUCKETS)).cast("int"))
-    counted = materialise(counted, "mixture")
+    counted = in_buckets(materialise(counted.select("doc_id", "source", "n_tokens", "weight", key.alias("key")), "mixture"))
 
     sums = counted.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     by_source = sums.groupBy("source").agg(F.sum("tokens").alias("available_tokens"), F.sum("documents").alias("documents"))

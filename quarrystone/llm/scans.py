@@ -55,10 +55,14 @@ def fold(text: Column) -> Column:
     return t
 
 
+#: Hashes are sums modulo this prime, so that they fit a long for words of any length.
+PRIME = (1 << 61) - 1
+
+
 def anagram_hash(word: Column) -> Column:
-    """The sum of the fifth powers of a word's code points, those of far scripts reduced to fit a long."""
+    """The sum of the fifth powers of a word's code points, those of far scripts reduced, modulo ``PRIME``."""
     five = lambda x: x * x * x * x * x
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda acc, x: acc + five(F.ascii(x).cast("bigint") % 1009))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda acc, x: (acc + five(F.ascii(x).cast("bigint") % 1009)) % PRIME)
 
 
 def _power(s: str) -> int:
@@ -134,11 +138,11 @@ def corrections(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
     steps = sorted({(wrong, _power(right) - _power(wrong)) for right, wrong in CONFUSIONS})
     moves = [(a,) for a in steps] + list(combinations_with_replacement(steps, 2))
     # One constant instead of some thousand expressions.
-    said = json.dumps([{"x": m[0][0], "y": m[-1][0], "by": sum(d for _, d in m)} for m in moves])
+    said = json.dumps([{"x": m[0][0], "y": m[-1][0], "by": sum(d for _, d in m) % PRIME} for m in moves])
     table = F.from_json(F.lit(said), "array<struct<x:string,y:string,by:bigint>>")
     fitting = F.filter(table, lambda m: F.col("word").contains(m["x"]) & F.col("word").contains(m["y"]))
-    tried = unknown.select("word", "n", anagram_hash(F.col("word")).alias("h"), F.explode(F.array_distinct(F.transform(fitting, lambda m: m["by"]))).alias("by")).select("word", "n", (F.col("h") + F.col("by")).alias("hash"))
-    frequent = vocabulary.filter("n >= 3 and length(word) <= 40").select(F.col("word").alias("best"), F.col("n").alias("best_n"), anagram_hash(F.col("word")).alias("hash"))
+    tried = unknown.select("word", "n", anagram_hash(F.col("word")).alias("h"), F.explode(F.array_distinct(F.transform(fitting, lambda m: m["by"]))).alias("by")).select("word", "n", ((F.col("h") + F.col("by")) % PRIME).alias("hash"))
+    frequent = vocabulary.filter("n >= 3").select(F.col("word").alias("best"), F.col("n").alias("best_n"), anagram_hash(F.col("word")).alias("hash"))
     found = tried.join(frequent, "hash").filter((F.col("word") != F.col("best")) & (F.col("best_n") >= F.greatest(F.lit(3), F.col("n") * TIMES)))
     found = found.select("word", "best", "best_n").mapInArrow(_misreadings, "word string, best string, best_n bigint")
     return found.groupBy("word").agg(F.max(F.struct("best_n", "best")).alias("top")).select("word", F.col("top.best").alias("best"), F.col("top.best_n").alias("best_n"))
@@ -184,7 +188,7 @@ def analyse(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = body.select("row_id", "line_no", F.explode(F.array_distinct(F.split("line", _TOKENS))).alias("token")).filter("token <> ''")
     outer = ends.select("row_id", "line_no", F.lower(F.concat("head", "mark")).alias("word")).unionByName(ends.filter("next_line is not null").select(F.col("next_row").alias("row_id"), F.col("next_line").alias("line_no"), F.lower("tail").alias("word")))
     numbers = parts.filter(F.col("token").rlike(_NUMBER)).select("row_id", "line_no", F.col("token").alias("word"), F.translate("token", "OolI|S", "001115").alias("best"))
-    words = parts.select("row_id", "line_no", "token", F.lower("token").alias("word")).filter(F.col("word").rlike(r"\p{L}") & ~F.col("token").rlike(_NUMBER) & ~F.col("word").rlike(r"^[a-z]{2}-\d+[a-h]?$") & (F.length("word") <= 40))
+    words = parts.select("row_id", "line_no", "token", F.lower("token").alias("word")).filter(F.col("word").rlike(r"\p{L}") & ~F.col("token").rlike(_NUMBER) & ~F.col("word").rlike(r"^[a-z]{2}-\d+[a-h]?$"))
     words = words.select("row_id", "line_no", "word").join(outer, ["row_id", "line_no", "word"], "left_anti")
 
     looked = words.select("word").distinct().unionByName(ends.select(F.col("joined").alias("word"))).unionByName(ends.select(F.col("hyphened").alias("word"))).distinct()
@@ -252,7 +256,7 @@ def repaired_pages(chunks: DataFrame) -> DataFrame:
     body = body.withColumn("t0", F.when(F.col("gone").isNotNull(), F.ltrim(F.expr("substring(trim(line), length(gone) + 1)"))).otherwise(F.trim("line"))).withColumn("t1", text)
     pieces = F.regexp_extract_all("t1", F.lit(r"[\p{L}\p{N}'\-|]+|[^\p{L}\p{N}'\-|]+"), F.lit(0))
     best = lambda x: F.coalesce(F.element_at("fixes", F.lower(x)), F.element_at("fixes", x))
-    cased = lambda x: F.when(F.substring(x, 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(best(x), 1, 1)), F.substring(best(x), 2, 1000))).otherwise(best(x))
+    cased = lambda x: F.when(F.substring(x, 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(best(x), 1, 1)), F.substring(best(x), F.lit(2), F.length(best(x))))).otherwise(best(x))
     fixed = F.when(F.col("fixes").isNull(), F.col("t1")).otherwise(F.array_join(F.transform(pieces, lambda x: F.coalesce(cased(x), x)), ""))
     body = body.select("row_id", "document_name", "page_number", "line_no", fixed.alias("t"))
     page = body.groupBy("row_id", "document_name", "page_number").agg(F.sort_array(F.collect_list(F.struct("line_no", "t"))).alias("ls"))

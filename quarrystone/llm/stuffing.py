@@ -91,9 +91,11 @@ def shape(line: str) -> tuple[str, str]:
     n = len(words)
     ended = bool(ENDED.search(rest))
     tags = len(TAG.findall(line)) if "#" in line else 0
+    amounts = len(AMOUNT.findall(rest))
+    if amounts * 12 >= n and amounts and not links and tags < 2 and rest.isascii() and (not ended or STAMP.search(rest)):
+        return "data", f"w{_bin(n)} n+"  # whatever its separators
     segments = len([s for s in SEPARATOR.split(rest.strip()) if s.strip()])
     adorned = 0 if rest.isascii() else len([s for s in ADORNED.split(rest) if s.strip()])
-    amounts = len(AMOUNT.findall(rest))
     capital = sum(map(str.isupper, [w[0] for w in words]))
     look = f"w{_bin(n)} c{'0' if not capital else 'all' if capital == n else 'some'} s{_bin(max(segments, adorned))} l{_bin(links)} t{_bin(tags)} n{'0' if not amounts else '+'}{' .' if ended else ''}"
     if links and n <= 5 * links and not ended:
@@ -392,7 +394,8 @@ def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _bounds(total: int, sizes: list[int], prose: str, known: _Filter, least: float | None) -> tuple[float, set[tuple[str, ...]]]:
     """The share of stuffing without phrases of the corpus, and the phrases that decide; none where the share, or its side of ``least``, is sure."""
     share = lambda chars: _share(total, sizes, chars)
-    if not prose or least is not None and share(0) > least:
+    # Phrases hold no more than all sentences.
+    if not prose or least is not None and (share(0) > least or share(len(prose) + 1 + sum(map(prose.count, MARKS + "…\n"))) <= least):
         return share(0), set()
     words = _Prose(prose.split("\n"))
     low = share(words.chars(()))

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from quarrystone.llm.mixing import mixture
+from quarrystone.llm.mixing import in_buckets, mixture
 
 pytest.importorskip("public_tokenizers")
 DOCS = "doc_id bigint, text string, source string, n_tokens int"
@@ -45,3 +46,36 @@ def test_empty(spark):
     rows, report = mixture(_docs(spark).limit(0), targets)
     assert rows.count() == 0
     assert [(r.used_tokens, r.actual_share) for r in report.collect()] == [(0, 0.0)]
+
+
+def test_buckets_are_even_for_any_weights(spark):
+    """No bucket holds much more than its part, also of sources of low weights, and keys rise with buckets."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "low").when(F.col("id") % 3 == 1, "high").otherwise("mixed").alias("source"), (F.col("id") % 50 + 1).alias("n_tokens"))
+    weight = F.when(F.col("source") == "low", 0.25).when(F.col("source") == "high", 1.0).otherwise(0.25 + (F.xxhash64("doc_id") % 1000 + 1000) / 2000 * 0.75)
+    rows = rows.withColumn("weight", weight.cast("double")).withColumn("key", -F.log((F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) + 0.5) / 1e6) / F.col("weight"))
+    out = in_buckets(rows, 20).cache()
+    assert out.count() == 60_000
+    tops = out.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("source", "bucket").collect()
+    for source in ("low", "high", "mixed"):
+        own = [r for r in tops if r.source == source]
+        assert len(own) == 20 and max(r.t for r in own) <= 1.3 * sum(r.t for r in own) / 20
+        assert all(a.high <= b.low for a, b in zip(own, own[1:], strict=False))
+
+
+def test_shares_epochs_and_caps_on_the_tables(spark):
+    """Each source comes within half a document of its share, complete epochs precede the selection, and no document is used too often."""
+    d = "/root/testdata/sf0.01"
+    docs, targets = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"), spark.read.parquet(f"{d}/mix_targets.parquet")
+    rows, report = mixture(docs, targets)
+    uses = rows.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.max("epoch").alias("last"), F.first("n_tokens").alias("n")).collect()
+    said = {r.source: r for r in report.collect()}
+    total = sum(r.used_tokens for r in said.values())
+    assert abs(sum(r.target_share for r in said.values()) - 1) < 1e-6
+    for name, r in said.items():
+        own = [u for u in uses if u.source == name]
+        assert all(u.uses == u.last <= r.max_repeats for u in own)
+        assert sum(u.uses * u.n for u in own) == r.used_tokens and max(u.uses for u in own) == r.most_uses
+        assert abs(r.used_tokens / total - r.actual_share) < 1e-5
+        assert abs(r.actual_share - r.target_share) <= max(u.n for u in own) / total + 1e-3, name
+        counts = {u.uses for u in own}
+        assert max(counts) - min(counts) <= 1 and (min(counts) == max(counts) == 1 or len(own) == r.documents or max(counts) == 1)

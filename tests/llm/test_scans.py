@@ -64,3 +64,18 @@ def test_misreadings(wrong, right):
 @pytest.mark.parametrize(("line", "number"), [("12", True), ("- 3 -", True), ("Page l2 of 22", True), ("[4]", True), ("xiv", True), ("p. 7", True), ("5 |", True), ("sis.", False), ("111 s", False), ("dry.", False), ("", False)])
 def test_page_numbers(line, number):
     assert is_page_number(line) == number
+
+
+def test_words_of_any_length(spark):
+    """Words of more letters than any limit are corrections and are corrected, and the hash stays a long."""
+    from pyspark.sql import functions as F
+
+    from quarrystone.llm.scans import PRIME, _power, anagram_hash, corrections
+
+    long = "electro" * 12
+    wrong = long.replace("e", "c", 1)
+    vocabulary = spark.createDataFrame([(long, 100), (wrong, 1)], "word string, n bigint")
+    got = [tuple(r) for r in corrections(spark.createDataFrame([(wrong,), ("z" * 30_000,)], "word string"), vocabulary).collect()]
+    assert got == [(wrong, long, 100)]
+    row = spark.createDataFrame([("é" * 50_000,)], "w string").select(anagram_hash(F.col("w")).alias("h")).first()
+    assert row.h == _power("é" * 50_000) % PRIME
