@@ -25,34 +25,85 @@ EMPTY = frozenset("null none nil n/a na n.a. nan undefined empty tbd todo keine
 
 #: Phrases that decline to answer, by language.
 _HELP = r"(?:help|assist|answer|respond|reply|discuss|comment|advise|talk|say|share|speak|go\s+into|go\s+there|give|giving|provide|support\s+(?:you|this|that)|engage|offer)"
+#: Each with the words one of which a text must have for its patterns to be tried; none for scripts whose words are not told apart.
 REFUSALS = [
-    rf"\bI(?:'m|\s+am)?\s+(?:sorry,?\s+(?:but\s+)?)?(?:I\s+)?(?:really\s+|simply\s+)?(?:can(?:'t|not|\s+not)|could(?:n't|\s+not)|won't|will\s+not|would\s+rather\s+not|do(?:n't|\s+not)|am\s+not\s+(?:able|allowed|permitted)\s+to|unable\s+to|not\s+(?:able|allowed|permitted)\s+to)\s+{_HELP}\b",
-    # Without a subject only where the sentence begins or an excuse leads: a device that cannot provide something is an answer.
-    rf"(?:^|[.!?:;\n]\s*|\b(?:sorry|afraid|regret|apologi[sz]e|unfortunately),?\s+(?:but\s+)?)(?:we\s+)?(?:can(?:'t|not)|won't|will\s+not|unable\s+to|not\s+(?:able|allowed|permitted)\s+to)\s+{_HELP}\b[^.]{{0,25}}\b(?:question|request|topic|that|this|here)\b",
-    rf"\b(?:I(?:'m|\s+am)|we(?:'re|\s+are))\s+not\s+(?:going\s+to|willing\s+to|prepared\s+to|in\s+a\s+position\s+to|comfortable\s+with)\s+(?:{_HELP}|get(?:ting)?\s+into|answering|discussing|touch)\b",
-    r"\b(?:must|have\s+to|need\s+to|prefer\s+to)\s+(?:respectfully\s+)?(?:decline|refuse)\b",
-    r"\bI\s+(?:decline|refuse)\s+to\b",
-    rf"\bI(?:'d|\s+would|\s+do)?\s+(?:rather|prefer)\s+not\b",
-    rf"\b(?:instructions|rules|guidelines|policy|policies|programming)\s+(?:prevent|forbid|prohibit|stop|keep|do(?:es)?\s+not\s+allow)\w*\s+(?:me|us)\b",
-    r"\binappropriate\s+for\s+me\b",
-    rf"\bnot\s+something\s+(?:that\s+)?I(?:'m|\s+am)?\s*(?:can|able)\b",
-    r"\bno\s+comment\s+(?:from|on)\b",
-    r"\bI(?:'m|\s+am)\s+unable\s+to\s+(?:provide|offer|give|answer|help|assist|comment)\b",
-    r"\bas\s+an?\s+(?:AI|assistant|language\s+model)\b[^.]{0,40}\b(?:not|can't|decline|unable)\b",
-    r"\bchange\s+the\s+subject\b",
-    r"\bno\s+puedo\s+(?:ayudar|responder|contestar|opinar|hablar|dar|comentar)|\bprefiero\s+no\s+(?:contestar|responder|opinar|hablar)|\bno\s+(?:me\s+)?(?:está|es)\s+permitid\w+\s+(?:responder|contestar|hablar)|\bme\s+niego\b|\bno\s+(?:quiero|voy\s+a|deseo)\s+(?:contestar|responder)",
-    r"\bne\s+(?:peux|puis|veux|souhaite)\s+pas\s+(?:vous\s+)?(?:répondre|aider|commenter|donner|en\s+parler|fournir)|\bsujet\s+m'est\s+interdit|\bpréfère\s+ne\s+pas\b|\brefuse\s+de\s+répondre|\bpas\s+autorisée?\s+à\s+(?:répondre|parler)",
-    r"\bkann\s+ich\s+(?:\w+\s+){0,3}(?:keine?n?\s+(?:auskunft|antwort|hilfe|rat)|nicht\s+(?:helfen|beantworten|antworten))|\bmöchte\s+ich\s+(?:\w+\s+){0,2}nicht\s+(?:beantworten|antworten|sprechen|kommentieren)|\bich\s+(?:kann|darf|möchte|werde)\s+(?:\w+\s+){0,4}nicht\s+(?:helfen|beantworten|antworten|sprechen)|\bdarf\s+ich\s+(?:\w+\s+){0,3}(?:nicht|keine)\b",
-    r"\bnon\s+(?:posso|possiamo|voglio|intendo)\s+(?:rispondere|aiutar\w*|commentare|parlarne|discutere|fornire\s+(?:assistenza|consigli))|\bpreferisco\s+non\b|\bmi\s+rifiuto\b|\bnon\s+mi\s+è\s+(?:permesso|consentito)\b",
-    r"\bnão\s+(?:posso|podemos|quero|vou|irei|consigo)\s+(?:responder|ajudar|comentar|falar|discutir|fornecer\s+(?:ajuda|conselhos))|\bprefiro\s+não\b|\brecuso-me\b|\bme\s+recuso\b|\bnão\s+me\s+é\s+permitido\b|\bnão\s+(?:estou|tenho)\s+(?:autorizad\w+|permissão)\b",
-    r"\b(?:kan|mag|wil|zal)\s+ik\s+(?:\w+\s+){0,3}niet\b[^.]{0,20}(?:helpen|beantwoorden|antwoorden|bespreken)|\bik\s+(?:kan|mag|wil|zal)\s+(?:\w+\s+){0,4}(?:niet|geen)\b[^.]{0,25}(?:helpen|beantwoorden|antwoorden|antwoord|bespreken|ingaan|commentaar)|\bik\s+weiger\b",
-    r"\bnie\s+(?:mogę|możemy|chcę|będę)\s+(?:\w+\s+){0,2}(?:odpowiedzieć|odpowiadać|pomóc|komentować|rozmawiać|udzielić)|\bodmawiam\b|\bwolę\s+nie\b|\bnie\s+wolno\s+mi\b",
-    r"\bjag\s+(?:kan|får|vill|kommer)\s+(?:\w+\s+){0,2}inte\s+(?:att\s+)?(?:\w+\s+)?(?:svara|hjälpa|kommentera|diskutera)|\bjeg\s+(?:kan|må|får|vil)\s+(?:\w+\s+){0,2}ikke\s+(?:\w+\s+)?(?:svare|hjelpe|hjælpe|kommentere|diskutere|besvare)",
-    r"не\s+(?:могу|можем|буду)\s+(?:\w+\s+){0,2}(?:ответить|отвечать|помочь|комментировать|обсуждать)|отказываюсь|回答できません|お答えできません|답변(?:할|드릴)\s*수\s*없",
-    r"无法(?:回答|提供|协助|帮助|讨论)|不能(?:回答|讨论|帮助)|拒绝回答|不便(?:回答|透露)|抱歉，?我",
-    r"(?:उत्तर|जवाब|मदद|सहायता|टिप्पणी)\s*(?:नहीं|देने\s*में\s*असमर्थ)|नहीं\s*(?:दे|कर)\s*सकत",
-]
-REFUSAL = re.compile("|".join(REFUSALS), re.I)
+    (
+        "i we me us sorry afraid regret unfortunately apologise apologize unable cannot won t able allowed permitted decline refuse prefer comment inappropriate subject policy policies guidelines instructions rules programming answer assist discuss",
+        [
+            rf"\bI(?:'m|\s+am)?\s+(?:sorry,?\s+(?:but\s+)?)?(?:I\s+)?(?:really\s+|simply\s+)?(?:can(?:'t|not|\s+not)|could(?:n't|\s+not)|won't|will\s+not|would\s+rather\s+not|do(?:n't|\s+not)|am\s+not\s+(?:able|allowed|permitted)\s+to|unable\s+to|not\s+(?:able|allowed|permitted)\s+to)\s+{_HELP}\b",
+            # Without a subject only where the sentence begins or an excuse leads: a device that cannot provide something is an answer.
+            rf"(?:^|[.!?:;\n]\s*|\b(?:sorry|afraid|regret|apologi[sz]e|unfortunately),?\s+(?:but\s+)?)(?:we\s+)?(?:can(?:'t|not)|won't|will\s+not|unable\s+to|not\s+(?:able|allowed|permitted)\s+to)\s+{_HELP}\b[^.]{{0,25}}\b(?:question|request|topic|that|this|here)\b",
+            rf"\b(?:I(?:'m|\s+am)|we(?:'re|\s+are))\s+not\s+(?:going\s+to|willing\s+to|prepared\s+to|in\s+a\s+position\s+to|comfortable\s+with)\s+(?:{_HELP}|get(?:ting)?\s+into|answering|discussing|touch)\b",
+            r"\b(?:must|have\s+to|need\s+to|prefer\s+to)\s+(?:respectfully\s+)?(?:decline|refuse)\b",
+            r"\bI\s+(?:decline|refuse)\s+to\b",
+            rf"\bI(?:'d|\s+would|\s+do)?\s+(?:rather|prefer)\s+not\b",
+            rf"\b(?:instructions|rules|guidelines|policy|policies|programming)\s+(?:prevent|forbid|prohibit|stop|keep|do(?:es)?\s+not\s+allow)\w*\s+(?:me|us)\b",
+            r"\binappropriate\s+for\s+me\b",
+            rf"\bnot\s+something\s+(?:that\s+)?I(?:'m|\s+am)?\s*(?:can|able)\b",
+            r"\bno\s+comment\s+(?:from|on)\b",
+            r"\bI(?:'m|\s+am)\s+unable\s+to\s+(?:provide|offer|give|answer|help|assist|comment)\b",
+            r"\bas\s+an?\s+(?:AI|assistant|language\s+model)\b[^.]{0,40}\b(?:not|can't|decline|unable)\b",
+            r"\bchange\s+the\s+subject\b",
+        ],
+    ),
+    (
+        "puedo prefiero permitido permitida niego quiero voy deseo",
+        [
+            r"\bno\s+puedo\s+(?:ayudar|responder|contestar|opinar|hablar|dar|comentar)|\bprefiero\s+no\s+(?:contestar|responder|opinar|hablar)|\bno\s+(?:me\s+)?(?:está|es)\s+permitid\w+\s+(?:responder|contestar|hablar)|\bme\s+niego\b|\bno\s+(?:quiero|voy\s+a|deseo)\s+(?:contestar|responder)",
+        ],
+    ),
+    (
+        "peux puis veux souhaite sujet préfère refuse autorisé autorisée",
+        [
+            r"\bne\s+(?:peux|puis|veux|souhaite)\s+pas\s+(?:vous\s+)?(?:répondre|aider|commenter|donner|en\s+parler|fournir)|\bsujet\s+m'est\s+interdit|\bpréfère\s+ne\s+pas\b|\brefuse\s+de\s+répondre|\bpas\s+autorisée?\s+à\s+(?:répondre|parler)",
+        ],
+    ),
+    (
+        "ich",
+        [
+            r"\bkann\s+ich\s+(?:\w+\s+){0,3}(?:keine?n?\s+(?:auskunft|antwort|hilfe|rat)|nicht\s+(?:helfen|beantworten|antworten))|\bmöchte\s+ich\s+(?:\w+\s+){0,2}nicht\s+(?:beantworten|antworten|sprechen|kommentieren)|\bich\s+(?:kann|darf|möchte|werde)\s+(?:\w+\s+){0,4}nicht\s+(?:helfen|beantworten|antworten|sprechen)|\bdarf\s+ich\s+(?:\w+\s+){0,3}(?:nicht|keine)\b",
+        ],
+    ),
+    (
+        "posso possiamo voglio intendo preferisco rifiuto permesso consentito",
+        [
+            r"\bnon\s+(?:posso|possiamo|voglio|intendo)\s+(?:rispondere|aiutar\w*|commentare|parlarne|discutere|fornire\s+(?:assistenza|consigli))|\bpreferisco\s+non\b|\bmi\s+rifiuto\b|\bnon\s+mi\s+è\s+(?:permesso|consentito)\b",
+        ],
+    ),
+    (
+        "posso podemos quero vou irei consigo prefiro recuso permitido estou tenho",
+        [
+            r"\bnão\s+(?:posso|podemos|quero|vou|irei|consigo)\s+(?:responder|ajudar|comentar|falar|discutir|fornecer\s+(?:ajuda|conselhos))|\bprefiro\s+não\b|\brecuso-me\b|\bme\s+recuso\b|\bnão\s+me\s+é\s+permitido\b|\bnão\s+(?:estou|tenho)\s+(?:autorizad\w+|permissão)\b",
+        ],
+    ),
+    (
+        "ik",
+        [
+            r"\b(?:kan|mag|wil|zal)\s+ik\s+(?:\w+\s+){0,3}niet\b[^.]{0,20}(?:helpen|beantwoorden|antwoorden|bespreken)|\bik\s+(?:kan|mag|wil|zal)\s+(?:\w+\s+){0,4}(?:niet|geen)\b[^.]{0,25}(?:helpen|beantwoorden|antwoorden|antwoord|bespreken|ingaan|commentaar)|\bik\s+weiger\b",
+        ],
+    ),
+    (
+        "mogę możemy chcę będę odmawiam wolę wolno",
+        [
+            r"\bnie\s+(?:mogę|możemy|chcę|będę)\s+(?:\w+\s+){0,2}(?:odpowiedzieć|odpowiadać|pomóc|komentować|rozmawiać|udzielić)|\bodmawiam\b|\bwolę\s+nie\b|\bnie\s+wolno\s+mi\b",
+        ],
+    ),
+    (
+        "jag jeg",
+        [
+            r"\bjag\s+(?:kan|får|vill|kommer)\s+(?:\w+\s+){0,2}inte\s+(?:att\s+)?(?:\w+\s+)?(?:svara|hjälpa|kommentera|diskutera)|\bjeg\s+(?:kan|må|får|vil)\s+(?:\w+\s+){0,2}ikke\s+(?:\w+\s+)?(?:svare|hjelpe|hjælpe|kommentere|diskutere|besvare)",
+        ],
+    ),
+    (
+        "",
+        [
+            r"не\s+(?:могу|можем|буду)\s+(?:\w+\s+){0,2}(?:ответить|отвечать|помочь|комментировать|обсуждать)|отказываюсь|回答できません|お答えできません|답변(?:할|드릴)\s*수\s*없",
+            r"无法(?:回答|提供|协助|帮助|讨论)|不能(?:回答|讨论|帮助)|拒绝回答|不便(?:回答|透露)|抱歉，?我",
+            r"(?:उत्तर|जवाब|मदद|सहायता|टिप्पणी)\s*(?:नहीं|देने\s*में\s*असमर्थ)|नहीं\s*(?:दे|कर)\s*सकत",
+        ],
+    ),
+]
+_REFUSALS = [(frozenset(words.split()), re.compile("|".join(patterns), re.I)) for words, patterns in REFUSALS]
 #: What such phrases may speak of without declining.
 NO_REFUSAL = re.compile(r"\b(?:not\s+able\s+to\s+see|can(?:'t|not)\s+(?:recommend|be)|not\s+(?:in|part\s+of|covered\s+by)\s+the\s+approved)\b", re.I)
 
@@ -212,6 +263,15 @@ def is_truncated(answer: str) -> bool:
     return not ENDED.search(text)
 
 
+def is_refusal(text: str) -> bool:
+    """Whether a text declines to answer."""
+    words = set(LETTERS.findall(text.lower()))
+    for triggers, pattern in _REFUSALS:
+        if (triggers and not triggers.isdisjoint(words) or not triggers and not text.isascii()) and pattern.search(NO_REFUSAL.sub(" ", text)):
+            return True
+    return False
+
+
 def defects(question: str | None, answer: str | None) -> list[str]:
     """All defects of a pair in the order of the rules."""
     if is_empty(answer):
@@ -224,7 +284,7 @@ def defects(question: str | None, answer: str | None) -> list[str]:
     # What the question says, repeated before the answer, is not the answer's.
     said = "" if copied else answer.replace(question.strip(), " ") if question and question.strip() else answer
     said = said.replace("’", "'")
-    if REFUSAL.search(NO_REFUSAL.sub(" ", said)):
+    if is_refusal(said):
         found.append("refusal")
     if copied:
         found.append("copy")
