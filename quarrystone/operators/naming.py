@@ -56,15 +56,24 @@ def brands_mentioned(texts: DataFrame, id_col: str, text_col: str, products: Dat
     return said.join(roots, "token").groupBy("id").agg(F.count(F.lit(1)).alias("brands")).withColumn("ambiguous", F.col("brands") >= 2)
 
 
-def fuzzy_brands(texts: DataFrame, id_col: str, text_col: str, products: DataFrame, name: str = "product_name") -> DataFrame:
-    """``(id, word, brand, ratio)``: words that are nearly a brand root: four letters or more, length within two, ratio 0.75 or more.
+def _grams(word) -> object:
+    """The pairs of letters of a word, and the letters of one of up to five: two words of a ratio of 0.75 share one of them.
+
+    Of M letters in common no more than two in three can be parted by others, so that from M = 4 on two of them stand together in both words; only words of
+    eight letters together may have three in common that do not.
+    """
+    pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda k: F.substring(word, k, F.lit(2)))
+    return F.array_distinct(F.when(F.length(word) <= FUZZY_LENGTH + 1, F.concat(pairs, F.split(word, ""))).otherwise(pairs))
+
+
+def fuzzy_words(texts: DataFrame, id_col: str, text_col: str, brands: DataFrame) -> DataFrame:
+    """``(id, word, brand, ratio)``: words that are nearly one of the ``brands``: four letters or more, length within two, ratio 0.75 or more.
 
-    Distinct words meet roots by length, not all with all; the ratio is counted once for a pair of words.
+    Distinct words meet brands on pairs of letters, not all with all; the ratio is counted once for a pair of words.
     """
-    roots = products.select(brand_root(F.col(name)).alias("brand")).filter(F.length("brand") >= FUZZY_LENGTH).distinct()
-    near = roots.select("brand", F.explode(F.sequence(F.length("brand") - 2, F.length("brand") + 2)).alias("size"))
+    known = brands.select("brand").filter(F.length("brand") >= FUZZY_LENGTH - 1).distinct()
     said = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word")).filter(F.length("word") >= FUZZY_LENGTH)
-    words = said.select("word").distinct().join(roots.select(F.col("brand").alias("word")), "word", "left_anti")
+    words = said.select("word").distinct().join(known.select(F.col("brand").alias("word")), "word", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,23 +81,30 @@ def fuzzy_brands(texts: DataFrame, id_col: str, text_col: str, products: DataFra
             keep = pa.array([r >= FUZZY_RATIO for r in ratio], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(ratio, pa.float64()).filter(keep)], ["word", "brand", "ratio"])
 
-    alike = words.withColumn("size", F.length("word")).join(near, "size").select("word", "brand").mapInArrow(run, "word string, brand string, ratio double")
+    met = words.select("word", F.explode(_grams(F.col("word"))).alias("gram")).join(known.select("brand", F.explode(_grams(F.col("brand"))).alias("gram")), "gram").filter(F.abs(F.length("word") - F.length("brand")) <= 2)
+    alike = met.select("word", "brand").distinct().mapInArrow(run, "word string, brand string, ratio double")
     return said.join(alike, "word").select("id", "word", "brand", F.round("ratio", 4).alias("ratio"))
 
 
+def fuzzy_brands(texts: DataFrame, id_col: str, text_col: str, products: DataFrame, name: str = "product_name") -> DataFrame:
+    """``(id, word, brand, ratio)``: words that are nearly a brand root of a product; see ``fuzzy_words``."""
+    roots = products.select(brand_root(F.col(name)).alias("brand")).filter(F.length("brand") >= FUZZY_LENGTH)
+    return fuzzy_words(texts, id_col, text_col, roots)
+
+
 def longest_alias(texts: DataFrame, id_col: str, text_col: str, products: DataFrame) -> DataFrame:
-    """``(id, product_id, alias)``: for each product named in a text its longest alias.
+    """``(id, product_id, alias)``: for each product named in a text its longest alias, of equally long ones the first, in lower case.
 
-    Aliases are looked up by their tokens: the first token of an alias joins the tokens of a text, the whole alias is then tested
-    with no letter or digit beside it.
+    The first token of an alias joins the tokens of a text, by ids alone; texts are fetched for these candidates only, and the alias, as it is written, must stand in
+    them with no letter or digit beside it.
     """
     names = products.select("product_id", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("product_name"))).alias("alias")).filter("alias is not null and trim(alias) <> ''")
     names = names.select("product_id", F.lower(F.trim("alias")).alias("alias")).distinct().withColumn("token", F.element_at(tokens(F.col("alias")), 1))
-    said = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"), F.array_distinct(tokens(F.col(text_col))).alias("t")).select("id", "text", F.explode("t").alias("token"))
-    padded = F.concat(F.lit(" "), F.regexp_replace("text", "[^a-z0-9]+", " "), F.lit(" "))
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace("alias", "[^a-z0-9]+", " ")), F.lit(" "))
-    hit = said.join(names, "token").filter(F.contains(padded, plain)).select("id", "product_id", "alias").distinct()
-    return hit.groupBy("id", "product_id").agg(F.max(F.struct(F.length("alias").alias("n"), "alias")).alias("m")).select("id", "product_id", F.col("m.alias").alias("alias"))
+    said = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
+    candidates = said.join(names, "token").select("id", "product_id", "alias").distinct()
+    read = candidates.join(texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")), "id").filter(F.contains("text", F.col("alias")))
+    hit = read.filter(F.expr(r"rlike(text, concat('(?<![a-z0-9])\\Q', alias, '\\E(?![a-z0-9])'))")).select("id", "product_id", "alias").distinct()
+    return hit.groupBy("id", "product_id").agg(F.min_by("alias", F.struct(-F.length("alias"), "alias")).alias("alias"))
 
 
 def known_products(rows: DataFrame, products: DataFrame, name: str = "product_name") -> DataFrame:

@@ -63,16 +63,3 @@ def catalog(products: DataFrame, product_type: str | None = None, install_type:
             any_of = any_of | t
         hit = products.filter(any_of)
     return hit.select("product_name").distinct().agg(F.count(F.lit(1)).alias("products"), F.array_join(F.array_sort(F.collect_list("product_name")), ", ").alias("names"))
-
-
-def dispatch(questions: DataFrame, id_col: str, question_col: str, hits: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """``(id, plan, products)``: what answers a question: catalog, scoped, comparison or search.
-
-    ``hits`` has ``(id, product_id)``, the products a question names. One product without a comparison scopes the search, several compare,
-    none and the wording of a list answer from the catalog; all else is searched.
-    """
-    named = hits.groupBy("id").agg(F.count_distinct("product_id").alias("products"))
-    q = questions.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in flags.items()]).join(named, "id", "left")
-    n = F.coalesce("products", F.lit(0))
-    plan = F.when((n == 1) & ~F.col("comparison") & ~F.col("list_all"), "scoped").when(n >= 2, "comparison").when(F.col("list_all"), "catalog").otherwise("search")
-    return q.select("id", plan.alias("plan"), n.alias("products"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.text import STOPWORDS, keywords
 from quarrystone.operators import cells, chunking, guard, naming, registry, stores, vectors
+from quarrystone.operators import dispatch as dispatching
 from quarrystone.plans import pipeline
 from quarrystone.tables import table
 
@@ -305,7 +306,7 @@ def fuzzy_brand(spark, d):
     return naming.fuzzy_brands(table(spark, d, "chunks", "row_id", "text"), "row_id", "text", table(spark, d, "products", "product_name"))
 
 
-@_add("WITH a AS (SELECT DISTINCT product_id, lower(trim(unnest(list_append(coalesce(aliases, []), product_name)))) AS alias FROM products), c AS (SELECT row_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM chunks WHERE text IS NOT NULL), h AS (SELECT row_id AS id, product_id, alias FROM c JOIN a ON contains(t, ' ' || trim(regexp_replace(alias, '[^a-z0-9]+', ' ', 'g')) || ' ') WHERE alias <> ''), m AS (SELECT *, row_number() OVER (PARTITION BY id, product_id ORDER BY length(alias) DESC, alias DESC) AS k FROM h) SELECT id, product_id, alias FROM m WHERE k = 1")
+@_add("WITH a AS (SELECT DISTINCT product_id, lower(trim(unnest(list_append(coalesce(aliases, []), product_name)))) AS alias FROM products), c AS (SELECT row_id, lower(text) AS t FROM chunks WHERE text IS NOT NULL), h AS (SELECT row_id AS id, product_id, alias FROM c JOIN a ON alias <> '' AND contains(t, alias) AND regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(alias) || '($|[^a-z0-9])')) SELECT id, product_id, alias FROM h QUALIFY row_number() OVER (PARTITION BY id, product_id ORDER BY length(alias) DESC, alias) = 1")
 def alias_longest(spark, d):
     return naming.longest_alias(table(spark, d, "chunks", "row_id", "text"), "row_id", "text", table(spark, d, "products", "product_id", "product_name", "aliases"))
 
@@ -400,11 +401,70 @@ def chunk_pack(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents", "doc_id", "text", "title"))
 
 
-@_add()
+#: The words of the test tables' products, where they differ from the vocabularies of the registry.
+TABLE_VOCABULARY = {"product_type": ["Leak Detector", "Area Monitor", "Analyser"], "install_type": ["Portable", "Fixed"], "technology": ["thermal conductivity", "catalytic bead", "solid state"]}
+TABLE_ALIASES = {"TCD": "thermal conductivity", "pellistor": "catalytic bead"}
+
+
+def _dispatch_sql(source: str) -> str:
+    """The rules over ``source(id, question)`` in SQL, told from padded words instead of patterns with borders."""
+    terms = [("technology", k, TABLE_ALIASES[k], "true") for k in sorted(TABLE_ALIASES, key=lambda k: -len(k))]
+    terms += [(f, t, t, "false") for f, ts in TABLE_VOCABULARY.items() for t in sorted(ts, key=lambda t: -len(t))]
+    values = ", ".join(f"({k}, '{f}', '{t.lower()}', '{v}', {w})" for k, (f, t, v, w) in enumerate(terms))
+    word = "[a-z0-9_]+"
+    return f"""
+        WITH q AS ({source}),
+        s AS (SELECT id, lower(coalesce(question, '')) AS l, regexp_replace(' ' || regexp_replace(lower(coalesce(question, '')), '[^\\p{{L}}\\p{{N}}_\\s]+', ' | ', 'g') || ' ', '\\s+', ' ', 'g') AS p FROM q),
+        w AS (SELECT id, l, p,
+            contains(p, ' list all ') OR regexp_matches(p, ' show (all )?((portable|fixed) ?)?products ') OR regexp_matches(p, ' what products (do you|does {word}) (offer|have|sell|make|provide|carry) ') AS enumerates,
+            regexp_matches(p, ' (which|what) (products|sensors|detectors|devices|analyzers|units) ') AS which_products, regexp_matches(p, ' (tell me|know|information|info) about ') AS about,
+            regexp_matches(p, ' (list|show) ') AS listing, regexp_matches(p, ' the ({word} ){{0,2}}(product|device|unit|sensor|detector|instrument|system|analyzer) ') AS the_one,
+            regexp_matches(p, ' (vs|versus|compare|compared|compares|comparison|difference between) ') AS compares, regexp_matches(p, ' (our|ours|we|us|the company) ') AS own FROM s),
+        v(ord, field, term, value, whole) AS (VALUES {values}),
+        f AS (SELECT s.id, v.field, v.value, min(v.ord) AS ord FROM s JOIN v ON CASE WHEN v.whole THEN contains(s.p, ' ' || v.term || ' ') ELSE contains(s.l, v.term) END GROUP BY ALL),
+        a AS (SELECT DISTINCT product_id, product_name, lower(trim(unnest(list_append(coalesce(aliases, []), product_name)))) AS alias FROM products),
+        hit AS (SELECT s.id, a.product_id, a.product_name, a.alias FROM s JOIN a ON a.alias <> '' AND contains(s.l, a.alias) AND regexp_matches(s.l, '(^|[^a-z0-9])' || regexp_escape(a.alias) || '($|[^a-z0-9])')),
+        best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY id, product_id ORDER BY length(alias) DESC, alias) = 1),
+        named AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM best o WHERE o.id = b.id AND o.alias <> b.alias AND contains(o.alias, b.alias))),
+        n AS (SELECT id, count(*) AS n FROM named GROUP BY id),
+        family AS (SELECT id, alias FROM named GROUP BY id, alias HAVING count(*) > 1),
+        o AS (SELECT product_id, lower(unnest(map_keys(x.segment_values))) AS code FROM (SELECT product_id, unnest(nomenclature) AS x FROM products)),
+        decoded AS (SELECT DISTINCT named.id FROM named JOIN n ON n.id = named.id AND n.n = 1 JOIN o ON o.product_id = named.product_id AND o.code = regexp_extract(named.alias, ' ([^ ]+)$', 1)),
+        fit AS (SELECT f.id, f.ord, p.product_name FROM f JOIN products p ON CASE f.field WHEN 'technology' THEN contains(lower(p.technology), lower(f.value)) WHEN 'product_type' THEN p.product_type = f.value ELSE p.install_type = f.value END),
+        g AS (SELECT fit.id, fit.product_name FROM fit JOIN (SELECT id, min(ord) AS ord FROM f GROUP BY id) m ON m.id = fit.id AND m.ord = fit.ord),
+        t AS (SELECT w.*, coalesce(n.n, 0) AS n, w.id IN (SELECT id FROM f) AS filtered, w.id IN (SELECT id FROM family) AS shared, w.id IN (SELECT id FROM decoded) AS codes, w.id IN (SELECT id FROM g) AS fits FROM w LEFT JOIN n ON n.id = w.id),
+        u AS (SELECT *, enumerates OR (filtered AND (which_products OR about OR listing)) AS lists FROM t),
+        r AS (SELECT id, own, filtered, CASE WHEN n = 1 AND codes THEN 'decode' WHEN n = 1 AND NOT (enumerates OR which_products) AND NOT compares THEN 'one_product' WHEN n >= 2 AND lists AND shared THEN 'family_list' WHEN n >= 2 AND NOT lists THEN 'several_products'
+            WHEN lists THEN 'catalog' WHEN n = 0 AND the_one AND fits THEN 'attribute' WHEN n = 0 THEN 'whole_catalog' ELSE 'search' END AS rule FROM u),
+        c AS (SELECT r.id, named.product_name FROM r JOIN named ON named.id = r.id WHERE rule IN ('decode', 'one_product', 'several_products')
+            UNION SELECT r.id, named.product_name FROM r JOIN family ON family.id = r.id JOIN named ON named.id = r.id AND named.alias = family.alias WHERE rule = 'family_list'
+            UNION SELECT r.id, g.product_name FROM r JOIN g ON g.id = r.id WHERE rule = 'attribute' UNION SELECT r.id, fit.product_name FROM r JOIN fit ON fit.id = r.id WHERE rule = 'catalog' AND filtered
+            UNION SELECT r.id, product_name FROM r, products WHERE rule = 'whole_catalog' OR (rule = 'catalog' AND NOT filtered))
+        SELECT r.id, r.rule, CASE WHEN r.rule IN ('decode', 'family_list', 'catalog') THEN 'direct' WHEN r.rule = 'search' THEN 'search' ELSE 'scoped' END AS kind, coalesce(x.names, '') AS products,
+            r.rule IN ('one_product', 'several_products', 'attribute') OR (r.rule = 'whole_catalog' AND r.own) AS exclude_references FROM r LEFT JOIN (SELECT id, string_agg(product_name, ', ' ORDER BY product_name) AS names FROM c GROUP BY id) x ON x.id = r.id"""
+
+
+def _dispatched(questions: DataFrame, products: DataFrame, fuzzy: bool = False) -> DataFrame:
+    out = dispatching.dispatch(questions, "id", "question", products, TABLE_VOCABULARY, TABLE_ALIASES, fuzzy)
+    return out.select("id", "kind", "rule", F.array_join("products", ", ").alias("products"), "exclude_references")
+
+
+@_add(_dispatch_sql("SELECT DISTINCT id, question FROM feedback"))
 def question_dispatch(spark, d):
-    questions = stores.once(table(spark, d, "feedback", "id", "question", "loaded_at"))
-    hits = naming.longest_alias(questions, "id", "question", table(spark, d, "products", "product_id", "product_name", "aliases"))
-    return registry.dispatch(questions, "id", "question", hits, guard.question_flags(F.col("question")))
+    """Every question, with names as they are written."""
+    return _dispatched(table(spark, d, "feedback", "id", "question"), table(spark, d, "products"))
+
+
+@_add(_dispatch_sql("SELECT row_id AS id, text AS question FROM chunks"))
+def text_dispatch(spark, d):
+    """Texts that name products, asked as questions."""
+    return _dispatched(table(spark, d, "chunks").select(F.col("row_id").alias("id"), F.col("text").alias("question")), table(spark, d, "products"))
+
+
+@_add()
+def question_dispatch_near(spark, d):
+    """Every question, with names nearly written, and the answers given at once."""
+    return dispatching.dispatch(table(spark, d, "feedback", "id", "question"), "id", "question", table(spark, d, "products"), TABLE_VOCABULARY, TABLE_ALIASES)
 
 
 @_add("SELECT document_name, regexp_replace(document_name, '\\.[^.]*$', '') AS title, count(*) AS chunks, max(total_chunks) AS declared, count(DISTINCT section_heading) AS sections FROM chunks WHERE document_name IS NOT NULL GROUP BY 1, 2")

@@ -65,9 +65,6 @@ def test_names(spark):
     assert {tuple(r) for r in naming.brands_mentioned(texts, "id", "t", products).collect()} == {(1, 2, True)}
     assert [(r.id, r.word, r.brand) for r in naming.fuzzy_brands(texts, "id", "t", products).collect()] == [(3, "ovantta", "ovanta")]
     assert {tuple(r) for r in naming.longest_alias(texts, "id", "t", products).collect()} == {(1, 3, "the talvex"), (1, 1, "ovanta duct 2x2"), (4, 0, "ow")}
-    hits = naming.longest_alias(texts, "id", "t", products)
-    plans = {r.id: r.plan for r in registry.dispatch(texts, "id", "t", hits, guard.question_flags(F.col("t"))).collect()}
-    assert plans == {1: "comparison", 2: "search", 3: "search", 4: "scoped"}
 
 
 def test_stores(spark):
