@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,13 +35,13 @@ def windows(words: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[
     return spans
 
 
-def pack(blocks: list[tuple[str | None, str]], size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str | None, str]]:
-    """Chunks ``(section, text)`` of blocks ``(section, text)`` in order.
+def pack(blocks: list[tuple[Any, str]], size: int = SIZE, overlap: int = OVERLAP, same: Callable[[Any], Any] = lambda s: s) -> list[tuple[Any, str]]:
+    """Chunks ``(section, text)`` of blocks ``(section, text)`` in order; sections are the same if ``same`` of them is.
 
     Blocks of one section are packed whole up to ``size`` words; larger ones are cut into windows. Chunks of fewer than ``LEAST`` words go in front
     of the next one, the last such one behind the one before; a chunk has the section of its first word.
     """
-    raw: list[tuple[str | None, list[str]]] = []
+    raw: list[tuple[Any, list[str]]] = []
     open_section, open_words = None, []
 
     def close() -> None:
@@ -48,14 +49,14 @@ def pack(blocks: list[tuple[str | None, str]], size: int = SIZE, overlap: int =
             raw.append((open_section, list(open_words)))
             open_words.clear()
 
-    last: object = object()
+    last: Any = object()
     for section, text in blocks:
         words = (text or "").split()
         if not words:
             continue
-        if section != last:
+        if same(section) != last:
             close()
-            last = section
+            last = same(section)
         if len(words) > size:
             close()
             raw.extend((section, words[s:e]) for s, e in windows(words, size, overlap))
@@ -66,8 +67,8 @@ def pack(blocks: list[tuple[str | None, str]], size: int = SIZE, overlap: int =
             open_section = section
         open_words.extend(words)
     close()
-    out: list[tuple[str | None, list[str]]] = []
-    carry: tuple[str | None, list[str]] | None = None
+    out: list[tuple[Any, list[str]]] = []
+    carry: tuple[Any, list[str]] | None = None
     for section, words in raw:
         if carry:
             section, words, carry = carry[0], carry[1] + words, None
@@ -107,6 +108,34 @@ def chunk_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "chunk_index", "total_chunks", content_id(F.col("text")).alias("chunk_id"), "text")
 
 
+CHUNKS = "document_name string, product_name string, chunk_index int, total_chunks int, page_number int, slide_number int, section_heading string, text string"
+
+
+def chunk_blocks(documents: DataFrame, names: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks ``(chunk_id, document_name, product_name, chunk_index, total_chunks, page_number, slide_number, section_heading, text)`` of documents of blocks.
+
+    Each heading's section and each table is packed for itself; a chunk has the section, page and slide of its first block, and its text begins with the
+    product's name. ``names`` has ``(document_name, product_name)``; a document without one has its file's. A document is cut in its own row.
+    """
+    name = F.coalesce("product_name", F.regexp_replace("filename", r"\.[^.]*$", ""))
+    block = lambda b: F.struct(*[b[c].alias(c) for c in ("type", "section", "page_number", "slide_number", "text")])
+    src = documents.join(names.withColumnRenamed("document_name", "filename"), "filename", "left").select("filename", name.alias("product_name"), F.transform("blocks", block).alias("blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ["document_name", "product_name", "chunk_index", "total_chunks", "page_number", "slide_number", "section_heading", "text"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        for batch in batches:
+            rows: list[tuple] = []
+            for file, product, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # A table is a unit of its own, also between two texts of one section.
+                units = [((k if b["type"] == "table" else -1, b["section"], b["page_number"], b["slide_number"]), b["text"]) for k, b in enumerate(blocks or [])]
+                pieces = pack(units, size, overlap, same=lambda u: u[:2])
+                rows += [(file, product, k, len(pieces), u[2], u[3], u[1], f"{product}: {t}") for k, (u, t) in enumerate(pieces)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], fields)
+
+    return src.mapInArrow(run, CHUNKS).select(content_id(F.col("text")).alias("chunk_id"), *[f.split()[0] for f in CHUNKS.split(", ")])
+
+
 def content_id(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import STOPWORDS, tokens
@@ -119,36 +119,51 @@ def known_products(rows: DataFrame, products: DataFrame, name: str = "product_na
 PLAIN_WORDS = frozenset("brochure catalog catalogue datasheet draft final manual product range series sheet version detector detectors device fixed gas hydrogen portable sensor sensors unit and for of the with".split())
 
 
-def file_tokens(filename: str) -> set[str]:
-    """Tokens of a file name that may name a product: three characters or more and no plain word; after ``Catalogue_`` only what stands there."""
-    import re
+def file_tokens(filename: Column) -> Column:
+    """Tokens of a file name that may name a product: behind ``Catalogue_`` all up to brackets, else those of three characters or more that are no plain word."""
+    stem = F.regexp_replace(filename, r"\.[^.]*$", "")
+    core = F.regexp_replace(F.regexp_extract(stem, r"(?i)catalogu?e_(.*)$", 1), r"\([^)]*\)", "")
+    plain = F.array(*map(F.lit, sorted(PLAIN_WORDS)))
+    telling = F.filter(tokens(stem), lambda t: (F.length(t) >= 3) & ~F.array_contains(plain, t))
+    return F.array_distinct(F.when(stem.rlike("(?i)catalogu?e_"), tokens(core)).otherwise(telling))
 
-    stem = re.sub(r"\.[^.]*$", "", filename)
-    marked = re.split(r"catalogu?e?_", stem, flags=re.I)
-    said = re.sub(r"\([^)]*\)", " ", marked[-1]) if len(marked) > 1 else stem
-    return {t for t in re.findall("[a-z0-9]+", said.lower()) if len(t) >= 3 and t not in PLAIN_WORDS}
 
+def clean_code_heading(heading: Column) -> Column:
+    """A heading that is an ordering code, without its lists of options and doubled letters; other headings, and one of nothing else, as they are."""
+    parts = F.split(heading, r"[\s\-]+")
+    option = lambda t: F.contains(t, F.lit("/")) | t.rlike(r"^(?:([A-Za-z])\1){2,}\**$")
+    kept = F.filter(parts, lambda t: ~option(t))
+    return F.when(F.exists(parts, option) & (F.array_join(kept, "") != ""), F.array_join(kept, " ")).otherwise(heading)
 
-def clean_code_heading(heading: str) -> str:
-    """A heading without the parts of an ordering code: those with a slash, and letters all doubled."""
-    import re
 
-    return " ".join(t for t in re.split(r"[\s\-]+", heading) if t and "/" not in t and not re.fullmatch(r"(?:([A-Za-z])\1){2,}\*?", t))
+def ordered_headings(headings: DataFrame) -> DataFrame:
+    """``(document_name, pos, heading)`` in the order in which they may name their document: those that share most tokens with the file name first."""
+    said = headings.select("document_name", "pos", "heading").filter("trim(heading) <> ''").distinct()
+    shared = F.size(F.array_intersect(F.array_distinct(tokens(F.col("heading"))), file_tokens(F.col("document_name"))))
+    order = Window.partitionBy("document_name").orderBy(F.desc("shared"), "pos", "heading")  # the headings of one document
+    return said.withColumn("shared", shared).select("document_name", (F.row_number().over(order) - 1).alias("pos"), "heading")
 
 
 def assign_names(headings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """``(document_name, product_name)`` of documents by ``headings(document_name, pos, heading)``.
 
-    A document is named by its first heading that no other has at the same place, else by its last one, else by its file. Given names go first. Places and
-    headings are counted by hash, so documents never meet all with all.
+    A document is named by its first heading, in the order of ``ordered_headings``, that no other has at the same place, else by its last one, else by its file. Codes in
+    headings are cleaned, given names go first. Places and headings are counted by hash, so documents never meet all with all.
     """
-    said = headings.filter("trim(heading) <> ''")
+    said = ordered_headings(headings)
     alone = said.groupBy("pos", "heading").agg(F.count_distinct("document_name").alias("documents")).filter("documents = 1").drop("documents")
-    own = said.join(alone, ["pos", "heading"], "left_semi").groupBy("document_name").agg(F.min_by("heading", F.struct("pos", "heading")).alias("own"))
-    last = said.groupBy("document_name").agg(F.max_by("heading", F.struct("pos", "heading")).alias("last"))
+    own = said.join(alone, ["pos", "heading"], "left_semi").groupBy("document_name").agg(F.min_by("heading", "pos").alias("own"))
+    last = said.groupBy("document_name").agg(F.max_by("heading", "pos").alias("last"))
     named = headings.select("document_name").distinct().join(own, "document_name", "left").join(last, "document_name", "left")
-    name = F.coalesce("own", "last", F.regexp_replace("document_name", r"\.[^.]*$", ""))
+    name = F.coalesce(clean_code_heading(F.coalesce("own", "last")), F.regexp_replace("document_name", r"\.[^.]*$", ""))
     if overrides is None:
         return named.select("document_name", name.alias("product_name"))
     given = overrides.select("document_name", F.col("product_name").alias("given"))
     return named.join(given, "document_name", "left").select("document_name", F.coalesce("given", name).alias("product_name"))
+
+
+def names_avoiding(headings: DataFrame, taken: DataFrame) -> DataFrame:
+    """``(document_name, product_name)`` of new documents: the first heading in their order that is no ``product_name`` taken already, else the file."""
+    said = ordered_headings(headings).join(taken.select(F.col("product_name").alias("heading")).distinct(), "heading", "left_anti")
+    free = said.groupBy("document_name").agg(F.min_by("heading", "pos").alias("free"))
+    return headings.select("document_name").distinct().join(free, "document_name", "left").select("document_name", F.coalesce(clean_code_heading(F.col("free")), F.regexp_replace("document_name", r"\.[^.]*$", "")).alias("product_name"))

@@ -97,7 +97,7 @@ def test_formats():
     assert [b["type"] for b in parse("a.txt", b"BIG HEAD\n\nsome text.\n\n- item")] == ["heading", "paragraph", "list_item"]
     with pytest.raises(ValueError):
         parse("a.exe", b"")
-    assert word_coverage("a.md", b"# Head\ntext | x") == 1.0 and word_coverage("a.docx", DOCX) is None
+    assert word_coverage("a.md", b"# Head\ntext | x") == 1.0 and word_coverage("a.docx", DOCX) == 1.0 and word_coverage("a.png", b"") is None
 
 
 def test_folder(spark, tmp_path):

@@ -37,8 +37,9 @@ def test_tables():
 
 
 def test_names(spark):
-    assert naming.file_tokens("Sensor_Catalogue_Ovanta Wall (draft).docx") == {"ovanta", "wall"}
-    assert naming.clean_code_heading("ABC-G/P-42-RRNN") == "ABC 42"
+    said = spark.createDataFrame([("Sensor_Catalogue_Ovanta Wall (draft).docx", "ABC-G/P-42-RRNN"), ("Notes on the Sensor 4220.docx", "Start-up XX"), ("x.md", "RRNN")], "f string, h string")
+    got = said.select(naming.file_tokens(said.f).alias("t"), naming.clean_code_heading(said.h).alias("h")).collect()
+    assert [(set(r.t), r.h) for r in got] == [({"ovanta", "wall"}, "ABC 42"), ({"notes", "4220"}, "Start-up XX"), (set(), "RRNN")]
     rows = [("a.md", 0, "Same"), ("b.md", 0, "Same"), ("a.md", 1, "Alpha"), ("b.md", 1, None), ("c.md", 0, None)]
     df = spark.createDataFrame(rows, "document_name string, pos int, heading string")
     assert {r.document_name: r.product_name for r in naming.assign_names(df).collect()} == {"a.md": "Alpha", "b.md": "Same", "c.md": "c"}
