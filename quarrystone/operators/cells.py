@@ -123,8 +123,14 @@ def pipe_rows(text: Column) -> Column:
 def list_items(text: Column) -> Column:
     """The items of bulleted and numbered lines, repeated ones (in any letter case) once."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_extract(x, r"^\s*(?:[-*•]|\d+[.)])\s+(.*\S)\s*$", 1))
-    said = F.filter(lines, lambda x: x != "")
-    return F.filter(said, lambda x, i: ~F.exists(F.slice(said, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    return first_of_each(F.filter(lines, lambda x: x != ""), F.lower)
+
+
+def first_of_each(items: Column, key, last: bool = False) -> Column:
+    """The items of an array of which no earlier one (no later one, with ``last``) has the same key, in order; by sorting, not by looking at all before."""
+    marked = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), (-i if last else i).alias("i"), x.alias("x"))))
+    kept = F.filter(marked, lambda m, j: (j == 0) | ~F.get(marked, j - 1)["k"].eqNullSafe(m["k"]))
+    return F.transform(F.array_sort(F.transform(kept, lambda m: F.struct(F.abs(m["i"]).alias("i"), m["x"].alias("x")))), lambda m: m["x"])
 
 
 def line_kind(line: Column) -> Column:
@@ -140,17 +146,30 @@ def line_kind(line: Column) -> Column:
 def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, block_index, kind, section, text)`` of the lines that aren't blank; the section is the last heading before.
 
-    Sections run inside the array of one document, so no window gathers documents.
+    A document's lines meet once, by its id; nothing is looked up line by line.
     """
     parts = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.struct(F.trim(x).alias("text"), line_kind(x).alias("kind"))), lambda s: s["text"] != "")
-    named = F.aggregate(
-        parts, F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<text:string,kind:string,section:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(x["kind"] == "heading", x["text"]).otherwise(acc["section"]).alias("section"),
-            F.array_append(acc["out"], F.struct(x["text"].alias("text"), x["kind"].alias("kind"), F.when(x["kind"] == "heading", x["text"]).otherwise(acc["section"]).alias("section"))).alias("out"),
-        ), lambda acc: acc["out"],
-    )
-    return documents.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(named).alias("block_index", "b")).select("doc_id", "block_index", F.col("b.kind").alias("kind"), F.col("b.section").alias("section"), F.col("b.text").alias("text"))
+    each = documents.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("block_index", "b")).select("doc_id", "block_index", F.col("b.kind").alias("kind"), F.col("b.text").alias("text"))
+    before = Window.partitionBy("doc_id").orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0)  # the lines of one document
+    section = F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(before)
+    return each.select("doc_id", "block_index", "kind", section.alias("section"), "text")
+
+
+def units(blocks: DataFrame) -> DataFrame:
+    """``(doc_id, unit, section, kind, blocks)``: the runs of blocks that are packed together: those of one section, and each table for itself."""
+    order = Window.partitionBy("doc_id").orderBy("block_index")  # the blocks of one document
+    table = F.col("kind") == "table"
+    fresh = table | F.lag(table).over(order) | ~F.col("section").eqNullSafe(F.lag("section").over(order))
+    numbered = blocks.withColumn("unit", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "unit").agg(F.first("section").alias("section"), F.max(F.when(table, "table").otherwise("text")).alias("kind"), F.count(F.lit(1)).alias("blocks"))
+
+
+def word_share(documents: DataFrame, blocks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, words, share)``: the words of a document and the share of them that stand in its blocks; null without words."""
+    count = lambda c: F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\w+"), F.lit(0)))
+    raw = documents.select(F.col(id_col).alias("doc_id"), count(F.col(text_col)).alias("words"))
+    kept = blocks.groupBy("doc_id").agg(F.sum(count(F.col("text"))).alias("kept"))
+    return raw.join(kept, "doc_id", "left").select("doc_id", "words", F.when(F.col("words") > 0, F.round(F.coalesce("kept", F.lit(0)) / F.col("words"), 6)).alias("share"))
 
 
 _SECTION = re.compile(r"^([A-Z][^:\n]{0,60}):[ \t]*(.*)$")

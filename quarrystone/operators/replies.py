@@ -93,3 +93,32 @@ def parse_points(replies: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), text("title"), text("why"), text("evidence"), pa.array([p["questions"] for _, _, p in rows], pa.list_(pa.string()))], ["id", "pos", "title", "why", "evidence", "questions"])
 
     return src.mapInArrow(run, kind)
+
+
+def _parsed(replies: DataFrame, id_col: str, text_col: str, kind: str, read) -> DataFrame:
+    """``id`` and the fields of ``kind`` of what ``read`` makes of each text."""
+    src = replies.select(F.col(id_col).cast("bigint").alias("id"), text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read(t or "") for t in batch.column(1).to_pylist()]
+            names = [f.split()[0] for f in kind.split(", ")]
+            kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[n] for x in found], kinds[f.split()[1]]) for n, f in zip(names, kind.split(", "), strict=True))], ["id", *names])
+
+    return src.mapInArrow(run, f"id bigint, {kind}")
+
+
+def parse_advice(replies: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, priorities, outcome, product, candidates, recommendation, missing)`` of a table of recommendation replies."""
+    return _parsed(replies, id_col, text_col, "priorities array<string>, outcome string, product string, candidates array<string>, recommendation string, missing string", advice)
+
+
+def parse_aids(replies: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, priorities, title, framing, table, summary)`` of a table of sales aid replies."""
+    return _parsed(replies, id_col, text_col, "priorities array<string>, title string, framing string, table array<array<string>>, summary string", aid)
+
+
+def parse_questions(replies: DataFrame, id_col: str, text_col: str, missing: list[tuple[str, str]]) -> DataFrame:
+    """``(id, fields, questions)``: for every missing field the reply's question or the default one."""
+    return _parsed(replies, id_col, text_col, "fields array<string>, questions array<string>", lambda t: dict(zip(("fields", "questions"), map(list, zip(*questions(t, missing), strict=True)), strict=True)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators.cells import first_of_each
 from quarrystone.operators.stores import upsert
 
 #: Types of documents and those that questions do not search.
@@ -17,7 +18,7 @@ def claims(text: Column) -> Column:
     said = F.split(text, "\n")
     bullets = F.filter(F.transform(F.filter(said, lambda x: x.startswith("- ")), lambda x: F.trim(F.substring(x, F.lit(3), F.length(x)))), lambda x: x != "")
     head = F.regexp_extract(F.concat(F.lit("\n"), text), r"(?s)^(.*?)(?:\n- .*)?$", 1)
-    return F.struct(F.trim(F.ltrim(head, F.lit("\n"))).alias("header"), bullets.alias("bullets"))
+    return F.struct(F.regexp_replace(head, r"^\s+|\s+$", "").alias("header"), bullets.alias("bullets"))
 
 
 def claim_chunks(files: DataFrame, name: str, text: str) -> DataFrame:
@@ -34,6 +35,16 @@ def set_type(types: DataFrame, document: str, kind: str) -> DataFrame:
     return upsert(types, types.sparkSession.createDataFrame([(document, kind)], "document_name string, doc_type string"), "document_name")
 
 
+def type_of(types: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(document_name, doc_type, searched, catalogue)`` of documents; one that was never told a type has none, is searched and is no catalogue."""
+    known = documents.select("document_name").distinct().join(types, "document_name", "left")
+    return known.select("document_name", "doc_type", (~F.coalesce(F.col("doc_type").isin(NOT_SEARCHED), F.lit(False))).alias("searched"), F.coalesce(F.col("doc_type") == "Product Catalogue", F.lit(False)).alias("catalogue"))
+
+
+def remove_type(types: DataFrame, document: str) -> DataFrame:
+    return types.filter(~F.col("document_name").eqNullSafe(F.lit(document)))
+
+
 def searched(chunks: DataFrame, types: DataFrame) -> DataFrame:
     """Chunks of documents whose type is searched; documents without a type are."""
     return chunks.join(types.filter(F.col("doc_type").isin(NOT_SEARCHED)).select("document_name"), "document_name", "left_anti")
@@ -50,6 +61,70 @@ def effective_fields(catalogue: DataFrame, overrides: DataFrame, hidden: DataFra
     return both.join(hidden.select(*keys), keys, "left_anti")
 
 
+def set_field(overrides: DataFrame, hidden: DataFrame, product: str, label: str, options: dict[str, str], kind: str = "select") -> tuple[DataFrame, DataFrame]:
+    """Overrides ``(product_name, label, kind, options)`` with one field set, and the hidden labels without it: who edits a field wants to see it."""
+    new = overrides.sparkSession.createDataFrame([(product, label, kind, options)], "product_name string, label string, kind string, options map<string,string>")
+    here = _is(product, label)
+    return overrides.filter(~here).unionByName(new), hidden.filter(~here)
+
+
+def remove_field(overrides: DataFrame, hidden: DataFrame, product: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Overrides without a field, and the hidden labels with it, once: the catalogue would bring it back."""
+    here = _is(product, label)
+    return overrides.filter(~here), unhide_field(hidden, product, label).unionByName(hidden.sparkSession.createDataFrame([(product, label)], "product_name string, label string"))
+
+
+def unhide_field(hidden: DataFrame, product: str, label: str) -> DataFrame:
+    return hidden.filter(~_is(product, label))
+
+
+def _is(product: str, label: str) -> Column:
+    return F.col("product_name").eqNullSafe(F.lit(product)) & F.col("label").eqNullSafe(F.lit(label))
+
+
+def ordering_labels(segments: DataFrame, overrides: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Segments ``(product_name, label, ...)`` of ordering codes that are neither hidden nor edited: an edited one is a field of its own."""
+    keys = ["product_name", "label"]
+    return segments.join(overrides.select(*keys).unionByName(hidden.select(*keys)).distinct(), keys, "left_anti")
+
+
+def set_name(names: DataFrame, document: str, name: str | None) -> DataFrame:
+    """Given names ``(document_name, product_name)`` with one set, or cleared where it is None or blank."""
+    rest = names.filter(~F.col("document_name").eqNullSafe(F.lit(document)))
+    return rest.unionByName(names.sparkSession.createDataFrame([(document, name.strip())], "document_name string, product_name string")) if name and name.strip() else rest
+
+
+def policy_rows(entries: DataFrame) -> DataFrame:
+    """Entries ``(position, category, keywords string, always_unsupported, note)`` with keywords as a list: in lower case, without blanks and repeats.
+
+    Keywords in capitals fire as others do. Entries without a category or keywords are left out.
+    """
+    words = F.array_distinct(F.filter(F.transform(F.split("keywords", ","), lambda w: F.lower(F.trim(w))), lambda w: w != ""))
+    return entries.withColumn("keywords", words).filter((F.trim("category") != "") & (F.size("keywords") > 0))
+
+
+def policy_text(entries: DataFrame) -> DataFrame:
+    """The entries with their keywords as one text, as they are saved."""
+    return entries.withColumn("keywords", F.array_join("keywords", ", "))
+
+
+def claims_text(header: Column, bullets: Column) -> Column:
+    """A claims file of a header and bullets; the reverse of ``claims``."""
+    return F.concat(header, F.lit("\n\n"), F.array_join(F.transform(bullets, lambda b: F.concat(F.lit("- "), b)), "\n"), F.lit("\n"))
+
+
+def option_label(code: Column, text: Column) -> Column:
+    """``code: text`` of an option, the code alone where its meaning is unknown."""
+    return F.when(text == "Unknown", code).otherwise(F.concat(code, F.lit(": "), text))
+
+
+def short_option(text: Column, most: int = 70) -> Column:
+    """A long description as a list shows it: the span of a range, else its first characters, on one line."""
+    line = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    span = F.trim(F.regexp_extract(line, r"Span:\s*([^;]+)", 1))
+    return F.when(span != "", F.concat(F.lit("Span "), span)).when(F.length(line) <= most, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, most)), F.lit("...")))
+
+
 def form_fields(saved: DataFrame, core: DataFrame) -> DataFrame:
     """The saved fields of the form with the core fields that were deleted, invisible: ``(key, label, visible)``."""
     missing = core.join(saved.select("key"), "key", "left_anti").select("key", "label", F.lit(False).alias("visible"))
@@ -60,7 +135,7 @@ def options_map(text: Column) -> Column:
     """``name: text`` lines as a map; a name without text has Unknown, a later line of one name wins."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    last = first_of_each(pairs, lambda p: p["k"], last=True)
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.when(p["v"] == "", F.lit("Unknown")).otherwise(p["v"]))))
 
 

@@ -11,6 +11,10 @@ FIELDS = ["metrics", "economic_buyer", "decision_criteria", "decision_process",
 ASKED = ["identify_pain", "metrics", "economic_buyer", "champion", "competition", "decision_criteria", "decision_process", "paper_process"]
 
 
+#: Values of the order of labels in one block of their numbering.
+SLUG_BLOCK = 100_000
+
+
 def once(rows: DataFrame, key: str = "id", late: str = "loaded_at") -> DataFrame:
     """Rows delivered again under one key made one: that of the earliest delivery."""
     columns = [c for c in rows.columns if c != key]
@@ -33,6 +37,33 @@ def _counts() -> list[Column]:
     return [F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS]
 
 
+def record(feedback: DataFrame, new: DataFrame) -> DataFrame:
+    """Feedback with new rows behind; a verdict that is none of the known raises ValueError, as a row is not dropped silently."""
+    odd = [r.verdict for r in new.filter(~F.coalesce(F.col("verdict").isin(VERDICTS), F.lit(False))).select("verdict").limit(1).collect()]
+    if odd:
+        raise ValueError(f"no verdict {odd[0]!r}")
+    return append(feedback, new)
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """The table without its rows."""
+    return rows.limit(0)
+
+
+#: Active days from which on a chart goes by day, and points it needs.
+DAILY_FROM, CHART_POINTS = 5, 2
+
+
+def chart(feedback: DataFrame) -> DataFrame:
+    """``(period, correct, wrong, unsafe, by)``: verdicts by day, or by week where fewer than ``DAILY_FROM`` days had any; none where that leaves too few points."""
+    days = daily(feedback)
+    n = days.agg(F.count(F.lit(1)).alias("days"))
+    by_day = days.select(F.col("day").alias("period"), *VERDICTS, F.lit("day").alias("by")).join(F.broadcast(n.filter(F.col("days") >= DAILY_FROM)))
+    by_week = weekly(feedback).select(F.col("week").alias("period"), *VERDICTS, F.lit("week").alias("by")).join(F.broadcast(n.filter(F.col("days") < DAILY_FROM)))
+    points = by_day.unionByName(by_week).drop("days")
+    return points.join(F.broadcast(points.agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") >= CHART_POINTS))).drop("points")
+
+
 def daily(feedback: DataFrame) -> DataFrame:
     """Verdicts by day; days without any are absent."""
     return feedback_events(feedback).filter("verdict is not null").groupBy("day").agg(*_counts())
@@ -138,11 +169,10 @@ def missing_fields(deals: DataFrame, limit: int = 3) -> DataFrame:
 def numbered_children(children: DataFrame) -> DataFrame:
     """Children of each deal in the order of time: ``(deal_id, id, pos)``.
 
-    Sorted by range over deal and time; the place in a deal is the row's place in its sort block less the deal's first, so no deal
-    is gathered in one task.
+    Numbered inside blocks of one day, and over one row a block, so that no deal is gathered in one task.
     """
     base = children.filter("deal_id is not null").select("deal_id", "id", "created_at").distinct()
-    bucket = F.date_trunc("month", F.col("created_at"))
+    bucket = F.date_trunc("day", F.col("created_at"))
     rows = base.withColumn("block", bucket)
     sizes = rows.groupBy("deal_id", "block").agg(F.count(F.lit(1)).alias("n"))
     ahead = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("deal_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -156,9 +186,15 @@ def flatten_extra(rows: DataFrame, column: str = "extra_fields") -> DataFrame:
 
 
 def unique_slugs(labels: DataFrame, label: str, order: str) -> DataFrame:
-    """Adds ``slug``: the label as a key, with a suffix from the second of its kind on."""
+    """Adds ``slug``: the label as a key, with a suffix from the second of its kind on, by ``order``, a whole number told apart.
+
+    Labels of one slug are numbered in blocks of their order: inside a block, and over one row a block, so that a frequent label is not gathered in one task.
+    """
     from quarrystone.functions.text import slug
 
-    made = labels.withColumn("_s", slug(F.col(label)))
-    n = F.row_number().over(Window.partitionBy("_s").orderBy(order))
-    return made.withColumn("slug", F.when(n == 1, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), n.cast("string")))).drop("_s")
+    made = labels.withColumn("_s", slug(F.col(label))).withColumn("_b", F.floor(F.col(order) / SLUG_BLOCK))
+    sizes = made.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    n = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(order)) + F.col("_ahead")
+    numbered = made.join(ahead, ["_s", "_b"]).withColumn("_k", n)
+    return numbered.withColumn("slug", F.when(F.col("_k") == 1, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), F.col("_k").cast("string")))).select(*labels.columns, "slug")

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from quarrystone.operators.cells import HEADER_CHARS, HEADER_DIGITS, HEADER_ROWS, Grid, composite_columns, style, wide_names
 
 Bold = set[tuple[int, int]]
@@ -119,3 +124,21 @@ def table_text(table: dict[str, Any]) -> str:
             parts.append(f"{own[0].section} options: {', '.join(options)}")
         at = end
     return ". ".join(p for p in parts if p)
+
+
+def structured(grids: DataFrame, id_col: str, grid_col: str) -> DataFrame:
+    """``(id, style, columns, rows, text, dropped)`` of a table of grids ``array<array<string>>``; empty and null grids have no rows."""
+    src = grids.select(F.col(id_col).cast("bigint").alias("id"), grid_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for grid in batch.column(1).to_pylist():
+                rows = [[c or "" for c in r or []] for r in grid or []]
+                width = max(map(len, rows), default=0)
+                made = build_table([r + [""] * (width - len(r)) for r in rows])
+                found.append((made["style"], made["columns"], len(made["rows"]), table_text(made), made["dropped"]))
+            kinds = [pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], ["id", "style", "columns", "rows", "text", "dropped"])
+
+    return src.mapInArrow(run, "id bigint, style string, columns array<string>, rows int, text string, dropped array<string>")

@@ -490,7 +490,7 @@ def heading_owner(spark, d):
     return said.select("document_name").distinct().join(own, "document_name", "left").select("document_name", F.coalesce("first", F.lit(-1)).alias("first_own"))
 
 
-@_add("WITH h AS (SELECT DISTINCT document_name, chunk_index AS pos, section_heading AS heading FROM chunks WHERE document_name IS NOT NULL), s AS (SELECT * FROM h WHERE trim(heading) <> ''), c AS (SELECT pos, heading FROM s GROUP BY 1, 2 HAVING count(DISTINCT document_name) = 1), o AS (SELECT document_name, heading, row_number() OVER (PARTITION BY document_name ORDER BY pos, heading) AS k FROM s JOIN c USING (pos, heading)), l AS (SELECT document_name, heading, row_number() OVER (PARTITION BY document_name ORDER BY pos DESC, heading DESC) AS k FROM s) SELECT d.document_name, coalesce(o.heading, l.heading, regexp_replace(d.document_name, '\\.[^.]*$', '')) AS product_name FROM (SELECT DISTINCT document_name FROM h) d LEFT JOIN o ON o.document_name = d.document_name AND o.k = 1 LEFT JOIN l ON l.document_name = d.document_name AND l.k = 1")
+@_add(f"WITH h AS (SELECT DISTINCT document_name, chunk_index AS pos, section_heading AS heading FROM chunks WHERE document_name IS NOT NULL), f AS (SELECT document_name, list_filter(regexp_extract_all(lower(regexp_replace(document_name, '\\.[^.]*$', '')), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains({sorted(naming.PLAIN_WORDS)}, t)) AS words FROM (SELECT DISTINCT document_name FROM h)), s AS (SELECT h.document_name, heading, row_number() OVER (PARTITION BY h.document_name ORDER BY len(list_intersect(list_distinct(regexp_extract_all(lower(heading), '[a-z0-9]+')), words)) DESC, pos, heading) AS pos FROM h JOIN f ON f.document_name = h.document_name WHERE trim(heading) <> ''), c AS (SELECT pos, heading FROM s GROUP BY 1, 2 HAVING count(DISTINCT document_name) = 1), o AS (SELECT document_name, s.heading, row_number() OVER (PARTITION BY document_name ORDER BY s.pos) AS k FROM s JOIN c ON c.pos = s.pos AND c.heading = s.heading), l AS (SELECT document_name, heading, row_number() OVER (PARTITION BY document_name ORDER BY pos DESC) AS k FROM s) SELECT d.document_name, coalesce(o.heading, l.heading, regexp_replace(d.document_name, '\\.[^.]*$', '')) AS product_name FROM f d LEFT JOIN o ON o.document_name = d.document_name AND o.k = 1 LEFT JOIN l ON l.document_name = d.document_name AND l.k = 1")
 def product_names(spark, d):
     return naming.assign_names(table(spark, d, "chunks").select("document_name", F.col("chunk_index").alias("pos"), F.col("section_heading").alias("heading")).filter("document_name is not null"))
 
