@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 from fractions import Fraction
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,23 @@ def _fits(r: Range) -> bool:
     return max(abs(r.low), abs(r.high)) * PPB[r.unit or "vol"] < 2**63 - 1
 
 
+def _ranges_of(text: str | None) -> tuple[list[dict], list[dict], str | None, float | None, float | None, bool]:
+    """What a text says of ranges: those with a unit and those without, the first one's unit and ends, and whether one was too large."""
+    said = ranges(text)
+    found = [r for r in said if _fits(r)]
+    known = list(dict.fromkeys(in_ppb(r) for r in found if r.unit))
+    bare = list(dict.fromkeys((_decimal(r.low), _decimal(r.high)) for r in found if not r.unit))
+    first = found[0] if found else None
+    ends = (first.unit, float(first.low), float(first.high)) if first else (None, None, None)
+    return [{"low_ppb": a, "high_ppb": b} for a, b in known], [{"low": a, "high": b} for a, b in bare], *ends, len(found) < len(said)
+
+
+def _tolerance_of(text: str | None) -> tuple[int | None, Decimal | None, str | None, bool]:
+    tol, share, unit = tolerance_with_unit(text)
+    large = (tol or 0) >= 2**63 or (share or 0) >= 1000
+    return None if (tol or 0) >= 2**63 else tol, None if share is None or share >= 1000 else _decimal(share), unit, large
+
+
 def parse_amounts(rows: DataFrame, key: str, range_col: str, accuracy_col: str | None = None, remark_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``key``, the columns ``keep`` and what the texts say: see the fields of the schema. Nulls say nothing.
 
@@ -67,22 +85,15 @@ def parse_amounts(rows: DataFrame, key: str, range_col: str, accuracy_col: str |
     kinds = [struct("low_ppb", "high_ppb", pa.int64()), struct("low", "high", pa.decimal128(30, 9)), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.decimal128(30, 9), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Wordings come again: each is read once, as long as it is remembered.
+        range_of, tolerance_of = lru_cache(100_000)(_ranges_of), lru_cache(50_000)(_tolerance_of)
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             n = len(head)
             for text, accuracy, remark in zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True):
-                said = ranges(text)
-                found = [r for r in said if _fits(r)]
-                known = list(dict.fromkeys(in_ppb(r) for r in found if r.unit))
-                bare = list(dict.fromkeys((_decimal(r.low), _decimal(r.high)) for r in found if not r.unit))
-                tol, share, tol_unit = tolerance_with_unit(accuracy)
-                large = len(found) < len(said) or (tol or 0) >= 2**63 or (share or 0) >= 1000
-                tol, share = None if tol is None or tol >= 2**63 else tol, None if share is None or share >= 1000 else share
-                first = found[0] if found else None
-                row = (
-                    [{"low_ppb": a, "high_ppb": b} for a, b in known], [{"low": a, "high": b} for a, b in bare], first.unit if first else None,
-                    float(first.low) if first else None, float(first.high) if first else None, stated_unit(remark) if bare or not known else None, tol, None if share is None else _decimal(share), tol_unit, large,
-                )
+                known, bare, unit, low, high, large = range_of(text)
+                tol, share, tol_unit, tol_large = tolerance_of(accuracy)
+                row = (known, bare, unit, low, high, stated_unit(remark) if bare or not known else None, tol, share, tol_unit, large or tol_large)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], [f.name for f in head] + _PARSED.names)
