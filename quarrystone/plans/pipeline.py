@@ -6,8 +6,11 @@ runs offline and gives the same result each time.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +31,22 @@ PER_PRODUCT, KEYWORD_EXTRAS = 10, 3
 
 
 def hashed(texts: list[str]) -> np.ndarray:
-    """Word counts hashed into ``DIMENSIONS`` signed places, of length one."""
-    import xxhash
-
+    """Counts of words of three characters or more hashed into ``DIMENSIONS`` signed places, of length one."""
     out = np.zeros((len(texts), DIMENSIONS))
     for k, t in enumerate(texts):
-        for w in re.findall("[a-z0-9]+", (t or "").lower()):
-            if len(w) > 2:
-                h = xxhash.xxh3_64_intdigest(w)
-                out[k, h % DIMENSIONS] += 1 if h >> 63 else -1
+        for w, n in Counter(re.findall("[a-z0-9]{3,}", (t or "").lower())).items():
+            place, sign = _place(w)
+            out[k, place] += sign * n
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+@lru_cache(200_000)
+def _place(word: str) -> tuple[int, int]:
+    """The place and the sign of a word, from its MD5."""
+    d = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+    return int.from_bytes(d[:4], "big") % DIMENSIONS, 1 if d[4] & 1 else -1
+
+
 def embed(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder = hashed, scope: str | None = None) -> DataFrame:
     """``(vec_id, scope, embedding)`` of a table's texts, a batch at a time; blank texts have no vector."""
     src = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("scope"), F.col(text_col).alias("text")).filter("trim(text) <> ''")

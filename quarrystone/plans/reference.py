@@ -500,7 +500,38 @@ def display_names(spark, d):
     return naming.known_products(table(spark, d, "chunks", "product_name"), table(spark, d, "products", "product_id", "product_name"))
 
 
-@_add()
+_RETRIEVAL = f"""
+    WITH x AS (SELECT min(row_id) AS row_id, arg_min(text, row_id) AS text, arg_min(document_name, row_id) AS document_name, arg_min(product_name, row_id) AS product_name FROM chunks WHERE {_SOUND} GROUP BY sha256(text)),
+    q AS (SELECT DISTINCT id, question FROM feedback WHERE id % 50 = 0 AND trim(question) <> ''),
+    t AS (SELECT 'c' AS side, row_id AS id, text FROM x UNION ALL SELECT 'q', id, question FROM q),
+    w AS (SELECT side, id, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'))) AS h FROM t),
+    e AS (SELECT side, id, CAST('0x' || h[1:8] AS BIGINT) % {pipeline.DIMENSIONS} AS place, sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w GROUP BY ALL),
+    f AS (SELECT side, id, place, CAST(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY side, id)), 1e-12) AS FLOAT)::DOUBLE AS v FROM e),
+    g AS (SELECT side, id, place, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY side, id)), 1e-300) AS v FROM f),
+    sims AS (SELECT a.id AS query_id, b.id AS row_id, round(sum(a.v * b.v), 5) AS sim FROM g a JOIN g b ON a.place = b.place WHERE a.side = 'q' AND b.side = 'c' GROUP BY ALL),
+    s AS (SELECT sims.*, x.text, x.document_name, x.product_name FROM sims JOIN x USING (row_id)),
+    names AS (SELECT DISTINCT product_name FROM x WHERE product_name IS NOT NULL),
+    tokens AS (SELECT DISTINCT product_name, token FROM (SELECT product_name, unnest(regexp_extract_all(lower(product_name), '[a-z0-9]+')) AS token FROM names) WHERE NOT list_contains({STOPWORDS}, token)),
+    telling AS (SELECT token FROM tokens GROUP BY token HAVING count(*) <= greatest(2, (SELECT count(DISTINCT product_name) FROM tokens) // 3)),
+    named AS (SELECT DISTINCT k.id, tokens.product_name FROM (SELECT id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS token FROM q) k JOIN telling USING (token) JOIN tokens USING (token) WHERE length(token) >= 3),
+    n AS (SELECT id, count(*) AS names FROM named GROUP BY id),
+    u AS (SELECT q.id, n.names, regexp_matches(lower(question), '\\ball\\b.{{0,20}}\\b(product|sensor|detector|device|analyzer|unit)s?\\b|\\blist\\b.{{0,20}}\\b(product|sensor|detector|device|analyzer|unit)s?\\b|\\b(product|sensor|detector|device|analyzer|unit)s?\\s+(lineup|line-up|catalog|catalogue|range|portfolio)\\b|\\bwhat\\b.{{0,10}}\\b(product|sensor|detector|device|analyzer|unit)s?\\b.{{0,15}}\\b(available|offer|have|sell|make)\\b') AS lists,
+        list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda k: length(k) >= 3 AND NOT list_contains({STOPWORDS}, k)) AS words FROM q LEFT JOIN n ON n.id = q.id),
+    searches AS (SELECT u.id, 'main' AS part, named.product_name AS product, CASE WHEN names = 1 THEN 8 ELSE greatest(10, 8 // names) END AS n, words FROM u JOIN named ON named.id = u.id WHERE NOT lists
+        UNION ALL SELECT id, CASE WHEN names IS NULL THEN 'main' ELSE 'more' END, NULL, 8, words FROM u WHERE NOT lists),
+    found AS (SELECT c.part, c.product, c.n, s.*, list_bool_or(list_transform(c.words, lambda k: contains(lower(s.text), k))) AS by_word FROM searches c JOIN s ON s.query_id = c.id AND (c.product IS NULL OR c.product = s.product_name)),
+    best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id, part, product ORDER BY sim DESC, row_id) <= n),
+    first AS (SELECT query_id, row_id, sim, product FROM best WHERE part = 'main'),
+    extra AS (SELECT query_id, row_id, sim, product FROM found WHERE part = 'main' AND by_word AND (query_id, row_id) NOT IN (SELECT (query_id, row_id) FROM first) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, row_id) <= 3),
+    scoped AS (SELECT * FROM first UNION ALL SELECT * FROM extra),
+    whole AS (SELECT query_id, row_id, sim, 0 AS part, row_number() OVER (PARTITION BY query_id, product ORDER BY sim DESC, row_id) AS turn, product AS name FROM scoped
+        UNION ALL SELECT query_id, row_id, sim, 1, 0, NULL FROM best WHERE part = 'more' AND (query_id, row_id) NOT IN (SELECT (query_id, row_id) FROM scoped)
+        UNION ALL SELECT query_id, row_id, sim, 0, 0, document_name FROM (SELECT s.* FROM s JOIN u ON u.id = s.query_id AND u.lists QUALIFY row_number() OVER (PARTITION BY query_id, document_name ORDER BY sim DESC, row_id) = 1)),
+    ranked AS (SELECT query_id, row_id, sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, turn, name NULLS FIRST, sim DESC, row_id) AS INTEGER) AS rank, max(sim) OVER (PARTITION BY query_id) AS top FROM whole)
+    SELECT query_id, row_id, sim, rank, CASE WHEN top < 0.56 THEN 'low' ELSE 'high' END AS confidence FROM ranked WHERE top >= 0.32"""
+
+
+@_add(_RETRIEVAL)
 def retrieve_chunks(spark, d):
     index = pipeline.build_index(table(spark, d, "chunks"))
     asked = table(spark, d, "feedback", "id", "question").filter("id % 50 = 0").distinct()  # the stated query set
