@@ -23,8 +23,9 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
 
     Similarity is rounded to five digits and ties go to the lower id. ``mode`` says what ``scope`` does: all, same (only vectors
     of the query's scope), other (only those of other scopes), each (the k best of every scope). Each Arrow batch is compared with a block
-    of queries by one matrix product and keeps its own k best, so that at most k rows per query and batch are shuffled. Queries of
-    null vectors and null vectors are left out; an empty side gives no rows.
+    of queries by one matrix product, and each task keeps its k best, so that at most k rows per query and task are shuffled. Queries of
+    null vectors and null vectors are left out; an empty side gives no rows. The queries are a stated set that the driver can hold; the base is
+    scanned once for every ``BLOCK`` of them.
     """
     name = scope or "scope"
     cols = [F.col(id_col).alias("vec_id"), (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("scope"), F.col(vec_col).alias("v")]
@@ -53,10 +54,12 @@ def _scorer(ids: list, scopes: list, matrix: np.ndarray, k: int, mode: str):
     ids_a, scopes_a = np.array(ids, np.int64), np.array(scopes, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The best so far, by scope if each counts for itself: what a task sends on is k rows a query, however many batches it had.
+        best: dict[object, tuple[np.ndarray, ...]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             scope = np.array(batch.column(1).to_pylist(), object)
             v = _matrix(batch.column(2))
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -67,16 +70,18 @@ def _scorer(ids: list, scopes: list, matrix: np.ndarray, k: int, mode: str):
                 sims[~same] = -np.inf
             if mode == "other":
                 sims[same] = -np.inf
-            groups = [np.flatnonzero(scope == s) for s in dict.fromkeys(scope)] if mode == "each" else [np.arange(len(own))]
-            q, at = [], []
-            for g in groups:
-                order = np.lexsort((np.broadcast_to(own[g], (len(ids), len(g))), -sims[:, g]), axis=1)[:, :k]
-                q.append(np.repeat(np.arange(len(ids)), order.shape[1]))
-                at.append(g[order].ravel())
-            q, at = np.concatenate(q), np.concatenate(at)
-            fine = np.isfinite(sims[q, at])
-            q, at = q[fine], at[fine]
-            yield pa.RecordBatch.from_arrays([pa.array(ids_a[q]), pa.array(own[at].astype(np.int64)), pa.array(scope[at].tolist(), pa.string()), pa.array(sims[q, at])], ["query_id", "vec_id", "scope", "sim"])
+            for name, g in [(s, np.flatnonzero(scope == s)) for s in dict.fromkeys(scope)] if mode == "each" else [(None, np.arange(len(own)))]:
+                new, at = sims[:, g], np.broadcast_to(g, (len(ids), len(g)))
+                rows = np.broadcast_to(own[g], new.shape)
+                names = scope[at]
+                if name in best or (mode != "each" and best):
+                    new, rows, names = (np.concatenate(x, axis=1) for x in zip(best[name], (new, rows, names), strict=True))
+                order = np.lexsort((rows, -new), axis=1)[:, :k]
+                best[name] = tuple(np.take_along_axis(x, order, axis=1) for x in (new, rows, names))
+        for new, rows, names in best.values():
+            fine = np.isfinite(new)
+            asked = np.broadcast_to(ids_a[:, None], new.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[fine]), pa.array(rows[fine]), pa.array(names[fine].tolist(), pa.string()), pa.array(new[fine])], ["query_id", "vec_id", "scope", "sim"])
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,7 +136,8 @@ def extra_fields_flatten(spark, d):
 
 
 _PLAIN = "lower(trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')))"
-_INTENT = " ".join(f"WHEN regexp_matches(q, '{guard.sql_pattern(w)}') THEN '{k}'" for k, w in guard.INTENTS.items())
+# A term as a whole word, told by what stands beside it: the SQL's patterns have no look around.
+_INTENT = " ".join("WHEN regexp_matches(q, '(^|[^a-z0-9_])(" + "|".join(re.escape(w).replace("'", "''") for w in words) + f")(es|s)?($|[^a-z0-9_])') THEN '{k}'" for k, words in guard.INTENTS.items())
 
 
 @_add(f"SELECT id, CASE {_INTENT} ELSE 'unknown' END AS intent FROM (SELECT DISTINCT id, {_PLAIN.format('question')} AS q FROM feedback)")
@@ -148,7 +150,9 @@ def _hit_sql(text: str, words: list[str]) -> str:
     return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
 
 
-def _claims_sql() -> str:
+def _claims_sql(source: str = "") -> str:
+    """Claims of ``source(id, q, a, s)``, plain texts; by default those of the feedback."""
+    source = source or f"SELECT DISTINCT id, {_PLAIN.format('question')} AS q, {_PLAIN.format('answer')} AS a, {_PLAIN.format('note')} AS s FROM feedback"
     def case(pick: Callable[[str, list[str], bool], str]) -> str:
         arms = [f"WHEN len({_hit_sql('q', w)}) > 0 THEN {pick(n, w, a)}" for n, w, a in guard.POLICY]
         arms += [f"WHEN len({_hit_sql('a', w)}) > 0 THEN {pick(n, w, a)}" for n, w, a in guard.POLICY]
@@ -156,7 +160,7 @@ def _claims_sql() -> str:
 
     both = lambda w: f"list_sort(list_distinct(list_concat({_hit_sql('q', w)}, {_hit_sql('a', w)})))"
     miss = lambda w, always: both(w) if always else f"list_filter({both(w)}, lambda x: NOT list_contains({_hit_sql('s', w)}, x))"
-    inner = f"SELECT id, {case(lambda n, w, a: repr(n))} AS category, {case(lambda n, w, a: f'len({both(w)})')} AS matched, {case(lambda n, w, a: f'len({miss(w, a)})')} AS unsupported FROM (SELECT DISTINCT id, {_PLAIN.format('question')} AS q, {_PLAIN.format('answer')} AS a, {_PLAIN.format('note')} AS s FROM feedback)"
+    inner = f"SELECT id, {case(lambda n, w, a: repr(n))} AS category, {case(lambda n, w, a: f'len({both(w)})')} AS matched, {case(lambda n, w, a: f'len({miss(w, a)})')} AS unsupported FROM ({source})"
     return f"SELECT id, category, coalesce(matched, 0) AS matched, coalesce(unsupported, 0) AS unsupported, category IS NOT NULL AND coalesce(unsupported, 0) > 0 AS blocked FROM ({inner})"
 
 
@@ -538,7 +542,18 @@ def retrieve_chunks(spark, d):
     return pipeline.retrieve(index, asked)
 
 
-@_add()
+_DRAFTS = f"""
+    WITH r AS ({_RETRIEVAL}), j AS (SELECT r.*, chunks.text, chunks.document_name FROM r JOIN chunks USING (row_id)),
+    g AS (SELECT query_id, any_value(confidence) AS confidence, arg_min(text, rank) AS text, arg_min(document_name, rank) AS document_name, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS sources FROM j GROUP BY query_id),
+    near AS (SELECT query_id, text, document_name FROM j QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, rank) = 1),
+    u AS (SELECT DISTINCT id, question, regexp_matches(lower(question), '\\b(all|list)\\b.{{0,20}}\\b(product|sensor|detector|device|analyzer|unit)s?\\b|\\b(product|sensor|detector|device|analyzer|unit)s?\\s+(lineup|line-up|catalog|catalogue|range|portfolio)\\b') AS lists FROM feedback WHERE id % 50 = 0),
+    t AS (SELECT u.id, u.question, coalesce(g.confidence, 'none') AS confidence, CASE WHEN lists THEN near.text ELSE g.text END AS text, CASE WHEN lists THEN near.document_name ELSE g.document_name END AS source, coalesce(g.sources, '') AS sources FROM u LEFT JOIN g ON g.query_id = u.id LEFT JOIN near ON near.query_id = u.id)
+    SELECT *, CASE WHEN text IS NULL THEN '{pipeline.NO_SOURCE}' WHEN regexp_extract(text, '^(.*?[.!?])(?:\\s|$)', 1) = '' THEN text ELSE regexp_extract(text, '^(.*?[.!?])(?:\\s|$)', 1) END AS answer FROM t"""
+
+
+@_add(f"""WITH d AS ({_DRAFTS}), c AS ({_claims_sql(f"SELECT id, {_PLAIN.format('question')} AS q, {_PLAIN.format('answer')} AS a, {_PLAIN.format('sources')} AS s FROM d")}),
+    i AS (SELECT id, CASE {_INTENT} ELSE 'unknown' END AS intent FROM (SELECT id, {_PLAIN.format('question')} AS q FROM d))
+    SELECT d.id, i.intent, d.confidence, d.source, CASE WHEN c.blocked THEN '{pipeline.BLOCKED}' ELSE d.answer END AS answer, c.category, c.blocked FROM d JOIN c ON c.id = d.id JOIN i ON i.id = d.id""")
 def answers(spark, d):
     index = pipeline.build_index(table(spark, d, "chunks"))
     asked = table(spark, d, "feedback", "id", "question").filter("id % 50 = 0").distinct()  # the stated query set
