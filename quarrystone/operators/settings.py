@@ -10,6 +10,7 @@ from quarrystone.operators.stores import upsert
 
 #: Types of documents and those that questions do not search.
 TYPES = ["Product Catalogue", "Use Case Guide", "Technical Guide", "Historical Sales Record", "Competitive & Internal Strategy", "Golden Frameworks & Sales Tactics", "Other"]
+METHODS = "Golden Frameworks & Sales Tactics"
 NOT_SEARCHED = ["Competitive & Internal Strategy", "Golden Frameworks & Sales Tactics"]
 
 
