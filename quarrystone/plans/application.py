@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import units as unit
 from quarrystone.operators import answers, cells, dispatch, naming, registry, registry_build, replies, saved, settings, stores, tables
-from quarrystone.plans.reference import TABLE_ALIASES, TABLE_VOCABULARY
+from quarrystone.plans import generation, pipeline
+from quarrystone.plans.reference import TABLE_ALIASES, TABLE_VOCABULARY, retrieval_sql
 from quarrystone.sources.documents import documents, parse_files
 from quarrystone.sources.docx_writer import docx_files
 from quarrystone.tables import table
@@ -404,6 +405,59 @@ def batched_pieces(spark, d):
     return answers.batched_pieces(table(spark, d, "events", "user_id", "event_id", "event_type").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("delta")))
 
 
+_FIRST = "left(trim(regexp_replace(regexp_extract(chunks.text, '(?m)^(.*?(?:[.!?](?:\\s|$)|$))', 1), '[\\s\\p{Z}]+', ' ', 'g')), 300)"
+
+
+def _index(spark, d):
+    return pipeline.build_index(table(spark, d, "chunks"))
+
+
+def _uses(spark, d):
+    return table(spark, d, "deals").filter("id % 50 = 0")  # the stated query set
+
+
+@_add(f"""WITH r AS ({retrieval_sql("SELECT id, use_case AS question FROM deals WHERE id % 50 = 0 AND trim(use_case) <> ''")})
+    SELECT u.id, 1 AS pos, coalesce(chunks.document_name, 'nothing') AS title, coalesce({_FIRST}, 'No excerpt.') AS why FROM (SELECT id FROM deals WHERE id % 50 = 0) u LEFT JOIN r ON r.query_id = u.id AND r.rank = 1 LEFT JOIN chunks ON chunks.row_id = r.row_id""")
+def discoveries(spark, d):
+    """Points of use cases, by the offline model."""
+    return generation.discoveries(_index(spark, d), _uses(spark, d).select("id", "use_case")).select("id", "pos", "title", "why")
+
+
+@_add()
+def recommendations(spark, d):
+    """Recommendations of use cases, by their saved answers."""
+    deals = _uses(spark, d)
+    return generation.recommendations(_index(spark, d), deals.select("id", "use_case"), saved.question_answers(deals), _types(spark, d))
+
+
+@_add()
+def qualifications(spark, d):
+    """The next questions of deals."""
+    types = _types(spark, d).unionByName(table(spark, d, "chunks", "document_name").filter("document_name like 'Datasheet%'").distinct().select("document_name", F.lit(settings.METHODS).alias("doc_type")))
+    return generation.qualifications(_index(spark, d), _uses(spark, d), types)
+
+
+@_add()
+def sales_aids_made(spark, d):
+    """Sales aids of requests, own documents beside reports."""
+    others = table(spark, d, "chunks", "document_name").filter("document_name like 'Report%'").distinct()
+    return generation.sales_aids(_index(spark, d), table(spark, d, "sales_aids", "id", "use_case", "compare_against").filter("id % 50 = 0").distinct(), others)
+
+
+@_add("SELECT DISTINCT id, CASE WHEN answer IS NOT NULL AND NOT regexp_matches(lower(trim(answer, ' ')), '^(not requested|n/?a|none|omit(ted)?)\\s*([.:–-]|$)') AND trim(answer, ' ') <> '' THEN trim(answer, ' ') END AS wording FROM feedback")
+def wordings(spark, d):
+    """Customer wordings of answers, by the offline model."""
+    drafts = table(spark, d, "feedback", "id", "question", "answer").distinct().withColumn("blocked", F.lit(False))
+    return generation.wordings(drafts)
+
+
+@_add()
+def routed_answers(spark, d):
+    """Questions answered by the dispatcher's rules and retrieval in their scope."""
+    asked = table(spark, d, "feedback", "id", "question").filter("id % 50 = 0").distinct()  # the stated query set
+    return generation.answer_questions(_index(spark, d), asked, table(spark, d, "products"), vocabulary=TABLE_VOCABULARY, aliases=TABLE_ALIASES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

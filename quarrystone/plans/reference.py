@@ -504,9 +504,11 @@ def display_names(spark, d):
     return naming.known_products(table(spark, d, "chunks", "product_name"), table(spark, d, "products", "product_id", "product_name"))
 
 
-_RETRIEVAL = f"""
+def retrieval_sql(questions: str) -> str:
+    """The ranking of ``pipeline.retrieve`` over ``questions(id, question)`` in SQL."""
+    return f"""
     WITH x AS (SELECT min(row_id) AS row_id, arg_min(text, row_id) AS text, arg_min(document_name, row_id) AS document_name, arg_min(product_name, row_id) AS product_name FROM chunks WHERE {_SOUND} GROUP BY sha256(text)),
-    q AS (SELECT DISTINCT id, question FROM feedback WHERE id % 50 = 0 AND trim(question) <> ''),
+    q AS ({questions}),
     t AS (SELECT 'c' AS side, row_id AS id, text FROM x UNION ALL SELECT 'q', id, question FROM q),
     w AS (SELECT side, id, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'))) AS h FROM t),
     e AS (SELECT side, id, CAST('0x' || h[1:8] AS BIGINT) % {pipeline.DIMENSIONS} AS place, sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w GROUP BY ALL),
@@ -535,6 +537,9 @@ _RETRIEVAL = f"""
     SELECT query_id, row_id, sim, rank, CASE WHEN top < 0.56 THEN 'low' ELSE 'high' END AS confidence FROM ranked WHERE top >= 0.32"""
 
 
+_RETRIEVAL = retrieval_sql("SELECT DISTINCT id, question FROM feedback WHERE id % 50 = 0 AND trim(question) <> ''")
+
+
 @_add(_RETRIEVAL)
 def retrieve_chunks(spark, d):
     index = pipeline.build_index(table(spark, d, "chunks"))
