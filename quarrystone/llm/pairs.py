@@ -145,7 +145,7 @@ def _weights() -> dict[str, list[tuple[str, float]]]:
 
 _TELLS = _weights()
 _SIGNED = {sign: [(name, 0.7 / len(names.split())) for name in names.split()] for sign, names in SIGNS.items()}
-LETTER, LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
+LETTER = re.compile(r"[^\W\d_]")
 SCRIPTS = [(n, re.compile(b)) for n, b in (("ja", "[぀-ヿ]"), ("zh", "[㐀-鿿]"), ("hi", "[ऀ-ॿ]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"), ("ko", "[가-힯]"), ("el", "[Ͱ-Ͽ]"), ("he", "[֐-׿]"), ("th", "[฀-๿]"))]
 #: What French and Italian leave out before a vowel.
 ELISION, ELIDED = re.compile(r"\b(?:l|d|qu|n|m|s|j|c)'[a-zéèêh]|-t-(?:il|elle)"), re.compile(r"\b(?:dell|nell|all|sull|dall|un|quell)'[a-zèh]")
@@ -153,30 +153,37 @@ ENDED = re.compile(r"(?:[.!?。！？।…]|:-?\))[\"'”’»)\]」』*_~]*$")
 ABBREVIATED = re.compile(r"\w\s+(?:no|nos|approx|e\.g|i\.e|ca|z\.B|bzw|vgl|cf|fig|incl|resp|max|min)\.$")
 MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)])(?:\s+|$)")
 CODE = r"[A-Z]{1,4}-?\d[\w\-./]*"
-CODES = re.compile(rf"\b{CODE}\b|\d+")
+#: Codes, which are none of a language's words, and words.
+SPOKEN = re.compile(rf"\b{CODE}\b|[^\W\d_]+")
 
 
-def language(text: str) -> str | None:
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, without codes and amounts."""
+    return [t.lower() for t in SPOKEN.findall(text) if t.isalpha()]
+
+
+def language(text: str, words: list[str] | None = None) -> str | None:
     """The language of a text by script, then by short words and letters; None if they don't tell."""
     if not text.isascii():
         letters = len(LETTER.findall(text))
         for name, block in SCRIPTS:
             if len(block.findall(text)) > 0.3 * letters:
                 return name if letters else None
-    low = text.lower().replace("’", "'")
+    words = words_of(text) if words is None else words
     score: dict[str, float] = {}
-    for w in _TELLS.keys() & set(words := LETTERS.findall(low)):
+    for w in _TELLS.keys() & set(words):
         times = words.count(w)
         for name, weight in _TELLS[w]:
             score[name] = score.get(name, 0.0) + weight * times
-    if not low.isascii():
+    if not text.isascii() or "'" in text:
+        low = text.lower().replace("’", "'")
         for sign in _SIGNED.keys() & set(low):
             times = min(2, low.count(sign))
             for name, weight in _SIGNED[sign]:
                 score[name] = score.get(name, 0.0) + weight * times
-    if "'" in low:
-        score["fr"] = score.get("fr", 0.0) + 0.8 * len(ELISION.findall(low))
-        score["it"] = score.get("it", 0.0) + 0.8 * len(ELIDED.findall(low))
+        if "'" in low:
+            score["fr"] = score.get("fr", 0.0) + 0.8 * len(ELISION.findall(low))
+            score["it"] = score.get("it", 0.0) + 0.8 * len(ELIDED.findall(low))
     best, *rest = sorted(score.values(), reverse=True)[:2] or (0.0,)
     if best < 1.0 or rest and best <= 1.25 * rest[0]:
         return None
@@ -184,26 +191,39 @@ def language(text: str) -> str | None:
 
 
 def _plain(text: str) -> str:
-    return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text).lower())
+    return UNSPOKEN.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+
+
+UNSPOKEN = re.compile(r"[\W_]+")
+_asked = lru_cache(50_000)(_plain)
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    text = re.sub(r"<[^<>]*>|&nbsp;|[​-‏⁠﻿­]", " ", answer)
+    text = answer if len(answer) > 200 and answer.isascii() and "<" not in answer and "&" not in answer else UNSEEN.sub(" ", answer)
     text = text.strip(" \t\r\n\xa0.,:;!?*#_~`|/\\-–—…'\"()[]{}<>")
-    return not re.search(r"\w", text) or text.lower() in EMPTY
+    return not SAID.search(text) or len(text) < 40 and text.lower() in EMPTY
+
+
+UNSEEN, SAID = re.compile(r"<[^<>]*>|&nbsp;|[​-‏⁠﻿­]"), re.compile(r"\w")
+#: What may lead a copied question.
+LEADS = ("", "question", "answer", "youasked", "youaskedme", "q", "a", "yourquestion", "yourquestionwas")
 
 
 def is_copy(question: str | None, answer: str) -> bool:
     """Whether an answer is the question, once or more often or its first part, with nothing but quoting around it."""
-    q = _plain(question or "")
+    q = _asked(question or "")
     if not q:
         return False
+    # Most answers begin unlike the question; of these nothing but the beginning is looked at.
+    head = _plain(answer[:160])
+    if len(head) >= 40 and not any(head.removeprefix(lead).startswith(q[:16]) for lead in LEADS):
+        return False
     a = _plain(answer)
     if is_prefix(q, a):
         return True
-    for lead in ("", "question", "answer", "youasked", "youaskedme", "q", "a", "yourquestion", "yourquestionwas"):
+    for lead in LEADS:
         rest = a.removeprefix(lead)
         if rest and len(rest) % len(q) == 0 and rest == q * (len(rest) // len(q)):
             return True
@@ -263,9 +283,9 @@ def is_truncated(answer: str) -> bool:
     return not ENDED.search(text)
 
 
-def is_refusal(text: str) -> bool:
+def is_refusal(text: str, words: list[str] | None = None) -> bool:
     """Whether a text declines to answer."""
-    words = set(LETTERS.findall(text.lower()))
+    words = set(words_of(text) if words is None else words)
     for triggers, pattern in _REFUSALS:
         if (triggers and not triggers.isdisjoint(words) or not triggers and not text.isascii()) and pattern.search(NO_REFUSAL.sub(" ", text)):
             return True
@@ -279,18 +299,18 @@ def defects(question: str | None, answer: str | None) -> list[str]:
     found = []
     copied = is_copy(question, answer)
     # What a copy says is the question's: of it only the question broken off tells something of the answer.
-    if is_truncated(answer) if not copied else is_prefix(_plain(question), _plain(answer)):
+    if is_truncated(answer) if not copied else is_prefix(_asked(question), _plain(answer)):
         found.append("truncated")
     # What the question says, repeated before the answer, is not the answer's.
     said = "" if copied else answer.replace(question.strip(), " ") if question and question.strip() else answer
     said = said.replace("’", "'")
-    if is_refusal(said):
+    words = words_of(said)
+    if is_refusal(said, words):
         found.append("refusal")
     if copied:
         found.append("copy")
-    body = CODES.sub(" ", said)
-    if len(LETTER.findall(body)) >= 8:
-        asked, answered = _language(question or ""), language(body)
+    if sum(map(len, words)) >= 8:
+        asked, answered = _language(question or ""), language(said, words)
         if answered and asked and answered != asked:
             found.append("language")
     return found
