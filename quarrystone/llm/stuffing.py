@@ -48,7 +48,8 @@ SPOKEN = re.compile(WORD.pattern + "|" + PAUSE)
 MARKS = ".!?。！？।"
 MARKED = re.compile(f"[{MARKS}]")
 #: What a plain line of sentences does not have.
-SPECIAL = re.compile(r"[|;•·*›»>→~#<\[:\t\u2190-\u21ff\u2500-\u27bf\u2b00-\u2bff]|https?:|www\.|\s[–—/\-]\s|\d{4}-\d\d-\d\d", re.I)
+SPECIAL = re.compile(r"[|;•·*›»>→~#<\[:\t\u2190-\u21ff\u2500-\u27bf\u2b00-\u2bff]")
+DASHED = re.compile(r"\s[–—/\-]\s|\d{4}-\d\d-\d\d")
 #: Signs that adorn offers and part them.
 ADORNED = re.compile(r"\s*[\u2190-\u21ff\u2500-\u27bf\u2b00-\u2bff]+\ufe0f?\s*")
 ENDED = re.compile(r"[.!?。！？।…][\"')\]”»]*\s*$")
@@ -82,7 +83,7 @@ def _unlinked(line: str) -> tuple[str, int]:
 
 def shape(line: str) -> tuple[str, str]:
     """``(kind, shape)`` of a line; kind is sentence, data, link, tag, path, list, offer or short."""
-    if line[-1:] in ".!?。！？।" and line.count(",") < 3 and not SPECIAL.search(line):
+    if line[-1:] in MARKS and line.count(",") < 3 and not SPECIAL.search(line) and "www." not in line.lower() and not DASHED.search(line):
         # Nothing but words, few commas and an end mark: a sentence or several, as most lines are.
         return "sentence", f"w{_bin(line.count(' ') + 1)} ."
     linked = "<" in line or "[" in line or "://" in line or "www." in line or "WWW." in line or "Www." in line
@@ -241,7 +242,7 @@ class _Prose:
 
     def candidates(self, known: _Filter) -> set[tuple[str, ...]]:
         """The phrases of two to four words that a filter lets through."""
-        leads = {p for p in known.leads(self.pairs.keys()) if p[0] not in GRAMMAR}
+        leads = known.leads(self.pairs.keys())
         if not leads:
             return set()
         found, ws = set(), self.words
@@ -290,7 +291,7 @@ class _Prose:
 
 
 class _Filter:
-    """A Bloom filter of phrases and of their first two words, of a fixed size: what it keeps out is no phrase, what it lets through is joined."""
+    """A Bloom filter of phrases, of their first two words and of the first, of a fixed size: what it keeps out is no phrase, what it lets through is joined."""
 
     BITS = 1 << 24
 
@@ -298,6 +299,8 @@ class _Filter:
         self.bits = bits
         self.yes: set[tuple[str, ...]] = set()
         self.no: set[tuple[str, ...]] = set()
+        self.first: set[str] = set()
+        self.later: set[str] = set()
 
     @staticmethod
     def places(key: str) -> tuple[int, int]:
@@ -308,13 +311,16 @@ class _Filter:
         return all(self.bits[k >> 3] >> (k & 7) & 1 for k in self.places(key))
 
     def leads(self, pairs: Set[tuple[str, str]]) -> set[tuple[str, str]]:
-        """The pairs of words that a phrase may begin with."""
-        if len(self.yes) + len(self.no) >= 500_000:
-            self.yes.clear()
-            self.no.clear()
-        for pair in pairs - self.no - self.yes:
+        """The pairs of words that a phrase may begin with; words that begin none are told first."""
+        if len(self.yes) + len(self.no) + len(self.first) + len(self.later) >= 500_000:
+            for known in (self.yes, self.no, self.first, self.later):
+                known.clear()
+        for word in {p[0] for p in pairs} - self.first - self.later:
+            (self.first if word not in GRAMMAR and self._test(">" + word) else self.later).add(word)
+        near = {p for p in pairs if p[0] in self.first}
+        for pair in near - self.no - self.yes:
             (self.yes if self._test("^" + " ".join(pair)) else self.no).add(pair)
-        return pairs & self.yes
+        return near & self.yes
 
     def has(self, words: tuple[str, ...]) -> bool:
         return self._test(" ".join(words))
@@ -327,7 +333,7 @@ class _Filter:
             bits = bytearray(cls.BITS // 8)
             for batch in batches:
                 for phrase in batch.column(0).to_pylist():
-                    for key in (phrase, "^" + " ".join(phrase.split(" ")[:2])):
+                    for key in (phrase, "^" + " ".join(phrase.split(" ")[:2]), ">" + phrase.split(" ")[0]):
                         for k in cls.places(key):
                             bits[k >> 3] |= 1 << (k & 7)
             yield pa.RecordBatch.from_arrays([pa.array([bytes(bits)], pa.binary())], ["bits"])
@@ -346,7 +352,8 @@ def _loose(words: list[str], often: set[tuple[str, str]]) -> set[tuple[str, ...]
     all its pairs do, so that only runs of such pairs are counted.
     """
     number = lambda w: not w.isalpha() and w != "h2" and any(map(str.isdigit, w))
-    inner = {p for p in often if PAUSE not in p and not number(p[0]) and not number(p[1])}
+    apart = {w for w in {w for p in often for w in p} if w == PAUSE or number(w)}
+    inner = {p for p in often if p[0] not in apart and p[1] not in apart}
     starts = {p for p in inner if p[0] not in GRAMMAR}
     if not starts:
         return set()
