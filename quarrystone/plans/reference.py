@@ -400,7 +400,28 @@ def slug_unique(spark, d):
     return stores.unique_slugs(table(spark, d, "deals", "id", "company").filter("company is not null"), "company", "id").select("id", "slug")
 
 
-@_add()
+# Lines are packed up to 50 words, longer ones cut into windows that end behind a sentence's end among ten more words, and chunks of fewer than
+# ten words go in front of the next one: three recursions, over lines, windows and raw chunks.
+_ENDS = "regexp_matches(w[{0}], '[.;][''\")\\]]?$')"
+_PACKED = f"""
+    WITH RECURSIVE l AS (SELECT doc_id, i, list_filter(regexp_split_to_array(line, '[\\s\\v\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+    b AS (SELECT doc_id, w, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE len(w) > 0),
+    g(doc_id, k, c, open) AS (SELECT doc_id, k, 1, CASE WHEN n > 50 THEN 999 ELSE n END FROM b WHERE k = 1
+        UNION ALL SELECT b.doc_id, b.k, g.c + CASE WHEN b.n > 50 OR g.open + b.n > 50 THEN 1 ELSE 0 END, CASE WHEN b.n > 50 THEN 999 WHEN g.open + b.n > 50 THEN b.n ELSE g.open + b.n END FROM g JOIN b ON b.doc_id = g.doc_id AND b.k = g.k + 1),
+    p AS (SELECT g.doc_id, g.c, flatten(list(b.w ORDER BY b.k)) AS w FROM g JOIN b ON b.doc_id = g.doc_id AND b.k = g.k GROUP BY g.doc_id, g.c),
+    e AS (SELECT doc_id, c, w, len(w) AS n, list_filter(range(1, len(w) + 1), lambda j: {_ENDS.format("j")}) AS ends FROM p WHERE len(w) > 50),
+    v(doc_id, c, s, t) AS (SELECT doc_id, c, 0, coalesce(list_min(list_filter(ends, lambda j: j > 50 AND j <= least(60, n))), 50) FROM e
+        UNION ALL SELECT e.doc_id, e.c, v.t - 10, CASE WHEN v.t + 40 >= e.n THEN e.n ELSE coalesce(list_min(list_filter(e.ends, lambda j: j > v.t + 40 AND j <= least(v.t + 50, e.n))), v.t + 40) END FROM v JOIN e ON e.doc_id = v.doc_id AND e.c = v.c WHERE v.t < e.n),
+    raw AS (SELECT doc_id, c, 0 AS s, w FROM p WHERE len(w) <= 50 UNION ALL SELECT v.doc_id, v.c, v.s, e.w[v.s + 1 : v.t] FROM v JOIN e ON e.doc_id = v.doc_id AND e.c = v.c),
+    r AS (SELECT doc_id, w, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY c, s) AS k FROM raw),
+    m(doc_id, k, grp, acc) AS (SELECT doc_id, k, 1, n FROM r WHERE k = 1 UNION ALL SELECT r.doc_id, r.k, m.grp + CASE WHEN m.acc >= 10 THEN 1 ELSE 0 END, CASE WHEN m.acc >= 10 THEN r.n ELSE m.acc + r.n END FROM m JOIN r ON r.doc_id = m.doc_id AND r.k = m.k + 1),
+    z AS (SELECT doc_id, max(grp) AS last, max_by(acc, k) AS rest FROM m GROUP BY doc_id),
+    f AS (SELECT m.doc_id, CASE WHEN m.grp = z.last AND z.rest < 10 AND z.last > 1 THEN m.grp - 1 ELSE m.grp END AS grp, flatten(list(r.w ORDER BY m.k)) AS w FROM m JOIN r ON r.doc_id = m.doc_id AND r.k = m.k JOIN z ON z.doc_id = m.doc_id GROUP BY ALL),
+    t AS (SELECT f.doc_id, CAST(grp - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY f.doc_id) AS INTEGER) AS total_chunks, CASE WHEN trim(d.title) <> '' THEN d.title || ': ' ELSE '' END || array_to_string(w, ' ') AS text FROM f JOIN documents d ON d.doc_id = f.doc_id)
+    SELECT doc_id, chunk_index, total_chunks, sha256(text) AS chunk_id, text FROM t"""
+
+
+@_add(_PACKED)
 def chunk_pack(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents", "doc_id", "text", "title"))
 
