@@ -90,15 +90,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     # Whole tables: triples of words joined on equality. Copies are one class; one of more than EXPAND stands for itself by its lowest id.
-    p3 = f"""
-        WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE text IS NOT NULL),
+    classes = """
+        w AS (SELECT row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE text IS NOT NULL),
         k AS (SELECT row_id, w FROM w WHERE len(w) >= 40),
         c AS (SELECT w, min(row_id) AS class_id, count(*) AS copies FROM k GROUP BY w),
         m AS (SELECT k.row_id, c.class_id, c.copies FROM k JOIN c ON k.w = c.w),
         s AS (SELECT class_id AS id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM c),
         t AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s),
         p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.id < b.id AND a.n * 10 >= b.n * 6 AND b.n * 10 >= a.n * 6 GROUP BY ALL),
-        near AS (SELECT a, b FROM p WHERE shared * 10 >= 6 * (na + nb - shared)),
+        near AS (SELECT a, b FROM p WHERE shared * 10 >= 6 * (na + nb - shared))
+    """
+    p3 = f"""
+        WITH {classes},
         speaking AS (SELECT row_id, class_id FROM m WHERE copies <= {EXPAND} OR row_id = class_id),
         pairs AS (
             SELECT x.row_id AS u, y.row_id AS v FROM near JOIN speaking x ON x.class_id = near.a JOIN speaking y ON y.class_id = near.b
@@ -106,4 +109,11 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT class_id, row_id FROM m WHERE copies > {EXPAND} AND row_id <> class_id)
         SELECT least(u, v) AS row_id_a, greatest(u, v) AS row_id_b FROM pairs
     """
-    return {"p3_found": p3, "p7_found": "SELECT row_id FROM chunks WHERE length(text) > 1200"}
+    groups_sql = f"""
+        WITH RECURSIVE {classes},
+        edges AS (SELECT a AS u, b AS v FROM near UNION ALL SELECT b, a FROM near),
+        reach(u, v) AS (SELECT u, u FROM edges UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u),
+        named AS (SELECT u, min(v) AS group_id FROM reach GROUP BY u), linked AS (SELECT u, count(*) AS links FROM edges GROUP BY u)
+        SELECT m.row_id, m.class_id, coalesce(named.group_id, m.class_id) AS group_id, coalesce(linked.links, 0) AS links FROM m LEFT JOIN named ON named.u = m.class_id LEFT JOIN linked ON linked.u = m.class_id
+    """
+    return {"p3_found": p3, "p3_groups": groups_sql, "p7_found": "SELECT row_id FROM chunks WHERE length(text) > 1200"}
