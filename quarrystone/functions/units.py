@@ -39,6 +39,12 @@ def contains(low: Column, high: Column, c: Column) -> Column:
     return c["ppm"].between(low["ppm"], high["ppm"])
 
 
+def said_range(low: Column, high: Column) -> Column:
+    """``0 to 2,000 ppm (0% to 0.2% v/v)`` of two concentrations."""
+    ends = F.concat(F.format_number(low["ppm"], 0), F.lit(" to "), F.format_number(high["ppm"], 0), F.lit(" ppm"))
+    return F.concat(ends, F.lit(" ("), short(low["percent_vv"]), F.lit("% to "), short(high["percent_vv"]), F.lit("% v/v)"))
+
+
 _AMOUNT = r"([\d,]*\d(?:\.\d+)?)\s*(ppm\b|%\s*lel\b|lel\s*%|percent\s*lel\b|%|percent\b)"
 _TARGET = r"\bin(?:to)?\s+(ppm\b|%\s*lel\b|lel\s*%|percent\s*lel\b|%|percent\b)"
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.operators.stores import ASKED, upsert
+from quarrystone.sources.docx_writer import docx_files
 
 #: What a saved recommendation and a saved question hold.
 RECOMMENDATION = "confirmed_priorities array<string>, outcome string, product string, candidate_products array<string>, recommendation string, missing_information string"
@@ -81,3 +85,40 @@ def label(deal: dict[str, Column] | None = None) -> Column:
     """``customer — company`` of a deal."""
     c = deal or {"customer_name": F.col("customer_name"), "company": F.col("company")}
     return F.concat(F.coalesce(c["customer_name"], F.lit("")), F.lit(" — "), F.coalesce(c["company"], F.lit("")))
+
+
+def document_bytes(stored: DataFrame, name: str) -> DataFrame:
+    """The content of one stored document; no row if there is none."""
+    return stored.filter(F.col("document_name").eqNullSafe(F.lit(name))).select("content")
+
+
+def write_documents(stored: DataFrame, folder: str) -> DataFrame:
+    """Writes every stored document as a file of a shared folder, where the rows are, and gives ``(document_name, bytes)`` of each.
+
+    Files of the same name are overwritten, others stay. The folder is a URI that all executors reach. Rows without a name or content are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            names, contents = (c.to_pylist() for c in batch.columns)
+            for name, content in zip(names, contents, strict=True):
+                with system.open_output_stream(f"{root}/{name.replace('/', '_')}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in contents], pa.int64())], ["document_name", "bytes"])
+
+    return stored.filter("document_name is not null and content is not null").select("document_name", "content").mapInArrow(run, "document_name string, bytes bigint")
+
+
+def aid_files(aids: DataFrame) -> DataFrame:
+    """``(path, content)``: a DOCX file for each sales aid ``(id, title, priorities, framing, table, summary)``; parts that are blank are left out."""
+    item = lambda kind, text, grid=None: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), (F.lit(None).cast("array<array<string>>") if grid is None else grid).alias("grid"))
+    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    none = F.lit(None).cast("string")
+    head = F.array(F.when(said(F.col("title")), item("title", F.col("title"))), F.when(said(F.col("framing")), item("paragraph", F.col("framing"))), F.when(F.size("priorities") > 0, item("heading", F.lit("Customer Priorities"))))
+    listed = F.transform(F.coalesce("priorities", F.array().cast("array<string>")), lambda p: item("list_item", p))
+    tail = F.array(F.when(F.size("table") > 0, item("table", none, F.col("table"))), F.when(said(F.col("summary")), item("heading", F.lit("Summary"))), F.when(said(F.col("summary")), item("paragraph", F.col("summary"))))
+    return docx_files(aids.select(F.concat(F.lit("sales_aid_"), F.col("id").cast("string"), F.lit(".docx")).alias("path"), F.array_compact(F.concat(head, listed, tail)).alias("items")))

@@ -205,6 +205,16 @@ def reply_questions(spark, d):
     return got.select("id", F.array_join("fields", "|").alias("fields"), F.array_join("questions", "|").alias("questions"))
 
 
+@_add(f"SELECT id, regexp_replace(c, '\\s+', ' ', 'g') AS title, 2 AS table_rows, CASE WHEN lower(c) = lower(n) THEN 1 ELSE 2 END AS listed, 'For ' || regexp_replace(n, '\\s+', ' ', 'g') AS last FROM ({_NAMES})")
+def sales_aid_docx(spark, d):
+    """Sales aids written as DOCX files, and read back as blocks."""
+    text = F.concat(F.lit("Customer Priorities:\n- "), "c", F.lit("\n- "), "n", F.lit("\nTitle:\n"), "c", F.lit("\nComparison:\n| A | B |\n|---|:-:|\n| "), "c", F.lit(" | "), "n", F.lit(" |\nCustomer Summary:\nFor "), "n")
+    blocks = parse_files(saved.aid_files(replies.parse_aids(_named_deals(spark, d).select("id", text.alias("t")), "id", "t")))
+    of = lambda kind: F.col("type") == kind
+    whole = blocks.groupBy(F.regexp_extract("filename", r"(\d+)", 1).cast("bigint").alias("id")).agg(F.min_by("text", "block_index").alias("title"), F.max(F.when(of("table"), F.size("grid"))).alias("table_rows"), F.count_if(of("list_item")).alias("listed"), F.max_by("text", "block_index").alias("last"))
+    return whole
+
+
 # Units.
 
 
@@ -216,6 +226,12 @@ def unit_values(spark, d):
     return x.select("l_orderkey", "l_linenumber", F.round("p.percent_vv", 6).alias("from_ppm_vv"), F.round("v.ppm", 4).alias("vv_ppm"), F.round("e.ppm", 4).alias("lel_ppm"), F.round("e.percent_vv", 6).alias("lel_vv"))
 
 
+@_add("SELECT p_partkey, '0 to ' || format('{:,}', p_size * 100) || ' ppm (0% to ' || rtrim(rtrim(printf('%.6f', p_size / 100), '0'), '.') || '% v/v)' AS said FROM part")
+def range_texts(spark, d):
+    """Ranges as they are said."""
+    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", unit.said_range(unit.from_ppm(F.lit(0)), unit.from_ppm(F.col("p_size") * 100)).alias("said"))
+
+
 @_add("SELECT l_orderkey, l_linenumber, l_quantity * 400 BETWEEN 2000 AND p_size * 400 AS inside FROM lineitem JOIN part ON p_partkey = l_partkey")
 def range_contains(spark, d):
     """Whether an amount is in the range of its part."""

@@ -128,3 +128,14 @@ def test_settings_change(spark):
     assert stores.record(feedback, feedback.select("question", "verdict")).count() == 2 and stores.cleared(feedback).count() == 0
     with pytest.raises(ValueError):
         stores.record(feedback, spark.createDataFrame([("q", "great")], "question string, verdict string"))
+
+
+def test_documents_are_written(spark, tmp_path):
+    stored = saved.store_documents(spark.createDataFrame([], "document_name string, content binary, size_bytes bigint, uploaded_at timestamp"), spark.createDataFrame([("a.md", b"x"), ("b.md", b""), (None, b"y")], "document_name string, content binary"))
+    assert sorted(tuple(r) for r in saved.write_documents(stored, f"file://{tmp_path}/docs").collect()) == [("a.md", 1), ("b.md", 0)]
+    assert (tmp_path / "docs" / "a.md").read_bytes() == b"x" and saved.document_bytes(stored, "a.md").first().content == b"x" and saved.document_bytes(stored, "z").count() == 0
+    from quarrystone.sources.documents import parse
+
+    aids = spark.createDataFrame([(1, "T", ["p\u0001"], None, [["h", "k"], ["a", "b"]], " "), (2, None, None, None, None, None)], "id bigint, title string, priorities array<string>, framing string, table array<array<string>>, summary string")
+    files = {r.path: bytes(r.content) for r in saved.aid_files(aids).collect()}
+    assert [(b["type"], b["text"]) for b in parse("x.docx", files["sales_aid_1.docx"])] == [("heading", "T"), ("heading", "Customer Priorities"), ("list_item", "p"), ("table", "a: k: b")] and parse("x.docx", files["sales_aid_2.docx"]) == []
