@@ -10,7 +10,7 @@ from quarrystone.llm.mixing import mixture
 from quarrystone.llm.neardup import EXPAND, groups, similar_pairs
 from quarrystone.llm.pairs import broken_pairs
 from quarrystone.llm.scans import repaired_pages, repaired_paragraphs, scan_defects
-from quarrystone.llm.splitting import oversized_ids, split_texts
+from quarrystone.llm.splitting import CLOSERS, FULL_WIDTH_ENDS, LINE_ENDS, SENTENCE_ENDS, SPACES, oversized_ids, split_texts
 from quarrystone.llm.stuffing import shape_report, stuffed_pages
 from quarrystone.llm.tokenizing import encode_ids
 from quarrystone.tables import table
@@ -116,4 +116,18 @@ def oracle_sql() -> dict[str, str]:
         named AS (SELECT u, min(v) AS group_id FROM reach GROUP BY u), linked AS (SELECT u, count(*) AS links FROM edges GROUP BY u)
         SELECT m.row_id, m.class_id, coalesce(named.group_id, m.class_id) AS group_id, coalesce(linked.links, 0) AS links FROM m LEFT JOIN named ON named.u = m.class_id LEFT JOIN linked ON linked.u = m.class_id
     """
-    return {"p3_found": p3, "p3_groups": groups_sql, "p7_found": "SELECT row_id FROM chunks WHERE length(text) > 1200"}
+    # Cuts one after another: from each, the farthest strong boundary in reach of the piece that starts with the overlap words, else the farthest beside a blank, else as far as it goes.
+    quote = lambda chars: chars.replace("'", "''")
+    pieces = f"""
+        WITH RECURSIVE o AS (SELECT row_id, section_heading, text, regexp_extract_all(text, '(?s).') AS cs FROM chunks WHERE length(text) > 1200),
+        c AS (SELECT row_id, unnest(cs) AS ch, generate_subscripts(cs, 1) AS i FROM o),
+        d AS (SELECT row_id, i, contains('{quote(SPACES)}', ch) AS sp, contains('{quote(LINE_ENDS)}', ch) AS ln, contains('{quote(CLOSERS)}', ch) AS cl, contains('{quote(SENTENCE_ENDS)}', ch) AS e0, contains('{quote(FULL_WIDTH_ENDS)}', ch) AS w0 FROM c),
+        e AS (SELECT *, e0 OR (cl AND lag(e0, 1, false) OVER w) OR (cl AND lag(cl, 1, false) OVER w AND lag(e0, 2, false) OVER w) OR (cl AND lag(cl, 1, false) OVER w AND lag(cl, 2, false) OVER w AND lag(e0, 3, false) OVER w) AS ended,
+            w0 OR (cl AND lag(w0, 1, false) OVER w) AS wide, lag(sp, 1, true) OVER w AS sp0, lead(sp, 1, false) OVER w AS sp1, lead(sp, 1, true) OVER w AS edge FROM d WINDOW w AS (PARTITION BY row_id ORDER BY i)),
+        f AS (SELECT row_id, max(i) AS n, list(i ORDER BY i) FILTER ((ended AND sp1) OR wide OR ln) AS strong, list(i ORDER BY i) FILTER (sp OR sp1) AS weak, list(i - 1 ORDER BY i) FILTER (NOT sp AND sp0) AS heads, list(i ORDER BY i) FILTER (NOT sp AND edge) AS tails FROM e GROUP BY row_id),
+        b(row_id, k, start, cut) AS (SELECT row_id, 0, 0, coalesce(list_max(list_filter(list_append(strong, n), lambda x: x <= 1200)), list_max(list_filter(weak, lambda x: x <= 1200)), 1200) FROM f
+            UNION ALL SELECT row_id, k + 1, opens, coalesce(list_max(list_filter(list_append(strong, n), lambda x: x > cut AND x <= opens + 1200)), list_max(list_filter(weak, lambda x: x > cut AND x <= opens + 1200)), least(opens + 1200, n))
+                FROM (SELECT f.*, b.k, b.cut, CASE WHEN greatest(len(list_filter(tails, lambda x: x <= b.cut)) - 10, len(list_filter(heads, lambda x: x < b.cut - 600))) < len(list_filter(tails, lambda x: x <= b.cut)) THEN heads[greatest(len(list_filter(tails, lambda x: x <= b.cut)) - 10, len(list_filter(heads, lambda x: x < b.cut - 600)), 0) + 1] ELSE b.cut END AS opens FROM b JOIN f ON f.row_id = b.row_id AND b.cut < f.n))
+        SELECT b.row_id, CAST(k AS INTEGER) AS chunk_index, CAST(start AS BIGINT) AS start_char, CAST(cut AS BIGINT) AS end_char, section_heading, array_to_string(cs[start + 1 : cut], '') AS text FROM b JOIN o ON o.row_id = b.row_id
+    """
+    return {"p3_found": p3, "p3_groups": groups_sql, "p7_pieces": pieces, "p7_found": "SELECT row_id FROM chunks WHERE length(text) > 1200"}
