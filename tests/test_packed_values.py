@@ -62,3 +62,36 @@ def test_blanks_and_quotes_of_any_number():
     s.split('"a' * 50_000)
     s.split('" ' * 50_000 + "x")
     assert time.perf_counter() - began < 5
+
+
+def test_cover_against_all_subsets():
+    """The dynamic program protects as many characters as the best of all sets of values that do not overlap, with as few values."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(2)
+    for _ in range(150):
+        known = ["".join(rng.choice(["a", "b", ", ", "; ", "/"]) for _ in range(rng.randint(2, 5))).strip(" ;,/") for _ in range(5)]
+        known = [k for k in known if any(c in k for c in ",;/")]
+        s = Splitter(known)
+        text = "".join(rng.choice([*known, "a", "b", ", ", "; ", "/"] if known else ["a", ", "]) for _ in range(6)).lower()
+        got = s._cover(text)
+        spans = []
+        if s.any:
+            single = [Splitter([k]) for k in known]
+            spans = list({x for one in single for x in one._cover(text)} | {x for one in single for end, size in (one.automaton.iter(text) if one.any else ()) for x in [(end + 1 - size, end + 1)] if x in one._cover(text[: x[1]] + text[x[1] :])})
+        best = (0, 0)
+        for r in range(min(4, len(spans)) + 1):
+            for chosen in combinations(sorted(spans), r):
+                if all(a[1] <= b[0] for a, b in zip(chosen, chosen[1:])):
+                    best = max(best, (sum(e - b for b, e in chosen), -len(chosen)))
+        assert (sum(e - b for b, e in got), -len(got)) >= best, (known, text)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def test_quotes_close_at_the_first_place_that_may():
+    s = Splitter([])
+    assert s.split('"a, b" c", d') == ('a, b" c', "d") and s.split('"a" "b", c') == ('a" "b', "c")
+    assert s.split("'it's, so'; x") == ("it's, so", "x")
+    assert s.split("“a; b”, c") == ("a; b", "c") and s.split("«a / b» / c") == ("a / b", "c")
+    assert s.split('"lid, never closed') == ('"lid', "never closed")
