@@ -111,3 +111,22 @@ def test_verdict_is_the_same_in_a_larger_corpus(spark):
     more = [(1000 + k, f"{PROSE} Note {k} of hall {k % 17}.") for k in range(10 * len(own))]
     alone, among = (sorted(r.doc_id for r in stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) for rows in (own, own + more))
     assert alone == among == list(STUFFED)
+
+
+def test_shares_against_all_phrases_at_once(spark):
+    """The filter, the join and the early decisions give what counting every page with all listed phrases gives."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarrystone.llm.stuffing import listed_phrases, page_lines
+
+    rng = random.Random(9)
+    lines = [PROSE, _many(", ", 8), _many(" | ", 6), "Order a gas sensor today. The leak tester of hall 3 was sold.", "Spare kit: AB-12 (lid)", "https://a.example/x", "Buy sensor online now, gas sensor tomorrow.", "", "#gas #leak #x", "Overview"]
+    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 7))) if k % 9 else None) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = frozenset(tuple(r.phrase.split(" ")) for r in listed_phrases(page_lines(df)).collect())
+    want = {k: page(t, known)[0] for k, t in rows}
+    assert known and {r.doc_id: round(r.stuffed, 9) for r in shares(df).collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == sorted(k for k, v in want.items() if v > 0.5)
+    assert df.filter(F.col("doc_id") < 0).count() == 0
