@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions import units
 from quarrystone.functions.text import STOPWORDS, keywords
 from quarrystone.operators import cells, chunking, guard, naming, registry, stores, vectors
 from quarrystone.operators import dispatch as dispatching
@@ -287,9 +288,10 @@ def token_df_distinctive(spark, d):
     return naming.token_frequency(table(spark, d, "products", "product_name"))
 
 
-@_add(f"{_TOKENS} SELECT token, names AS members FROM c, z WHERE names > most")
+@_add(_TOKENS.replace("SELECT DISTINCT product_name FROM products", "SELECT DISTINCT install_type || ' ' || product_name AS product_name FROM products") + " SELECT token, names AS members FROM c, z WHERE names > most")
 def token_family(spark, d):
-    return naming.families(table(spark, d, "products", "product_name"))
+    """Tokens that most names share, of names with the way of installation before them."""
+    return naming.families(table(spark, d, "products", "product_name", "install_type").select(F.concat("install_type", F.lit(" "), "product_name").alias("product_name")))
 
 
 _SAID = "SELECT DISTINCT row_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM chunks WHERE text IS NOT NULL"
@@ -354,10 +356,11 @@ def suggested_code(spark, d):
     return registry.suggested_code(table(spark, d, "products", "product_id", "nomenclature"))
 
 
-@_add("SELECT l_orderkey, l_linenumber, l_quantity * 100 AS ppm, l_quantity * 100 / 10000 AS percent_vv, l_quantity * 100 / 10000 * 25 AS percent_lel, l_quantity * 100 BETWEEN 1000 AND 3000 AS inside FROM lineitem")
+@_add("SELECT l_orderkey, l_linenumber, l_quantity * 100 AS ppm, l_quantity * 100 / 10000 AS percent_vv, l_quantity * 100 / 10000 * 100 / 4 AS percent_lel, l_quantity * 100 BETWEEN 1000 AND 3000 AS inside FROM lineitem")
 def unit_convert(spark, d):
-    ppm = F.col("l_quantity") * 100
-    return table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber", ppm.alias("ppm"), (ppm / 10000).alias("percent_vv"), (ppm / 10000 * 25).alias("percent_lel"), ppm.between(1000, 3000).alias("inside"))
+    """Amounts in all units, and whether a range has them."""
+    c = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").withColumn("c", units.from_ppm(F.col("l_quantity") * 100))
+    return c.select("l_orderkey", "l_linenumber", "c.ppm", "c.percent_vv", "c.percent_lel", units.contains(units.from_ppm(F.lit(1000)), units.from_percent_vv(F.lit(0.3)), F.col("c")).alias("inside"))
 
 
 _LINES = "SELECT doc_id, i, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)"
