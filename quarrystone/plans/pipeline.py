@@ -122,34 +122,52 @@ def _search(index: DataFrame, asked: DataFrame) -> DataFrame:
     """``(search, row_id, sim, by_word)``: per task the n best chunks of every search, and the best of those that contain a keyword.
 
     A keyword of letters and digits stands inside one run of them, so that each run is compared with the keywords once. Of the
-    chunks with a keyword, so many more are kept as the n best can take away again.
+    chunks with a keyword, so many more are kept as the n best can take away again. A question is compared with a chunk once, however many
+    of its products are searched; ``vectors.BLOCK`` questions go into one pass over the chunks.
     """
     src = index.select("row_id", "product_name", "text", "embedding").filter("embedding is not null")
-    blocks: list[list] = [[]]
-    for row in asked.select("search", "part", "product_name", "n", "embedding", "words").toLocalIterator():
-        if len(blocks[-1]) == vectors.BLOCK:
+    blocks: list[list[dict]] = []
+    ids: set[int] = set()
+    for row in asked.select("search", "id", "part", "product_name", "n", "embedding", "words").orderBy("id").toLocalIterator():
+        if not blocks or (row.id not in ids and len(ids) >= vectors.BLOCK):
             blocks.append([])
+            ids = set()
+        ids.add(row.id)
         blocks[-1].append(row.asDict())
     out = None
-    for block in filter(None, blocks):
+    for block in blocks:
         part = src.mapInArrow(_searcher(block), "search bigint, row_id bigint, sim double, by_word boolean")
         out = part if out is None else out.unionByName(part)
     return index.sparkSession.createDataFrame([], "search bigint, row_id bigint, sim double, by_word boolean") if out is None else out
 
 
+#: Chunks that are compared at once.
+SLICE = 2000
+
+
 def _searcher(block: list[dict]):
-    matrix = np.array([r["embedding"] for r in block], np.float64)
+    questions = {r["id"]: k for k, r in reversed(list(enumerate(block)))}
+    place = {q: j for j, q in enumerate(questions)}
+    matrix = np.array([block[k]["embedding"] for k in questions.values()], np.float64)
     unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     known = {w: j for j, w in enumerate(sorted({w for r in block if r["part"] == "main" for w in r["words"] or ()}))}
-    wanted = np.zeros((len(block), len(known)), np.float32)
-    for i, r in enumerate(block):
+    wanted = np.zeros((len(unit), len(known)), np.float32)
+    # Searches of one product and one number go together: which questions, which searches.
+    groups: dict[tuple, tuple[list[int], list[int]]] = {}
+    for r in block:
         if r["part"] == "main":
-            wanted[i, [known[w] for w in r["words"] or ()]] = 1
+            wanted[place[r["id"]], [known[w] for w in r["words"] or ()]] = 1
+        for by_word, n in ((False, r["n"]), (True, r["n"] + KEYWORD_EXTRAS)):
+            if not by_word or (r["part"] == "main" and r["words"]):
+                asked, searches = groups.setdefault((r["product_name"], by_word, n), ([], []))
+                asked.append(place[r["id"]])
+                searches.append(r["search"])
+    plans = [(product, by_word, n, np.array(asked), np.array(searches)) for (product, by_word, n), (asked, searches) in groups.items()]
+    products = {p for p, *_ in plans} - {None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[int]] = {}
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        least = np.full((len(block), 2), -np.inf)
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def inside(token: str) -> list[int]:
             found = memo.get(token)
@@ -160,8 +178,10 @@ def _searcher(block: list[dict]):
             return found
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
+                batch = batch.take(pa.array(order))  # by id: of equal chunks the first counts
                 row = batch.column(0).to_numpy(zero_copy_only=False)
                 product = np.array(batch.column(1).to_pylist(), object)
                 has = np.zeros((batch.num_rows, len(known)), np.float32)
@@ -169,28 +189,33 @@ def _searcher(block: list[dict]):
                     for token in set(re.findall("[a-z0-9]+", text.lower())):
                         if js := inside(token):
                             has[i, js] = 1
-                v = np.array(batch.column(3).to_pylist(), np.float64)
+                v = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(row), -1)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                places = {p: np.flatnonzero(product == p) for p in {r["product_name"] for r in block} - {None}}
-                everywhere = np.arange(len(row))
                 sims = np.round(unit @ v.T, 5) + 0.0
                 hit = wanted @ has.T > 0
-                for i, r in enumerate(block):
-                    own = everywhere if r["product_name"] is None else places[r["product_name"]]
-                    for by_word, n in ((0, r["n"]), (1, r["n"] + KEYWORD_EXTRAS)):
-                        some = own[(sims[i, own] >= least[i, by_word]) & (hit[i, own] if by_word else True)]
-                        if not len(some):
-                            continue
-                        ids, s = row[some], sims[i, some]
-                        if (i, by_word) in best:
-                            ids, s = np.concatenate([best[i, by_word][0], ids]), np.concatenate([best[i, by_word][1], s])
-                        order = np.lexsort((ids, -s))[:n]
-                        best[i, by_word] = ids[order], s[order]
-                        if len(order) == n:
-                            least[i, by_word] = s[order[-1]]
-        if best:
-            out = [(np.full(len(ids), block[i]["search"]), ids, s, np.full(len(ids), by_word == 1)) for (i, by_word), (ids, s) in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["search", "row_id", "sim", "by_word"])
+                places = {p: np.flatnonzero(product == p) for p in products & set(product)}
+                for g, (name, by_word, n, asked, _) in enumerate(plans):
+                    own = np.arange(len(row)) if name is None else places.get(name)
+                    if own is None or not len(own):
+                        continue
+                    near = sims[np.ix_(asked, own)]
+                    if by_word:
+                        near = np.where(hit[np.ix_(asked, own)], near, -np.inf)
+                    if near.shape[1] > n:
+                        # Whole numbers that order by similarity, then by id.
+                        key = np.where(np.isfinite(near), np.rint(-near * 1e5), 1e9).astype(np.int64) * SLICE + np.arange(len(own))
+                        top = np.argpartition(key, n - 1, axis=1)[:, :n]
+                        near, ids = np.take_along_axis(near, top, axis=1), row[own][top]
+                    else:
+                        ids = np.broadcast_to(row[own], near.shape)
+                    if g in best:
+                        near, ids = np.concatenate([best[g][0], near], axis=1), np.concatenate([best[g][1], ids], axis=1)
+                    kept = np.lexsort((ids, -near), axis=1)[:, :n]
+                    best[g] = np.take_along_axis(near, kept, axis=1), np.take_along_axis(ids, kept, axis=1)
+        for g, (near, ids) in best.items():
+            fine = np.isfinite(near)
+            searches = np.broadcast_to(plans[g][4][:, None], near.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(searches[fine]), pa.array(ids[fine]), pa.array(near[fine]), pa.array(np.full(int(fine.sum()), plans[g][1]))], ["search", "row_id", "sim", "by_word"])
 
     return run
 
