@@ -9,6 +9,8 @@ from quarrystone.functions.text import longest_contained
 
 #: Vocabularies of the typed facts.
 TYPES, INSTALLS, TECHNOLOGIES = ["Leak Detector", "Analyzer"], ["Portable", "Fixed"], ["Solid State Electrochemical", "CMOS MEMS", "MEMS"]
+#: Characters that tell the typed facts, of a text and of its line of technology.
+FACT_CHARS, LINE_CHARS = 4000, 200
 TECHNOLOGY_ALIASES = {"SSEC": "Solid State Electrochemical", "MEMS": "MEMS"}
 
 
@@ -46,9 +48,14 @@ def suggested_code(products: DataFrame) -> DataFrame:
 
 
 def typed_facts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Product type, way of installation and technology that a text names, Unknown where it names none."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return texts.select(F.col(id_col).alias("id"), longest_contained(t, TYPES).alias("product_type"), longest_contained(t, INSTALLS).alias("install_type"), longest_contained(t, TECHNOLOGIES).alias("technology"))
+    """Product type, way of installation and technology that the first characters of a text name, Unknown where they name none.
+
+    The technology is that of the line ``Technology:``, wherever it stands, if it names one.
+    """
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    t, line = F.substring(whole, 1, FACT_CHARS), F.substring(F.regexp_extract(whole, r"Technology:\s*(.+)", 1), 1, LINE_CHARS)
+    told = longest_contained(line, TECHNOLOGIES)
+    return texts.select(F.col(id_col).alias("id"), longest_contained(t, TYPES).alias("product_type"), longest_contained(t, INSTALLS).alias("install_type"), F.when(told != "Unknown", told).otherwise(longest_contained(t, TECHNOLOGIES)).alias("technology"))
 
 
 def catalog(products: DataFrame, product_type: str | None = None, install_type: str | None = None, technology: str | None = None) -> DataFrame:

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.operators.registry import INSTALLS, TECHNOLOGIES, TYPES
+from quarrystone.operators.registry import FACT_CHARS, INSTALLS, LINE_CHARS, TECHNOLOGIES, TYPES
 
-#: Headings over an ordering code; how far the lines of codes and meanings may stand behind; characters that tell the typed facts.
+#: Headings over an ordering code; how far the lines of codes and meanings may stand behind.
 HEADINGS = ["product ordering nomenclature", "product ordering information"]
-LINES, MEANINGS, FACT_CHARS, TECHNOLOGY_CHARS = 9, 7, 4000, 200
+LINES, MEANINGS = 9, 7
 UNKNOWN = "Unknown"
 _MEANING = re.compile(r"^([A-Za-z0-9%]{1,4})\s*[-–]\s*(\S.*)$", re.S)
 _PAIRS = pa.list_(pa.struct([("code", pa.string()), ("text", pa.string())]))
@@ -211,7 +211,7 @@ def build_registry(documents: DataFrame, names: DataFrame, vocabulary: dict[str,
             out = F.when(F.contains(F.lower(text), F.lit(t.lower())), F.lit(t)).otherwise(out)
         return out
 
-    line = F.substring(F.regexp_extract(F.coalesce("text", F.lit("")), r"Technology:\s*(.+)", 1), 1, TECHNOLOGY_CHARS)
+    line = F.substring(F.regexp_extract(F.coalesce("text", F.lit("")), r"Technology:\s*(.+)", 1), 1, LINE_CHARS)
     docs = documents.filter(F.lower("filename").endswith(".docx"))
     coded = ordering_codes(docs)
     whole = docs.join(coded, "filename").join(names.withColumnRenamed("document_name", "filename"), "filename", "left")

@@ -172,7 +172,7 @@ def claim_check(spark, d):
     return out.select("id", "category", F.size("matched").alias("matched"), F.size("unsupported").alias("unsupported"), "blocked")
 
 
-@_add("SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}'), lambda e: rtrim(lower(e), '.')))) AS addresses, len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}'), lambda e: rtrim(lower(e), '.')), lambda e: NOT contains(lower(coalesce(title, '')), e)))) AS ungrounded FROM documents")
+@_add("SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_.+\\-]+@[a-zA-Z0-9\\-]+\\.[a-zA-Z0-9.\\-]+'), lambda e: rtrim(lower(e), '.')))) AS addresses, len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_.+\\-]+@[a-zA-Z0-9\\-]+\\.[a-zA-Z0-9.\\-]+'), lambda e: rtrim(lower(e), '.')), lambda e: NOT contains(lower(coalesce(title, '')), e)))) AS ungrounded FROM documents")
 def email_grounding(spark, d):
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(guard.EMAIL), F.lit(0)), lambda e: F.rtrim(F.lower(e), F.lit("."))))
     return table(spark, d, "documents", "doc_id", "text", "title").select("doc_id", F.size(found).alias("addresses"), F.size(F.array_distinct(guard.ungrounded_addresses(F.col("text"), F.col("title")))).alias("ungrounded"))
@@ -317,7 +317,7 @@ def alias_longest(spark, d):
     return naming.longest_alias(table(spark, d, "chunks", "row_id", "text"), "row_id", "text", table(spark, d, "products", "product_id", "product_name", "aliases"))
 
 
-@_add("SELECT id, CASE WHEN contains(t, 'leak detector') THEN 'Leak Detector' WHEN contains(t, 'analyzer') THEN 'Analyzer' ELSE 'Unknown' END AS product_type, CASE WHEN contains(t, 'portable') THEN 'Portable' WHEN contains(t, 'fixed') THEN 'Fixed' ELSE 'Unknown' END AS install_type, CASE WHEN contains(t, 'solid state electrochemical') THEN 'Solid State Electrochemical' WHEN contains(t, 'cmos mems') THEN 'CMOS MEMS' WHEN contains(t, 'mems') THEN 'MEMS' ELSE 'Unknown' END AS technology FROM (SELECT doc_id AS id, lower(coalesce(text, '')) AS t FROM documents)")
+@_add("WITH t AS (SELECT doc_id AS id, lower(left(coalesce(text, ''), 4000)) AS t, lower(left(regexp_extract(coalesce(text, ''), 'Technology:\\s*(.+)', 1), 200)) AS line FROM documents) SELECT id, CASE WHEN contains(t, 'leak detector') THEN 'Leak Detector' WHEN contains(t, 'analyzer') THEN 'Analyzer' ELSE 'Unknown' END AS product_type, CASE WHEN contains(t, 'portable') THEN 'Portable' WHEN contains(t, 'fixed') THEN 'Fixed' ELSE 'Unknown' END AS install_type, CASE WHEN contains(line, 'solid state electrochemical') THEN 'Solid State Electrochemical' WHEN contains(line, 'cmos mems') THEN 'CMOS MEMS' WHEN contains(line, 'mems') THEN 'MEMS' WHEN contains(t, 'solid state electrochemical') THEN 'Solid State Electrochemical' WHEN contains(t, 'cmos mems') THEN 'CMOS MEMS' WHEN contains(t, 'mems') THEN 'MEMS' ELSE 'Unknown' END AS technology FROM t")
 def vocab_match(spark, d):
     return registry.typed_facts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
