@@ -233,8 +233,15 @@ def class_pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text",
     texts = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     first = texts.join(heads.select(F.col("class_id").alias("id")), "id", "left_semi")
     keys = band_keys(first, width).select("id", F.explode("keys").alias("key"))
-    near = materialise(candidates(keys, signatures(first, width), classes.count() * BANDS, similarity), "near")
-    looked = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    # Texts are shuffled by id once: the making of keys and the look at near pairs are one job and read the same shuffle.
+    near = candidates(keys, signatures(first, width), classes.count() * BANDS, similarity)
+    # The columns keep their names below the joins: renamed ones would be another shuffle.
+    plain = rows.select(id_col, text_col).filter(F.col(text_col).isNotNull())
+    looked = near.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    for side in "ab":
+        own = plain.alias(side)
+        looked = looked.join(own, F.col(f"_{side}") == F.col(f"{side}.`{id_col}`")).select("_a", "_b", *[c for c in looked.columns if c.startswith("_text")], F.col(f"{side}.`{text_col}`").alias(f"_text_{side}"))
+    looked = looked.toDF("a", "b", "text_a", "text_b")
     pairs = materialise(_exact(looked.select("a", "b", "text_a", "text_b"), width, similarity).dropDuplicates(["a", "b"]), "pairs")
     members = classes.join(heads, ["key1", "key2"]).select("id", "class_id", "copies")
     return members, pairs
