@@ -36,6 +36,7 @@ LINK = re.compile(r"\[[^\[\]\n]*+\]\([^()\s]*+\)|(?:https?://|www\.)\S+", re.I)
 ANCHOR = re.compile(r"<a\b[^<>]*+>", re.I)
 ANCHORED = re.compile(r"</a\s*>", re.I)
 TAG = re.compile(r"(?<![\w&])#\w[\w\-]*")
+PARTING = re.compile(r"[,|;•·*›»>→~\t–—/\-]")
 SEPARATOR = re.compile(r"\s*(?:[,|;•·*›»>→~]|\s[–—/\-]\s|\t)\s*")
 SENTENCE = re.compile(r"[^.!?。！？।…\n]*+[.!?。！？।…]++[\"')\]”»]*+(?=\s|$|[^\x00-\u024f])|[^.!?。！？।…\n]++|[^\s]")
 AMOUNT = re.compile(r"(?<![\w\-])[+\-±]?\d+(?:[.,:]\d+)*(?:\s*%)?(?![\w\-])")
@@ -95,7 +96,7 @@ def shape(line: str) -> tuple[str, str]:
     amounts = len(AMOUNT.findall(rest))
     if amounts * 12 >= n and amounts and not links and tags < 2 and rest.isascii() and (not ended or STAMP.search(rest)):
         return "data", f"w{_bin(n)} n+"  # whatever its separators
-    segments = len([s for s in SEPARATOR.split(rest.strip()) if s.strip()])
+    segments = len([s for s in SEPARATOR.split(rest.strip()) if s.strip()]) if PARTING.search(rest) else 1
     adorned = 0 if rest.isascii() else len([s for s in ADORNED.split(rest) if s.strip()])
     capital = sum(map(str.isupper, [w[0] for w in words]))
     look = f"w{_bin(n)} c{'0' if not capital else 'all' if capital == n else 'some'} s{_bin(max(segments, adorned))} l{_bin(links)} t{_bin(tags)} n{'0' if not amounts else '+'}{' .' if ended else ''}"
@@ -160,7 +161,6 @@ def _lines(text: str) -> tuple[int, list[str], Groups, list[tuple[str, str]]]:
         found[1] += size
         if kind == "sentence":
             prose.append(line)
-            number[kind] += 1 + len(INNER.findall(line))
             continue
         if kind == "data":
             continue
@@ -172,7 +172,7 @@ def _lines(text: str) -> tuple[int, list[str], Groups, list[tuple[str, str]]]:
         elif kind == "tag":
             number[kind] += max(1, len(TAG.findall(line)))
     for kind, least in (("link", FEW), ("tag", FEW // 2)):
-        if 0 < number[kind] < least and number[kind] <= 2 * number["sentence"]:
+        if 0 < number[kind] < least and number[kind] <= 2 * sum(1 + len(INNER.findall(line)) for line in prose):
             few += [key for key in groups if key[0] == kind]
     for key in few:
         groups["few " + key[0] + "s", key[1]] = groups.pop(key)
