@@ -145,7 +145,8 @@ def band_keys(texts: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                 key = np.full(len(starts) - 1, b + 1, np.uint64)
                 for r in range(rows):
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) ^ minima[b * rows + r])
-                keys[:, b] = key >> np.uint64(22)  # 42 bits: a chance meeting only costs a look at the signature
+                # 42 bits, as a chance meeting only costs a look at the signature; the others are zero, beside those of the row, so that they are shuffled for little.
+                keys[:, b] = key & ~np.uint64((1 << 22) - 1)
             flat = pa.array(keys.ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), flat)], ["id", "keys"])
 
@@ -206,7 +207,7 @@ def candidates(keys: DataFrame, signs: DataFrame, rows: int, similarity: float,
     of one text, go no further. The texts of the others take their signature along, so that the bits are compared inside the join and only near pairs come out of it.
     """
     words = [c for c in signs.columns if c != "id"]
-    spread = keys.filter("id is not null and key is not null").repartition(max(1, -(-rows // rows_a_task)), "key")
+    spread = keys.filter("id is not null and key is not null").select("key", "id").repartition(max(1, -(-rows // rows_a_task)), "key")
     # The count looks at the ids too, and both leave out nulls, so that it reads the same shuffle as the join.
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "n")
     met = _block_pairs(spread.join(shared.hint("shuffle_hash"), "key").join(signs, "id"), block)
@@ -232,7 +233,7 @@ def class_pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text",
     heads = classes.groupBy("key1", "key2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     texts = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     first = texts.join(heads.select(F.col("class_id").alias("id")), "id", "left_semi")
-    keys = band_keys(first, width).select("id", F.explode("keys").alias("key"))
+    keys = band_keys(first, width).select(F.explode("keys").alias("key"), "id")
     # Texts are shuffled by id once: the making of keys and the look at near pairs are one job and read the same shuffle.
     near = candidates(keys, signatures(first, width), classes.count() * BANDS, similarity)
     # The columns keep their names below the joins: renamed ones would be another shuffle.
