@@ -239,7 +239,7 @@ def range_contains(spark, d):
     return x.select("l_orderkey", "l_linenumber", unit.contains(unit.from_ppm(F.lit(2000)), unit.from_percent_lel(F.col("p_size")), unit.from_percent_lel(F.col("l_quantity"))).alias("inside"))
 
 
-@_add("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ppm' WHEN 1 THEN 'percent_vv' ELSE 'percent_lel' END AS target, CASE WHEN p_partkey % 3 <> 0 THEN p_size * 100.0 ELSE p_size * 400.0 END AS ppm FROM part")
+@_add("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ppm' WHEN 1 THEN 'percent_vv' ELSE 'percent_lel' END AS target, CASE WHEN p_partkey % 3 <> 0 THEN (p_size * 100)::DOUBLE ELSE (p_size * 400)::DOUBLE END AS ppm FROM part")
 def conversions(spark, d):
     """Amounts that questions ask to convert."""
     question = F.concat(F.lit("What is "), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" % LEL in ppm?"))).when(F.col("p_partkey") % 3 == 1, F.concat((F.col("p_size") * 100).cast("string"), F.lit(" ppm in percent, please?"))).otherwise(F.concat(F.format_number(F.col("p_size") * 100, 0), F.lit(" ppm into % LEL"))))
@@ -381,15 +381,15 @@ def feedback_chart(spark, d):
     return stores.chart(table(spark, d, "feedback"))
 
 
-@_add("SELECT id, created_at, company FROM requirements ORDER BY created_at DESC, id DESC LIMIT 100")
+@_add("SELECT id, CAST(created_at AS DATE) AS day, company FROM requirements ORDER BY created_at DESC, id DESC LIMIT 100")
 def requirements_list(spark, d):
     """The latest requirements; the limit is the feature."""
-    return stores.newest(table(spark, d, "requirements", "id", "created_at", "company"), 100)
+    return stores.newest(table(spark, d, "requirements", "id", "created_at", "company"), 100).select("id", F.to_date("created_at").alias("day"), "company")
 
 
-@_add("SELECT id, created_at, use_case FROM (SELECT DISTINCT id, created_at, use_case FROM sales_aids) ORDER BY created_at DESC, id DESC LIMIT 100")
+@_add("SELECT id, CAST(created_at AS DATE) AS day, use_case FROM (SELECT DISTINCT id, created_at, use_case FROM sales_aids) ORDER BY created_at DESC, id DESC LIMIT 100")
 def sales_aids_list(spark, d):
-    return stores.newest(table(spark, d, "sales_aids", "id", "created_at", "use_case").distinct(), 100)
+    return stores.newest(table(spark, d, "sales_aids", "id", "created_at", "use_case").distinct(), 100).select("id", F.to_date("created_at").alias("day"), "use_case")
 
 
 # What stands around answers.
