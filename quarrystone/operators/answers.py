@@ -12,6 +12,9 @@ from quarrystone.operators.settings import source_label
 #: The file of approved claims, which is no evidence for a restricted claim, and how confidence is shown.
 CLAIMS_FILE = "Approved_Claims.md"
 SHOWN = {"high": "High", "low": "Low"}
+#: The parts of a message to a model, and what stands where nothing was found.
+INTENT, EXCERPTS, QUESTION = "Question intent: ", "Approved knowledge base excerpts:\n", "Question: "
+NO_EXCERPTS = "(no approved excerpts were retrieved for this question)"
 #: Units of a conversion as they are said.
 SAID = {"ppm": "ppm", "percent_vv": "% v/v", "percent_lel": "% LEL"}
 
@@ -73,8 +76,7 @@ def user_message(matches: DataFrame, questions: DataFrame) -> DataFrame:
     where = source_label(F.col("section_heading"), F.col("page_number"), F.col("slide_number"))
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "document_name", F.lit(" ("), where, F.lit("):\n"), F.coalesce("text", F.lit(""))).alias("b")
     blocks = matches.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block))), lambda x: x["b"]), "\n\n").alias("blocks"))
-    none = F.lit("(no approved excerpts were retrieved for this question)")
-    text = F.concat(F.lit("Question intent: "), "intent", F.lit("\n\nApproved knowledge base excerpts:\n"), F.coalesce("blocks", none), F.lit("\n\nQuestion: "), "question")
+    text = F.concat(F.lit(INTENT), "intent", F.lit("\n\n" + EXCERPTS), F.coalesce("blocks", F.lit(NO_EXCERPTS)), F.lit("\n\n" + QUESTION), "question")
     return questions.join(blocks, "query_id", "left").select("query_id", text.alias("message"))
 
 

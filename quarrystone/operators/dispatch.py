@@ -18,6 +18,8 @@ from quarrystone.operators.settings import picked_field
 FIELDS = {"resolution": "Resolution", "minimum detection limit": "MDL", "detection limit": "MDL", "mdl": "MDL", "accuracy": "Accuracy", "span": "Span", "start": "Start"}
 #: Vocabulary of the typed facts and abbreviations of technologies.
 VOCABULARY = {"product_type": registry.TYPES, "install_type": registry.INSTALLS, "technology": registry.TECHNOLOGIES}
+#: Wordings of the answers that are given at once.
+FAMILY, MATCH, NOTHING, EVERYTHING = ' product(s) in the "', " product(s) match ", "No approved products are documented with ", "the approved catalog"
 #: The rules in their order, and whether they answer at once or narrow the search.
 RULES = {"decode": "direct", "one_product": "scoped", "family_list": "direct", "several_products": "scoped", "catalog": "direct", "attribute": "scoped", "whole_catalog": "scoped", "search": "search"}
 
@@ -142,14 +144,14 @@ def dispatch(
     out = all_.withColumn("chosen", pick(("members", "fit", "listed", "every"), "products")).withColumn("documents", pick(("member_documents", "fit_documents", "listed_documents", "every_document"), "catalogues"))
     by_field = F.array_distinct(F.transform("filters", lambda f: f["field"]))
     label = F.array_join(F.transform(by_field, lambda f: F.concat(F.replace(f, F.lit("_"), F.lit(" ")), F.lit(' "'), F.array_join(F.transform(F.filter("filters", lambda x: x["field"] == f), lambda x: x["value"]), " or "), F.lit('"'))), " and ")
-    label = F.when(some, label).otherwise(F.lit("the approved catalog"))
+    label = F.when(some, label).otherwise(F.lit(EVERYTHING))
     names = F.array_join("chosen", ", ")
     count = F.size("chosen").cast("string")
     text = (
         F.when(F.col("rule") == "decode", F.col("answer"))
-        .when(F.col("rule") == "family_list", F.concat(count, F.lit(' product(s) in the "'), "family", F.lit('" family: '), names, F.lit(".")))
-        .when((F.col("rule") == "catalog") & (F.size("chosen") == 0), F.concat(F.lit("No approved products are documented with "), label, F.lit(".")))
-        .when(F.col("rule") == "catalog", F.concat(count, F.lit(" product(s) match "), label, F.lit(": "), names, F.lit(".")))
+        .when(F.col("rule") == "family_list", F.concat(count, F.lit(FAMILY), "family", F.lit('" family: '), names, F.lit(".")))
+        .when((F.col("rule") == "catalog") & (F.size("chosen") == 0), F.concat(F.lit(NOTHING), label, F.lit(".")))
+        .when(F.col("rule") == "catalog", F.concat(count, F.lit(MATCH), label, F.lit(": "), names, F.lit(".")))
     )
     kind = F.lit("search")
     for r, k in RULES.items():

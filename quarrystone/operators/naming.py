@@ -119,13 +119,17 @@ def known_products(rows: DataFrame, products: DataFrame, name: str = "product_na
 PLAIN_WORDS = frozenset("brochure catalog catalogue datasheet draft final manual product range series sheet version detector detectors device fixed gas hydrogen portable sensor sensors unit and for of the with".split())
 
 
+#: Fixed value: what stands before the product's name in the file names of catalogues.
+MARKED_FILE = "(?i)catalogu?e_"
+
+
 def file_tokens(filename: Column) -> Column:
     """Tokens of a file name that may name a product: behind ``Catalogue_`` all up to brackets, else those of three characters or more that are no plain word."""
     stem = F.regexp_replace(filename, r"\.[^.]*$", "")
-    core = F.regexp_replace(F.regexp_extract(stem, r"(?i)catalogu?e_(.*)$", 1), r"\([^)]*\)", "")
+    core = F.regexp_replace(F.regexp_extract(stem, MARKED_FILE + "(.*)$", 1), r"\([^)]*\)", "")
     plain = F.array(*map(F.lit, sorted(PLAIN_WORDS)))
     telling = F.filter(tokens(stem), lambda t: (F.length(t) >= 3) & ~F.array_contains(plain, t))
-    return F.array_distinct(F.when(stem.rlike("(?i)catalogu?e_"), tokens(core)).otherwise(telling))
+    return F.array_distinct(F.when(stem.rlike(MARKED_FILE), tokens(core)).otherwise(telling))
 
 
 def clean_code_heading(heading: Column) -> Column:

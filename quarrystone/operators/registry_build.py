@@ -22,7 +22,9 @@ from quarrystone.operators.registry import FACT_CHARS, INSTALLS, LINE_CHARS, TEC
 HEADINGS = ["product ordering nomenclature", "product ordering information"]
 LINES, MEANINGS = 9, 7
 UNKNOWN = "Unknown"
+#: A code with its meaning in a list, and a code in brackets.
 _MEANING = re.compile(r"^([A-Za-z0-9%]{1,4})\s*[-–]\s*(\S.*)$", re.S)
+_BRACKETED = re.compile(r"\((\w{1,3})\)")
 _PAIRS = pa.list_(pa.struct([("code", pa.string()), ("text", pa.string())]))
 _SEGMENT = pa.struct([("pos", pa.int32()), ("code", pa.string()), ("label", pa.string()), ("values", _PAIRS)])
 _CHOICE = pa.struct([("label", pa.string()), ("values", _PAIRS)])
@@ -58,8 +60,8 @@ def _columns_of_codes(grid: Grid, codes: list[str]) -> dict[int, tuple[str, str]
             return found
     out = {}
     for j, cell in enumerate(grid[0]):
-        if j and (m := re.search(r"\((\w{1,3})\)", cell)):
-            out[j] = (m[1], re.sub(r"\s*\(\w{1,3}\)\s*", " ", cell).strip())
+        if j and (m := _BRACKETED.search(cell)):
+            out[j] = (m[1], " ".join(p.strip() for p in _BRACKETED.split(cell)[::2] if p.strip()))
     return out
 
 

@@ -80,8 +80,7 @@ def _found(index: DataFrame, asked: DataFrame, k: int, embedder: Embedder, named
 def _messages(asked: DataFrame, matches: DataFrame, *parts) -> DataFrame:
     """``(id, message)``: the excerpts of a request, then its parts."""
     told = settings.context(matches).withColumnRenamed("query_id", "id")
-    none = F.lit("(no approved excerpts were retrieved for this question)")
-    return asked.join(told, "id", "left").select("id", F.concat(F.lit("Approved knowledge base excerpts:\n"), F.coalesce("context", none), *parts).alias("message"))
+    return asked.join(told, "id", "left").select("id", F.concat(F.lit(answers.EXCERPTS), F.coalesce("context", F.lit(answers.NO_EXCERPTS)), *parts).alias("message"))
 
 
 def _guarded(rows: DataFrame, matches: DataFrame, question: str, text: str) -> DataFrame:
