@@ -40,8 +40,8 @@ def inflected(term: str) -> str:
 
 
 def any_term(terms: list[str]) -> str:
-    """One pattern for any of the terms, plural or not."""
-    return "|".join(inflected(t) for t in terms)
+    """One pattern for any of the terms, plural or not; what stands beside a term is looked at once for all."""
+    return _OPEN + "(?:" + "|".join(map(re.escape, terms)) + ")(?:e?s)?" + _SHUT
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
