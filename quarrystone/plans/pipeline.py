@@ -141,6 +141,20 @@ def _search(index: DataFrame, asked: DataFrame) -> DataFrame:
     return index.sparkSession.createDataFrame([], "search bigint, row_id bigint, sim double, by_word boolean") if out is None else out
 
 
+def _with_fresh(sims: np.ndarray, ids: np.ndarray, near: np.ndarray, row: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best of each line of ``sims`` with those of ``near`` that are marked as fresh: as many as before, by similarity, then by id."""
+    asked, n = sims.shape
+    q, c = np.nonzero(fresh)
+    if not len(q):
+        return sims, ids
+    line = np.concatenate([np.repeat(np.arange(asked), n), q])
+    value, which = np.concatenate([sims.ravel(), near[q, c]]), np.concatenate([ids.ravel(), row[c]])
+    order = np.lexsort((which, -value, line))
+    line = line[order]
+    kept = order[np.arange(len(line)) - np.searchsorted(line, np.arange(asked))[line] < n]
+    return value[kept].reshape(asked, n), which[kept].reshape(asked, n)
+
+
 #: Chunks that are compared at once.
 SLICE = 2000
 
@@ -201,6 +215,12 @@ def _searcher(block: list[dict]):
                     near = sims[np.ix_(asked, own)]
                     if by_word:
                         near = np.where(hit[np.ix_(asked, own)], near, -np.inf)
+                    if g in best and best[g][0].shape[1] == n:
+                        # Once n are known, only chunks as near as the last of them are looked at.
+                        fresh = near >= np.maximum(best[g][0][:, -1:], -1.0)
+                        if np.count_nonzero(fresh) <= 4 * best[g][0].size:
+                            best[g] = _with_fresh(*best[g], near, row[own], fresh)
+                            continue
                     if near.shape[1] > n:
                         # Whole numbers that order by similarity, then by id.
                         key = np.where(np.isfinite(near), np.rint(-near * 1e5), 1e9).astype(np.int64) * SLICE + np.arange(len(own))

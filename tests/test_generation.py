@@ -139,3 +139,24 @@ def test_documents_are_written(spark, tmp_path):
     aids = spark.createDataFrame([(1, "T", ["p\u0001"], None, [["h", "k"], ["a", "b"]], " "), (2, None, None, None, None, None)], "id bigint, title string, priorities array<string>, framing string, table array<array<string>>, summary string")
     files = {r.path: bytes(r.content) for r in saved.aid_files(aids).collect()}
     assert [(b["type"], b["text"]) for b in parse("x.docx", files["sales_aid_1.docx"])] == [("heading", "T"), ("heading", "Customer Priorities"), ("list_item", "p"), ("table", "a: k: b")] and parse("x.docx", files["sales_aid_2.docx"]) == []
+
+
+def test_search_in_slices_against_all_at_once(spark, monkeypatch):
+    """The best of every search do not depend on how many chunks are compared at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), f"word{k % 7} text", "abc"[k % 3], [float(x) for x in rng.integers(-2, 3, 6)]) for k in rng.permutation(400)]
+    index = spark.createDataFrame(rows, "row_id bigint, text string, product_name string, embedding array<float>").coalesce(1)
+    asked = [(s, int(s % 9), "main" if s % 2 else "more", [None, "a", "b"][s % 3], 3 + s % 2, [float(x) for x in rng.integers(-2, 3, 6)] if s < 9 else None, ["word1", "text4"] if s % 2 else []) for s in range(18)]
+    asked = [(*a[:5], asked[a[0] % 9][5], a[6]) for a in asked]
+    questions = spark.createDataFrame(asked, "search bigint, id bigint, part string, product_name string, n int, embedding array<float>, words array<string>")
+    found = {}
+    for size in (7, 50, 2000):
+        monkeypatch.setattr(pipeline, "SLICE", size)
+        found[size] = sorted(map(tuple, pipeline._search(index, questions).collect()))
+    assert found[7] == found[50] == found[2000] and len(found[7]) > 50
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    for search, _, part, product, n, vec, words in asked:
+        best = sorted((-round(float(unit(vec) @ unit(v)), 5), i) for i, _, p, v in rows if product in (None, p))[:n]
+        assert [(i, round(-s, 5)) for s, i in best] == sorted([(i, round(s, 5)) for q, i, s, w in found[7] if q == search and not w], key=lambda x: (-x[1], x[0]))
