@@ -121,8 +121,7 @@ def retrieve(index: DataFrame, questions: DataFrame, k: int = 8, embedder: Embed
 def _search(index: DataFrame, asked: DataFrame) -> DataFrame:
     """``(search, row_id, sim, by_word)``: per task the n best chunks of every search, and the best of those that contain a keyword.
 
-    A keyword of letters and digits stands inside one run of them, so that each run is compared with the keywords once. Of the
-    chunks with a keyword, so many more are kept as the n best can take away again. A question is compared with a chunk once, however many
+    Keywords are found inside words, too, as a text contains them. Of the chunks with a keyword, so many more are kept as the n best can take away again. A question is compared with a chunk once, however many
     of its products are searched; ``vectors.BLOCK`` questions go into one pass over the chunks.
     """
     src = index.select("row_id", "product_name", "text", "embedding").filter("embedding is not null")
@@ -180,17 +179,16 @@ def _searcher(block: list[dict]):
     products = {p for p, *_ in plans} - {None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[int]] = {}
+        import ahocorasick
+
+        # All keywords are looked for in one pass over a text.
+        words = ahocorasick.Automaton()
+        for w, j in known.items():
+            words.add_word(w, j)
+        if known:
+            words.make_automaton()
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def inside(token: str) -> list[int]:
-            found = memo.get(token)
-            if found is None:
-                if len(memo) >= 200_000:
-                    memo.clear()
-                found = memo[token] = [j for w, j in known.items() if w in token]
-            return found
-
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
@@ -200,9 +198,8 @@ def _searcher(block: list[dict]):
                 product = np.array(batch.column(1).to_pylist(), object)
                 has = np.zeros((batch.num_rows, len(known)), np.float32)
                 for i, text in enumerate(batch.column(2).to_pylist()):
-                    for token in set(re.findall("[a-z0-9]+", text.lower())):
-                        if js := inside(token):
-                            has[i, js] = 1
+                    if known and (js := {j for _, j in words.iter(text.lower())}):
+                        has[i, list(js)] = 1
                 v = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(row), -1)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 sims = np.round(unit @ v.T, 5) + 0.0
